@@ -19,8 +19,15 @@ def bind(value: object) -> Column:
     return F.col(value.name) if isinstance(value, Param) else F.lit(value)
 
 
+# Characters whose upper case is several characters; upper casing keeps the length of a text.
+_EXPANDING = "".join(chr(i) for i in range(0x10000) if len(chr(i).upper()) > 1)
+
+
 def to_upper(column: Column) -> Column:
-    return F.upper(column)
+    """Upper case character by character: one that has no single upper form, such as ß, stays."""
+    pieces = F.split(column, f"(?<=[{_EXPANDING}])|(?=[{_EXPANDING}])")
+    apart = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^[{_EXPANDING}]$"), p).otherwise(F.upper(p))), "")
+    return F.when(column.rlike(f"[{_EXPANDING}]"), apart).otherwise(F.upper(column))
 
 
 def to_lower(column: Column) -> Column:

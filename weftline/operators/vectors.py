@@ -63,8 +63,11 @@ def nearest(
     _check(df, field, k, metric, max_rows)
     rows = df if where is None else df.where(where)
     target = query if isinstance(query, Column) else F.array(*[F.lit(float(v)) for v in query])
-    scored = rows.withColumn("distance", cosine_distance(F.col(field), target))
-    return scored.where(F.col("distance").isNotNull()).orderBy("distance", key).limit(k)
+    scored = rows.withColumn("__query", target).withColumn(
+        "distance", cosine_distance(F.col(field), F.col("__query"))
+    )
+    near = scored.drop("__query").where(F.col("distance").isNotNull())
+    return near.orderBy("distance", key).limit(k)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

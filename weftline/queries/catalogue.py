@@ -6,7 +6,7 @@ import importlib
 
 from weftline.queries.registry import ORACLES, QUERIES
 
-MODULES = ("scans", "reads", "measures", "changes")
+MODULES = ("scans", "reads", "measures", "changes", "fields", "jobs")
 
 for _name in MODULES:
     importlib.import_module(f"weftline.queries.{_name}")
