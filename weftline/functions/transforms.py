@@ -19,15 +19,25 @@ def bind(value: object) -> Column:
     return F.col(value.name) if isinstance(value, Param) else F.lit(value)
 
 
-# Characters whose upper case is several characters; upper casing keeps the length of a text.
+# Characters whose upper case is several characters, and as many of a private plane for them.
 _EXPANDING = "".join(chr(i) for i in range(0x10000) if len(chr(i).upper()) > 1)
+_PRIVATE = "".join(chr(0xF0000 + i) for i in range(len(_EXPANDING)))
 
 
 def to_upper(column: Column) -> Column:
-    """Upper case character by character: one that has no single upper form, such as ß, stays."""
+    """Upper case character by character: one that has no single upper form, such as ß, stays.
+
+    Few texts hold such a character; in those it steps aside while the rest is upper-cased. A
+    text that already uses the private plane is taken apart instead.
+    """
+    upper = F.upper(column)
+    aside = F.translate(F.upper(F.translate(column, _EXPANDING, _PRIVATE)), _PRIVATE, _EXPANDING)
     pieces = F.split(column, f"(?<=[{_EXPANDING}])|(?=[{_EXPANDING}])")
-    apart = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^[{_EXPANDING}]$"), p).otherwise(F.upper(p))), "")
-    return F.when(column.rlike(f"[{_EXPANDING}]"), apart).otherwise(F.upper(column))
+    apart = F.transform(pieces, lambda p: F.when(p.rlike(f"^[{_EXPANDING}]$"), p).otherwise(F.upper(p)))
+    free = F.length(F.translate(column, _PRIVATE, "")) == F.length(column)
+    return (
+        F.when(F.length(upper) == F.length(column), upper).when(free, aside).otherwise(F.array_join(apart, ""))
+    )
 
 
 def to_lower(column: Column) -> Column:

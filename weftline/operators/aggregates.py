@@ -20,30 +20,54 @@ def calculate(df: DataFrame, kind: str, column: str | Column, name: str, by: Seq
     return df.groupBy(*by).agg(measure) if by else df.agg(measure)
 
 
-def stat_set(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), scale: int = 4) -> DataFrame:
+def stat_set(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per numeric column (and group): n, nulls, distinct, min, max, sum, mean, stddev.
 
-    The columns are unpivoted once, so each needs only its own distinct count, which Spark
-    plans as partial aggregates by (column, value): no hot column or group meets one task.
-    Sums run in decimals, so their value does not depend on the order of the rows.
+    The moments of all columns are one wide aggregate. Distinct values are counted over
+    (column, value) rows, which are combined before they are shuffled. So neither a hot value
+    nor a hot group meets one task. A decimal column is summed exactly, in any row order.
     """
     if not columns:
         raise Refused("a stat set needs at least one column")
-    # unpivot keeps the NULL values, which the summary counts.
-    melted = df.select(
-        *by, *[F.col(c).cast("double").alias(c) for c in columns]
-    ).unpivot(list(by), list(columns), "column", "value")
-    value = F.col("value")
-    exact = value.cast(f"decimal(28,{scale})")
-    return melted.groupBy(*by, "column").agg(
-        F.count(value).alias("n"),
-        F.count_if(value.isNull()).alias("nulls"),
-        F.countDistinct(value).alias("distinct_values"),
-        F.min(value).alias("min_value"),
-        F.max(value).alias("max_value"),
-        F.sum(exact).cast("double").alias("sum_value"),
-        (F.sum(exact).cast("double") / F.nullif(F.count(value), F.lit(0))).alias("mean_value"),
-        F.stddev_samp(value).alias("stddev_value"),
+    numbers = df.select(*by, *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
+    measures, entries = [], []
+    for i, name in enumerate(columns):
+        value = F.col(f"__v{i}")
+        measures += [
+            F.count(value).alias(f"n{i}"),
+            F.count_if(value.isNull()).alias(f"nulls{i}"),
+            F.min(value).cast("double").alias(f"min{i}"),
+            F.max(value).cast("double").alias(f"max{i}"),
+            F.sum(value).cast("double").alias(f"sum{i}"),
+            F.stddev_samp(value).alias(f"stddev{i}"),
+        ]
+        entries.append(
+            F.struct(
+                F.lit(name).alias("column"),
+                F.col(f"n{i}").alias("n"),
+                F.col(f"nulls{i}").alias("nulls"),
+                F.col(f"min{i}").alias("min_value"),
+                F.col(f"max{i}").alias("max_value"),
+                F.col(f"sum{i}").alias("sum_value"),
+                (F.col(f"sum{i}") / F.nullif(F.col(f"n{i}"), F.lit(0))).alias("mean_value"),
+                F.col(f"stddev{i}").alias("stddev_value"),
+            )
+        )
+    moments = numbers.groupBy(*by).agg(*measures).select(*by, F.inline(F.array(*entries)))
+    pairs = [
+        F.struct(F.lit(name).alias("__column"), F.col(f"__v{i}").cast("double").alias("__value"))
+        for i, name in enumerate(columns)
+    ]
+    values = numbers.select(*[F.col(b).alias(f"__by_{b}") for b in by], F.inline(F.array(*pairs)))
+    distinct = values.groupBy(*[f"__by_{b}" for b in by], "__column").agg(
+        F.countDistinct("__value").alias("distinct_values")
+    )
+    same = moments["column"] == distinct["__column"]
+    for b in by:
+        same = same & moments[b].eqNullSafe(distinct[f"__by_{b}"])
+    joined = moments.join(distinct, same, "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+    return joined.select(
+        *by, "column", "n", "nulls", "distinct_values", "min_value", "max_value", "sum_value", "mean_value", "stddev_value"
     )
 
 

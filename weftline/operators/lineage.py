@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.errors import Refused
-from weftline.session import settle
+from weftline.session import settle, settle_measured
 from weftline.specs import ordering
 
 
@@ -38,8 +38,10 @@ def neighbours(edges: DataFrame, node: object) -> tuple[DataFrame, DataFrame]:
     return nodes, inner.select(*edges.columns)
 
 
-def _empty(df: DataFrame) -> bool:
-    return not df.take(1)
+def _level(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A level written down, and whether it holds any node; counted while it is written."""
+    level, seen = settle_measured(df, "level", rows=F.count(F.lit(1)))
+    return level, seen["rows"] == 0
 
 
 def _levels(start: DataFrame, edges: DataFrame, most: int | None) -> DataFrame:
@@ -56,8 +58,8 @@ def _levels(start: DataFrame, edges: DataFrame, most: int | None) -> DataFrame:
             .distinct()
             .join(reached.select("node"), "node", "left_anti")
         )
-        frontier = settle(step.withColumn("distance", F.lit(distance)), "level")
-        if _empty(frontier):
+        frontier, empty = _level(step.withColumn("distance", F.lit(distance)))
+        if empty:
             break
         reached = reached.unionByName(frontier)
     return reached
@@ -98,8 +100,8 @@ def path(edges: DataFrame, start: object, end: object) -> DataFrame:
     links = settle(edges.select("src", "dst").distinct(), "edges")
     goal = _single(edges, end)
     frontier = settle(goal.withColumn("left", F.lit(0)), "level")
-    reached, left = frontier, 0
-    while _empty(frontier.where(F.col("node") == F.lit(start))):
+    reached, left, met = frontier, 0, start == end
+    while not met:
         left += 1
         step = (
             links.join(frontier.select(F.col("node").alias("dst")), "dst")
@@ -107,10 +109,13 @@ def path(edges: DataFrame, start: object, end: object) -> DataFrame:
             .distinct()
             .join(reached.select("node"), "node", "left_anti")
         )
-        frontier = settle(step.withColumn("left", F.lit(left)), "level")
-        if _empty(frontier):
+        hits = F.count_if(F.col("node") == F.lit(start))
+        frontier, seen = settle_measured(
+            step.withColumn("left", F.lit(left)), "level", rows=F.count(F.lit(1)), hits=hits
+        )
+        if seen["rows"] == 0:
             return _single(edges, None).select(F.lit(0).alias("position"), "node").where(F.lit(False))
-        reached = reached.unionByName(frontier)
+        reached, met = reached.unionByName(frontier), seen["hits"] > 0
     walked = [start]
     for remaining in range(left - 1, -1, -1):
         nearer = reached.where(F.col("left") == remaining).select(F.col("node").alias("dst"))
@@ -127,11 +132,9 @@ def groups(edges: DataFrame) -> DataFrame:
     stay the same; a few rounds even for long chains. Loops on one node keep it as its own group.
     """
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    pairs = settle(_oriented(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "pairs")
-    mark = _fingerprint(pairs)
+    pairs, mark = _marked(_oriented(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
     while True:
-        pairs = settle(_small_star(_large_star(pairs)), "pairs")
-        following = _fingerprint(pairs)
+        pairs, following = _marked(_small_star(_large_star(pairs)))
         if following == mark:
             break
         mark = following
@@ -164,9 +167,10 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     return _oriented(linked.unionByName(lowest.select("a", F.col("m").alias("b"))))
 
 
-def _fingerprint(pairs: DataFrame) -> tuple:
+def _marked(pairs: DataFrame) -> tuple[DataFrame, dict[str, object]]:
+    """Pairs written down, with their number and a sum of hashes that tells whether they changed."""
     exact = F.xxhash64("a", "b").cast("decimal(20,0)")
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(exact)).first())
+    return settle_measured(pairs, "pairs", rows=F.count(F.lit(1)), hashes=F.sum(exact))
 
 
 def tree_children(nodes: DataFrame, parent: object | None, name: str = "name", key: str = "id") -> DataFrame:
@@ -181,13 +185,13 @@ def tree_paths(nodes: DataFrame, separator: str = "/") -> DataFrame:
     level = settle(
         rows.where(F.col("parent_id").isNull()).select("id", F.col("name").alias("path"), F.lit(0).alias("depth")), "level"
     )
-    found, depth = level, 0
-    while not _empty(level):
+    found, depth, empty = level, 0, False
+    while not empty:
         depth += 1
         above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("__above"))
         step = rows.join(above, "parent_id").select(
             "id", F.concat("__above", F.lit(separator), "name").alias("path"), F.lit(depth).alias("depth")
         )
-        level = settle(step, "level")
+        level, empty = _level(step)
         found = found.unionByName(level)
     return found

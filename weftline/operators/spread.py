@@ -1,15 +1,17 @@
 """Order-preserving chunks, so that no ordered group has to fit one task.
 
 A window partitioned by a hot key would put that key's rows into a single task. Chunks cut
-the order of the *whole* table at its own quantiles: each holds about 1/n of all rows, so a
-(key, chunk) group is never larger than that, however hot the key is. Where one order
-value itself is hot, its rows are cut again by the quantiles of the next order column.
+the order of the hot rows at their quantiles: each holds about 1/n of them, so a (key,
+chunk) group is never larger than that, however hot the key is. Where one order value
+itself is hot, its rows are cut again by the quantiles of the next order column.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +22,16 @@ from weftline.specs import Ordering
 CHUNK = "__chunk"
 SUB = "__sub"
 CHUNK_KEYS = (CHUNK, SUB)
+HOT = "__hot"
 _BOUNDS = "__bounds"
 
+# A key with fewer rows than this fits a task however few chunks there are.
+HOT_ROWS = 1_000_000
+
 # Accuracy of the quantile summary; its size is bounded by this, not by the data.
 ACCURACY = 10000
 MAX_CHUNKS = 1024
+SUB_CHUNKS = 64
 
 
 def chunk_count(df: DataFrame) -> int:
@@ -77,16 +84,42 @@ def _position(bounds: Column, groups: int, value: Column) -> Column:
     return full * width + F.size(F.filter(rest, lambda b: b < value))
 
 
-def with_chunks(df: DataFrame, order: Sequence[Ordering], chunks: int | None = None) -> DataFrame:
-    """Add ``__chunk`` and ``__sub``: sorting by them agrees with sorting by ``order``.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, chunks: int | None = None) -> DataFrame:
+    """Keys that hold more rows than one chunk of the table, and more than ``hot_rows``.
+
+    There are fewer of them than chunks, whatever the data: the frame may be broadcast.
+    """
+    count = chunks or chunk_count(df)
+    share = df.agg(F.ceil(F.count(F.lit(1)) / count).alias("n")).scalar()
+    least = F.lit(HOT_ROWS if hot_rows is None else hot_rows)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.where(F.col("__n") > F.greatest(share, least)).select(*[F.col(k).alias(f"__h_{k}") for k in keys])
+
+
+def same_key(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> Column:
+    return reduce(operator.and_, [df[k].eqNullSafe(hot[f"__h_{k}"]) for k in keys])
+
+
+def with_chunks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Ordering], hot_rows: int | None = None, chunks: int | None = None
+) -> DataFrame:
+    """Add ``__chunk`` and ``__sub``: within a key, sorting by them agrees with sorting by ``order``.
 
-    The bounds are one row, read through a scalar subquery; nothing is collected.
+    Only hot keys are cut; all others are one chunk, 0. The bounds are quantiles of the hot
+    rows, one row read through a scalar subquery; nothing is collected.
     """
     count = chunks or chunk_count(df)
     width = max(1, math.isqrt(count))
     leading = list(order)[:2]
+    if keys:
+        hot = hot_keys(df, keys, hot_rows, count).withColumn(HOT, F.lit(True))
+        marked = df.join(F.broadcast(hot), same_key(df, hot, keys), "left")
+        marked = marked.drop(*[f"__h_{k}" for k in keys]).withColumn(HOT, F.coalesce(HOT, F.lit(False)))
+        source = df.join(F.broadcast(hot), same_key(df, hot, keys), "left_semi")
+    else:
+        marked, source = df.withColumn(HOT, F.lit(True)), df
     for i, o in enumerate(leading):
-        df = df.withColumn(f"{_BOUNDS}{i}", _bounds(df, o.name, order, count))
+        marked = marked.withColumn(f"{_BOUNDS}{i}", _bounds(source, o.name, order, count if i == 0 else min(count, SUB_CHUNKS)))
 
     first, edges = _sortable(df, leading[0].name), F.col(f"{_BOUNDS}0")
     on_edge = F.coalesce(F.array_contains(edges, first), F.lit(False))
@@ -98,7 +131,10 @@ def with_chunks(df: DataFrame, order: Sequence[Ordering], chunks: int | None = N
         inner = _place(second, _position(F.col(f"{_BOUNDS}1"), width, second), leading[1])
         sub = F.when(on_edge | first.isNull(), inner).otherwise(0)
     added = [f"{_BOUNDS}{i}" for i in range(len(leading))]
-    return df.withColumns({CHUNK: chunk, SUB: sub}).drop(*added)
+    hot_row = F.col(HOT)
+    return marked.withColumns(
+        {CHUNK: F.when(hot_row, chunk).otherwise(0), SUB: F.when(hot_row, sub).otherwise(0)}
+    ).drop(*added)
 
 
 def _place(value: Column, position: Column, order: Ordering) -> Column:

@@ -1,9 +1,10 @@
 """Window calculations that survive a hot partition key.
 
-ROW_NUMBER and the running SUM, AVG, MIN, MAX and COUNT are prefix scans: each (key, chunk)
-group is scanned on its own, the chunk totals, at most a few thousand rows per key, are
-scanned over the key, and both are added. RANK and DENSE_RANK first collapse ties, so a hot
-value is one row. LAG and LEAD of one row carry the neighbouring chunk's edge value.
+Ordinary keys are one built-in window. A key with more rows than a chunk of the table is cut
+into chunks of its order: ROW_NUMBER and the running SUM, AVG, MIN, MAX and COUNT are prefix
+scans, where each (key, chunk) group is scanned on its own, the chunk totals are scanned
+over the key, and both are added. RANK and DENSE_RANK first collapse ties, so a hot value is
+one row. LAG and LEAD of one row carry the neighbouring chunk's edge value.
 The default frame is everything from the start to the current row.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.errors import Refused
-from weftline.operators.spread import CHUNK_KEYS, with_chunks
+from weftline.operators.spread import CHUNK_KEYS, HOT, hot_keys, same_key, with_chunks
 from weftline.specs import Ordering, ordering
 
 RUNNING = ("row_number", "sum", "avg", "min", "max", "count")
@@ -60,50 +61,41 @@ def running(
     partition: Sequence[str],
     order: Sequence[str | Ordering],
     columns: Sequence[WindowColumn],
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """Running functions. ``order`` must be total: end it with a unique key."""
     keys, sort = list(partition), ordering(*order)
     parts = keys + list(CHUNK_KEYS)
-    base = with_chunks(df, sort, chunks)
-    sources = sorted({c.column for c in columns if c.column})
+    base = with_chunks(df, keys, sort, hot_rows, chunks)
+    sums = [(f, c) for c in sorted({c.column for c in columns if c.column}) for f in PARTS if _needed(columns, c, f)]
 
     local = Window.partitionBy(*parts).orderBy(*[o.column() for o in sort])
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scanned = base.withColumns(
-        {"__n": F.row_number().over(local)}
-        | {f"__{f}_{c}": getattr(F, f)(c).over(upto) for c in sources for f in ("sum", "count", "min", "max")
-           if _needed(columns, c, f)}
+        {"__n": F.row_number().over(local)} | {f"__{f}_{c}": getattr(F, f)(c).over(upto) for f, c in sums}
     )
 
-    totals = base.groupBy(*parts).agg(
-        F.count(F.lit(1)).alias("__t_n"),
-        *[
-            getattr(F, f)(c).alias(f"__t_{f}_{c}")
-            for c in sources
-            for f in ("sum", "count", "min", "max")
-            if _needed(columns, c, f)
-        ],
+    # Only hot keys have more than one chunk, so only theirs need what came before.
+    totals = base.where(HOT).groupBy(*parts).agg(
+        F.count(F.lit(1)).alias("__t_n"), *[getattr(F, f)(c).alias(f"__t_{f}_{c}") for f, c in sums]
     )
-    before = (
-        Window.partitionBy(*keys).orderBy(*CHUNK_KEYS).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    before = Window.partitionBy(*keys).orderBy(*CHUNK_KEYS).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *parts,
-        F.coalesce(F.sum("__t_n").over(before), F.lit(0)).alias("__b_n"),
-        *[
-            merge[f](f"__t_{f}_{c}").over(before).alias(f"__b_{f}_{c}")
-            for c in sources
-            for f in ("sum", "count", "min", "max")
-            if _needed(columns, c, f)
-        ],
+        F.sum("__t_n").over(before).alias("__b_n"),
+        *[PARTS[f](f"__t_{f}_{c}").over(before).alias(f"__b_{f}_{c}") for f, c in sums],
     )
-    joined = _join_back(scanned, offsets, parts)
+    joined = _join_back(scanned, offsets, parts, "left")
+    joined = joined.withColumn("__b_n", F.coalesce("__b_n", F.lit(0)))
     result = joined.withColumns({c.name: _running_value(c) for c in columns})
     return result.select(*df.columns, *[c.name for c in columns])
 
 
+# How the totals of chunks merge.
+PARTS = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+
 def _needed(columns: Sequence[WindowColumn], column: str, part: str) -> bool:
     uses = {"sum": {"sum"}, "avg": {"sum", "count"}, "count": {"count"}, "min": {"min"}, "max": {"max"}}
     return any(c.column == column and part in uses.get(c.function, set()) for c in columns)
@@ -128,27 +120,45 @@ def _running_value(spec: WindowColumn) -> Column:
     return pick(F.col(f"__{spec.function}_{name}"), F.col(f"__b_{spec.function}_{name}"))
 
 
+def _split_hot(
+    df: DataFrame, keys: list[str], hot_rows: int | None, chunks: int | None
+) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of ordinary keys, and rows of hot keys. Without a key all rows are one hot group."""
+    if not keys:
+        return None, df
+    hot = F.broadcast(hot_keys(df, keys, hot_rows, chunks))
+    same = same_key(df, hot, keys)
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
+
 def ranking(
     df: DataFrame,
     partition: Sequence[str],
     order: Sequence[str | Ordering],
     columns: Sequence[WindowColumn],
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
-    """RANK and DENSE_RANK over ``order``, whose ties share a rank."""
+    """RANK and DENSE_RANK over ``order``, whose ties share a rank.
+
+    Ordinary keys use the built-in functions. The ties of hot keys are collapsed to one row
+    each, placed by their running counts, and joined back.
+    """
     keys, sort = list(partition), ordering(*order)
+    names = [*df.columns, *[c.name for c in columns]]
+    plain, hot = _split_hot(df, keys, hot_rows, chunks)
     values = keys + [o.name for o in sort if o.name not in keys]
-    ties = df.groupBy(*values).agg(F.count(F.lit(1)).alias("__ties"))
-    scanned = running(
-        ties,
-        keys,
-        sort,
-        [WindowColumn("__upto", "sum", "__ties"), WindowColumn("__place", "row_number")],
-        chunks,
-    )
+    ties = hot.groupBy(*values).agg(F.count(F.lit(1)).alias("__ties"))
+    places = [WindowColumn("__upto", "sum", "__ties"), WindowColumn("__place", "row_number")]
+    scanned = running(ties, keys, sort, places, hot_rows, chunks)
     forms = {"rank": F.col("__upto") - F.col("__ties") + 1, "dense_rank": F.col("__place")}
     ranks = scanned.select(*values, *[forms[c.function].cast("long").alias(c.name) for c in columns])
-    return _join_back(df, ranks, values).select(*df.columns, *[c.name for c in columns])
+    result = _join_back(hot, ranks, values).select(*names)
+    if plain is None:
+        return result
+    over = Window.partitionBy(*keys).orderBy(*[o.column() for o in sort])
+    native = {c.name: getattr(F, c.function)().over(over).cast("long") for c in columns}
+    return plain.withColumns(native).select(*names).unionByName(result)
 
 
 def shifted(
@@ -156,42 +166,51 @@ def shifted(
     partition: Sequence[str],
     order: Sequence[str | Ordering],
     column: WindowColumn,
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """LAG and LEAD in a total order."""
-    sort = ordering(*order)
+    keys, sort = list(partition), ordering(*order)
     if column.offset == 1 and len({o.descending for o in sort}) == 1:
-        return _neighbour(df, list(partition), sort, column, chunks)
-    return _by_position(df, list(partition), sort, column, chunks)
-
-
-def _neighbour(df: DataFrame, keys: list[str], sort: list[Ordering], spec: WindowColumn, chunks: int | None) -> DataFrame:
+        return _neighbour(df, keys, sort, column, hot_rows, chunks)
+    plain, hot = _split_hot(df, keys, hot_rows, chunks)
+    result = _by_position(hot, keys, sort, column, hot_rows, chunks)
+    if plain is None:
+        return result
+    over = Window.partitionBy(*keys).orderBy(*[o.column() for o in sort])
+    native = getattr(F, column.function)(column.column, column.offset).over(over)
+    return plain.withColumn(column.name, native).unionByName(result)
+
+
+def _neighbour(
+    df: DataFrame, keys: list[str], sort: list[Ordering], spec: WindowColumn, hot_rows: int | None, chunks: int | None
+) -> DataFrame:
     parts = keys + list(CHUNK_KEYS)
-    base = with_chunks(df, sort, chunks)
+    base = with_chunks(df, keys, sort, hot_rows, chunks)
     rows = F.struct(*[o.name for o in sort])
     forward = spec.function == "lag"
     # The edge is the chunk's last row for lag, its first for lead; descending order swaps them.
     pick = F.max_by if forward != sort[0].descending else F.min_by
-    edges = base.groupBy(*parts).agg(pick(F.struct(spec.column), rows).alias("__edge"))
+    edges = base.where(HOT).groupBy(*parts).agg(pick(F.struct(spec.column), rows).alias("__edge"))
     over_chunks = Window.partitionBy(*keys).orderBy(*CHUNK_KEYS)
     shift = F.lag if forward else F.lead
     across = edges.select(*parts, shift("__edge").over(over_chunks).alias("__across"))
     local = Window.partitionBy(*parts).orderBy(*[o.column() for o in sort])
     inside = base.withColumn("__inside", shift(F.struct(spec.column)).over(local))
-    joined = _join_back(inside, across, parts)
+    joined = _join_back(inside, across, parts, "left")
     value = F.when(F.col("__inside").isNotNull(), F.col(f"__inside.{spec.column}")).otherwise(
         F.col(f"__across.{spec.column}")
     )
     return joined.withColumn(spec.name, value).select(*df.columns, spec.name)
 
 
-def _by_position(df: DataFrame, keys: list[str], sort: list[Ordering], spec: WindowColumn, chunks: int | None) -> DataFrame:
+def _by_position(
+    df: DataFrame, keys: list[str], sort: list[Ordering], spec: WindowColumn, hot_rows: int | None, chunks: int | None
+) -> DataFrame:
     """Any offset: number the rows, then meet the row that lies ``offset`` away."""
-    numbered = running(df, keys, sort, [WindowColumn("__pos", "row_number")], chunks)
+    numbered = running(df, keys, sort, [WindowColumn("__pos", "row_number")], hot_rows, chunks)
     step = spec.offset if spec.function == "lag" else -spec.offset
-    away = numbered.select(
-        *keys, (F.col("__pos") + step).alias("__pos"), F.col(spec.column).alias("__away")
-    )
+    away = numbered.select(*keys, (F.col("__pos") + step).alias("__pos"), F.col(spec.column).alias("__away"))
     joined = _join_back(numbered, away, [*keys, "__pos"], "left")
     return joined.withColumn(spec.name, F.col("__away")).select(*df.columns, spec.name)
 
@@ -202,14 +221,16 @@ def windowed(
     order: Sequence[str | Ordering],
     column: WindowColumn,
     key: Sequence[str] = (),
+    hot_rows: int | None = None,
+    chunks: int | None = None,
 ) -> DataFrame:
     """One windowed calculation. ``key`` completes the order where the function needs a total one."""
     if column.function in RANKING:
-        return ranking(df, partition, order, [column])
+        return ranking(df, partition, order, [column], hot_rows, chunks)
     total = [*ordering(*order), *ordering(*key)]
     if column.function in SHIFTING:
-        return shifted(df, partition, total, column)
-    return running(df, partition, total, [column])
+        return shifted(df, partition, total, column, hot_rows, chunks)
+    return running(df, partition, total, [column], hot_rows, chunks)
 
 
 def number_rows(df: DataFrame, order: Sequence[str | Ordering], name: str, start: Column | int = 0) -> DataFrame:

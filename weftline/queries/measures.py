@@ -51,14 +51,18 @@ def stat_sql(group: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+def exact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", *[money(c).alias(c) for c in STAT_COLUMNS])
+
+
 @query("stat_set", stat_sql(""))
 def stat_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(aggregates.stat_set(table(spark, sf_dir, "lineitem"), STAT_COLUMNS))
+    return rounded(aggregates.stat_set(exact_lines(spark, sf_dir), STAT_COLUMNS))
 
 
 @query("stat_set_grouped", stat_sql("l_returnflag"))
 def stat_set_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(aggregates.stat_set(table(spark, sf_dir, "lineitem"), STAT_COLUMNS, ["l_returnflag"]))
+    return rounded(aggregates.stat_set(exact_lines(spark, sf_dir), STAT_COLUMNS, ["l_returnflag"]))
 
 
 # -- counts ---------------------------------------------------------------------------------

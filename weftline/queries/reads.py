@@ -65,7 +65,7 @@ def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         Condition("status", "equal", "F"),
         any_of(Condition("amount", "greater", 100000), Condition("segment", "in", ["BUILDING", "MACHINERY"])),
     )
-    stats = aggregates.stat_set(orders.where(build(wanted, orders.schema)), ["amount"], ["segment"], scale=2)
+    stats = aggregates.stat_set(orders.where(build(wanted, orders.schema)), ["amount"], ["segment"])
     return paging.top_k(rounded(stats), "sum_value", 10, ["segment"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings the operators rely on; each is a Spark default or a safe strengthening of one.
 SETTINGS = {
@@ -58,3 +58,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict[str, object]]:
+    """Settle a frame and answer aggregates over it, observed while it is written."""
+    seen = Observation()
+    columns = [m.alias(name) for name, m in measures.items()]
+    settled = settle(df.observe(seen, *columns), label)
+    return settled, seen.get
