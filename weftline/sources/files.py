@@ -49,9 +49,9 @@ def read_database(
 def read_delimited(
     spark: SparkSession, path: str, schema: T.StructType, header: bool = True, separator: str = ",", quote: str = '"'
 ) -> DataFrame:
-    """Delimited text. Quoted separators, line breaks and doubled quotes come back as written.
+    """Delimited text. Quoted separators and doubled quotes come back as written.
 
-    Without embedded line breaks (``single_line``) a file splits into many tasks.
+    A value holds no line break here, so that one large file is split into many tasks.
     """
     return _delimited(spark, schema, header, separator, quote, False).csv(path)
 
@@ -63,6 +63,10 @@ def read_delimited_multiline(
     return _delimited(spark, schema, header, separator, quote, True).csv(path)
 
 
+# What an unquoted empty cell stands for while it is parsed; a quoted one is an empty text.
+ABSENT = "\u0000"
+
+
 def _delimited(spark: SparkSession, schema: T.StructType, header: bool, separator: str, quote: str, multiline: bool):
     return (
         spark.read.schema(schema)
@@ -71,6 +75,7 @@ def _delimited(spark: SparkSession, schema: T.StructType, header: bool, separato
         .option("quote", quote)
         .option("escape", quote)
         .option("multiLine", multiline)
+        .option("nullValue", ABSENT)
         .option("enforceSchema", not header)
         .option("mode", "FAILFAST")
     )
