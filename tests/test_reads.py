@@ -11,7 +11,7 @@ from weftline.functions import formula as fx
 from weftline.functions.columntypes import column_type, required, strict_cast, unconvertible
 from weftline.functions.predicates import FILTERABLE, Condition, Group, all_of, any_of, build, by_fields
 from weftline.operators import joins, paging, search, setops
-from weftline.operators.datasets import open_data_set, project_declared, rename_fields, union_all
+from weftline.operators.datasets import open_data_set, open_named, project_declared, rename_fields, union_all
 from weftline.specs import DataSetSpec, FieldSpec, JoinSpec, SourceSpec
 
 
@@ -58,6 +58,18 @@ def test_unknown_source_is_refused(customers):
         open_data_set(federated("inner"), {"customers": customers})
 
 
+def test_data_sets_of_data_sets(customers, rows):
+    names = DataSetSpec("Names", "simple", [SourceSpec("customers", fields=[FieldSpec("Name", "n")])])
+    again = DataSetSpec("Again", "simple", [SourceSpec("NAMES", fields=[FieldSpec("n", "m")])])
+    loop = DataSetSpec("Loop", "simple", [SourceSpec("loop")])
+    specs = {"Names": names, "Again": again, "Loop": loop}
+    assert rows(open_named("again", specs, {"customers": customers})) == [("Alice",), ("Bob",), ("Charlie",)]
+    with pytest.raises(Refused, match="reads itself"):
+        open_named("Loop", specs, {})
+    with pytest.raises(Refused, match="unknown data set"):
+        open_named("Other", specs, {})
+
+
 def test_compound_sources_share_a_store():
     with pytest.raises(Refused, match="several stores"):
         DataSetSpec("x", "compound", [SourceSpec("a", "one"), SourceSpec("b", "two")])

@@ -2,50 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def key_value(df: DataFrame, name: str) -> Column:
-    """The form of a key column that compares equal under ``=`` when the keys are equal."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.IntegralType):
-        return F.col(name).cast("long")
-    return F.lower(F.col(name).cast("string"))
-
-
-def key_alias(position: int) -> str:
-    return f"__key{position}"
-
-
-def with_keys(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.withColumns({key_alias(i): key_value(df, n) for i, n in enumerate(names)})
-
-
-def distinct_keys(df: DataFrame, names: list[str]) -> DataFrame:
-    """Distinct complete keys. Aggregated before the shuffle, so a hot key costs one row a task."""
-    columns = [key_value(df, n).alias(key_alias(i)) for i, n in enumerate(names)]
-    return df.select(*columns).dropna().distinct()
-
-
-def drop_keys(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.drop(*[key_alias(i) for i in range(len(names))])
+def key_columns(names: Sequence[str]) -> list[str]:
+    """Names of the columns that hold the comparable form of a key."""
+    return [f"__key{i}" for i in range(len(names))]
 
 
-def align_keys(left: DataFrame, right: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Give both sides key columns of one type: long only where both sides are integers."""
-    def both_integral(name: str) -> bool:
-        return all(isinstance(f.schema[name].dataType, T.IntegralType) for f in (left, right))
+def align_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Add to both sides key columns that are equal under ``=`` exactly when the keys are."""
 
     def form(name: str) -> Column:
-        if both_integral(name):
+        if all(isinstance(side.schema[name].dataType, T.IntegralType) for side in (left, right)):
             return F.col(name).cast("long")
         return F.lower(F.col(name).cast("string"))
 
-    columns = {key_alias(i): form(n) for i, n in enumerate(names)}
+    columns = dict(zip(key_columns(names), [form(n) for n in names], strict=True))
     return left.withColumns(columns), right.withColumns(columns)
 
 
-def key_columns(names: list[str]) -> list[str]:
-    return [key_alias(i) for i in range(len(names))]
+def present_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Distinct complete keys of an aligned frame. A hot key shrinks to one row a task before the shuffle."""
+    return df.select(*key_columns(names)).dropna().distinct()

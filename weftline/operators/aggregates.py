@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from weftline.errors import Refused
 
-CALCULATIONS = {"Sum": F.sum, "Average": F.avg, "Count": F.count, "Min": F.min, "Max": F.max}
+
+
+def _mean(column: str | Column) -> Column:
+    """The sum as it is, exact for decimals, over the count; NULL for no value."""
+    return F.try_divide(F.sum(column).cast("double"), F.count(column).cast("double"))
+
+
+CALCULATIONS = {"Sum": F.sum, "Average": _mean, "Count": F.count, "Min": F.min, "Max": F.max}
 
 
 def calculate(df: DataFrame, kind: str, column: str | Column, name: str, by: Sequence[str] = ()) -> DataFrame:
@@ -76,7 +83,7 @@ def count_by(df: DataFrame, *by: str, name: str = "rows") -> DataFrame:
 
 
 def kind_summary(kinds: dict[str, DataFrame]) -> DataFrame:
-    """How many of each kind there are; a columnless count reads only file footers' row counts."""
+    """How many of each kind there are; counting rows reads no column."""
     counts = [
         df.agg(F.count(F.lit(1)).alias("items")).select(F.lit(kind).alias("kind"), "items")
         for kind, df in kinds.items()
@@ -96,7 +103,7 @@ def period_summary(
         F.count(F.lit(1)).alias("total"),
         F.count_if(~failed).alias("successes"),
         F.count_if(failed).alias("failures"),
-        (F.sum(measure).cast("double") / F.count(measure)).alias("mean_value"),
+        _mean(measure).alias("mean_value"),
         F.countDistinct(user).alias("users"),
     )
 

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.errors import Refused
-from weftline.functions.predicates import FILTERABLE
+from weftline.functions.predicates import FILTERABLE, by_fields
 from weftline.functions.transforms import chain
 from weftline.operators.joins import join_frames
+from weftline.operators.paging import page_with_more
 from weftline.specs import DataSetSpec, FieldSpec, SourceSpec, resolve
 
 
@@ -91,6 +92,47 @@ def open_data_set(spec: DataSetSpec, frames: Mapping[str, DataFrame]) -> DataFra
     return with_calculated(result, {c.name: c.formula for c in spec.calculated})
 
 
+def open_named(name: str, specs: Mapping[str, DataSetSpec], frames: Mapping[str, DataFrame]) -> DataFrame:
+    """A data set by name. Its sources may be data sets themselves, views of views to any depth."""
+    return _open_named(name, specs, frames, ())
+
+
+def _open_named(
+    name: str, specs: Mapping[str, DataSetSpec], frames: Mapping[str, DataFrame], above: tuple[str, ...]
+) -> DataFrame:
+    known = {n.lower(): n for n in specs}
+    if name.lower() not in known:
+        raise Refused(f"unknown data set {name!r}")
+    if name.lower() in above:
+        raise Refused(f"data set {name!r} reads itself")
+    spec = specs[known[name.lower()]]
+    nested = {
+        s.name: _open_named(s.name, specs, frames, (*above, name.lower()))
+        for s in spec.sources
+        if s.name not in frames and s.name.lower() in known
+    }
+    return open_data_set(spec, {**frames, **nested})
+
+
+def query_data_set(
+    spec: DataSetSpec,
+    frames: Mapping[str, DataFrame],
+    params: Mapping[str, str] | None = None,
+    skip: int = 0,
+    take: int | None = None,
+    order: Sequence[str] = (),
+) -> DataFrame:
+    """Read a data set by field parameters, and a page of it when ``take`` is given.
+
+    Filters name declared fields; they are set on the opened frame and Catalyst moves them to
+    the sources. A page is ordered, by the data set's key where no order is stated.
+    """
+    rows = open_data_set(spec, frames)
+    wanted = by_fields(params or {}, rows.schema)
+    rows = rows if wanted is None else rows.where(wanted)
+    return rows if take is None else page_with_more(rows, skip, take, order, spec.key)
+
+
 def with_calculated(df: DataFrame, formulas: Mapping[str, str]) -> DataFrame:
     """Fields computed on read, as SQL expressions over the declared fields."""
     for name, formula in formulas.items():

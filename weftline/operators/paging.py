@@ -11,8 +11,8 @@ from weftline.errors import Refused
 from weftline.operators.windows import number_rows
 from weftline.specs import Ordering, ordering
 
-# Beyond this many rows a top-n would hold too much per task; positions are computed instead.
-DEEP = 1_000_000
+# Every task hands this many rows to the last one of a top-n; beyond it positions are computed.
+DEEP = 10_000
 
 
 def order_by(df: DataFrame, *names: str | Ordering) -> DataFrame:
@@ -61,10 +61,9 @@ def top_k(df: DataFrame, measure: str, n: int, key: Sequence[str]) -> DataFrame:
 def row_ceiling(df: DataFrame, ceiling: int) -> DataFrame:
     """All rows, or a failure: a result cut at a ceiling must not look complete.
 
-    The count over at most ceiling + 1 rows is a scalar subquery, so the check runs with the read.
+    The count is a scalar subquery, combined in every task, so the check runs with the read.
     """
-    probe = df.select(F.lit(1).alias("x")).limit(ceiling + 1)
-    seen = probe.agg(F.count("x")).scalar()
+    seen = df.agg(F.count(F.lit(1))).scalar()
     return df.withColumn(
         "__over", F.when(seen > ceiling, F.raise_error(F.lit(f"more than {ceiling} rows"))).cast("int")
     ).where(F.col("__over").isNull()).drop("__over")
@@ -77,7 +76,7 @@ def page_after(
     if take <= 0:
         raise Refused("page size must be positive")
     rest = df if last is None else df.where(F.col(key) > F.lit(last))
-    return rest.orderBy(key).limit(take)
+    return page(rest, 0, take, key=[key])
 
 
 def rows_per_source(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:

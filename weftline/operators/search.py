@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.errors import Refused
+from weftline.operators.paging import page
 from weftline.specs import resolve
 
 
@@ -45,7 +46,7 @@ def find_text(
         return found
     if not key:
         raise Refused("max_results needs a key that orders the rows")
-    return found.orderBy(*key).limit(max_results)
+    return page(found, 0, max_results, key=key)
 
 
 def catalog_search(kinds: Mapping[str, DataFrame], query: str = "", kind: str | None = None) -> DataFrame:

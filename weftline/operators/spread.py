@@ -90,9 +90,10 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, ch
     There are fewer of them than chunks, whatever the data: the frame may be broadcast.
     """
     count = chunks or chunk_count(df)
-    share = df.agg(F.ceil(F.count(F.lit(1)) / count).alias("n")).scalar()
     least = F.lit(HOT_ROWS if hot_rows is None else hot_rows)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    # Read from the same sizes, so that one shuffle serves both.
+    share = sizes.agg(F.ceil(F.sum("__n") / count)).scalar()
     return sizes.where(F.col("__n") > F.greatest(share, least)).select(*[F.col(k).alias(f"__h_{k}") for k in keys])
 
 

@@ -154,5 +154,5 @@ def nearest_batch(
         found = part if found is None else found.unionByName(part)
     # k rows per task and query are left; the rank limit is applied again before the shuffle.
     by_query = Window.partitionBy("q").orderBy("distance", "id")
-    ranked = found.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k)
+    ranked = found.withColumn("place", F.row_number().over(by_query).cast("long")).where(F.col("place") <= k)
     return ranked.select(F.col("q").alias("query_id"), F.col("id").alias(key), "distance", "place")

@@ -10,6 +10,7 @@ The default frame is everything from the start to the current row.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -44,9 +45,11 @@ class WindowColumn:
 
 
 def _match(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(
-        lambda a, b: a & b, [left[n].eqNullSafe(right[f"__r_{n}"]) for n in names], F.lit(True)
-    )
+    def same(name: str) -> Column:
+        mine, other = left[name], right[f"__r_{name}"]
+        return mine == other if name in CHUNK_KEYS else mine.eqNullSafe(other)
+
+    return reduce(operator.and_, [same(n) for n in names])
 
 
 def _join_back(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.errors import Refused
-from weftline.functions.keys import align_keys, drop_keys, key_columns
+from weftline.functions.keys import align_keys, key_columns, present_keys
 from weftline.operators.windows import latest_per_key, number_rows
 from weftline.specs import TableSpec
 
@@ -172,13 +172,16 @@ def soft_delete(
 
 def _mark_present(target: DataFrame, source: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: whether the row's key is in ``source``. The source shrinks to distinct keys."""
-    left, right = align_keys(target, source.select(*keys), list(keys))
-    columns = key_columns(list(keys))
-    present = right.select(*columns).dropna().distinct().withColumn(name, F.lit(True))
-    joined = left.join(present, columns, "left")
-    return drop_keys(joined, list(keys)).withColumn(name, F.coalesce(name, F.lit(False))).select(
-        *target.columns, name
-    )
+    left, right = align_keys(target, source.select(*keys), keys)
+    present = present_keys(right, keys).withColumn(name, F.lit(True))
+    joined = left.join(present, key_columns(keys), "left")
+    return joined.withColumn(name, F.coalesce(name, F.lit(False))).select(*target.columns, name)
+
+
+def _absent(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is not in ``source``; a NULL key is in no source."""
+    left, right = align_keys(target, source.select(*keys), keys)
+    return left.join(present_keys(right, keys), key_columns(keys), "left_anti").select(*target.columns)
 
 
 def version_save(target: DataFrame, rows: DataFrame, spec: TableSpec, order: Sequence[str]) -> Change:
@@ -223,8 +226,7 @@ def upsert(
 ) -> Change:
     """Replace rows whose key is stored, add the others. ``order`` decides among equal source keys."""
     incoming = _declared(_last_per_key(rows, spec.require(keys), order), spec, target)
-    kept = _mark_present(target, incoming, spec.require(keys), "__hit")
-    return Change(kept.where(~F.col("__hit")).drop("__hit").unionByName(incoming), incoming)
+    return Change(_absent(target, incoming, spec.require(keys)).unionByName(incoming), incoming)
 
 
 def insert_if_new(
@@ -232,8 +234,7 @@ def insert_if_new(
 ) -> Change:
     """Add the rows whose key is not stored yet; running it again adds nothing."""
     incoming = _declared(_last_per_key(rows, spec.require(keys), order), spec, target)
-    marked = _mark_present(incoming, target, spec.require(keys), "__hit")
-    added = marked.where(~F.col("__hit")).drop("__hit")
+    added = _absent(incoming, target, spec.require(keys))
     return Change(target.unionByName(added), added)
 
 

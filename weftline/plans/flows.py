@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from weftline.errors import Refused
 from weftline.functions.transforms import LOWEST_BAND, YARDAGE_BANDS, chain, classify_bands, safe_ratio, sum_null_as_zero
+from weftline.operators.paging import page
 from weftline.operators.windows import latest_per_key
 from weftline.specs import Step
 
@@ -136,7 +137,7 @@ def edge_sample(graph: Graph, source: str, key: Sequence[str], n: int) -> DataFr
     """A bounded sample of what leaves a node, by key so that a rerun sees the same rows."""
     if n <= 0:
         raise Refused("a sample needs a positive size")
-    return graph.run()[source].orderBy(*key).limit(n)
+    return page(graph.run()[source], 0, n, key=key)
 
 
 # -- the demonstration flow -----------------------------------------------------------------

@@ -162,13 +162,13 @@ def to_point_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "strict_cast",
-    """SELECT event_id, CAST("value" AS DECIMAL(18,2)) AS amount, CAST(ts AS DATE) AS day, TRY_CAST(event_type AS INTEGER) IS NULL AS bad_code FROM events""",
+    """SELECT event_id, CAST(CAST("value" AS DECIMAL(18,2)) AS VARCHAR) AS amount, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, TRY_CAST(event_type AS INTEGER) IS NULL AS bad_code FROM events""",
 )
 def strict_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id",
-        columntypes.strict_cast(F.col("value"), columntypes.column_type("DECIMAL(18, 2)")).alias("amount"),
-        columntypes.strict_cast(F.col("ts"), T.DateType()).alias("day"),
+        columntypes.strict_cast(F.col("value"), columntypes.column_type("DECIMAL(18, 2)")).cast("string").alias("amount"),
+        columntypes.strict_cast(F.col("ts"), T.DateType()).cast("string").alias("day"),
         columntypes.unconvertible(F.col("event_type"), T.IntegerType()).alias("bad_code"),
     )
 
@@ -212,7 +212,7 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "nearest_batch",
-    f"""WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label),
+    f"""WITH q AS (SELECT CAST(label AS BIGINT) AS query_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label),
              d AS (SELECT query_id, vec_id, 1 - {COSINE} AS distance FROM embeddings e, q)
         SELECT query_id, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place
         FROM d QUALIFY place <= 5""",

@@ -129,13 +129,13 @@ def throughput_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "run_metrics",
-    """SELECT user_id, CAST(ts AS DATE) AS run_day, count(*) AS extracted, count(*) FILTER (WHERE event_type <> 'error') AS transformed,
+    """SELECT user_id, strftime(ts, '%Y-%m-%d') AS run_day, count(*) AS extracted, count(*) FILTER (WHERE event_type <> 'error') AS transformed,
               count(*) FILTER (WHERE event_type = 'error') AS failed, date_sub('second', min(ts), max(ts)) AS seconds,
               count(*) FILTER (WHERE event_type = 'error') = 0 AS success
        FROM events GROUP BY ALL""",
 )
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("run_day", F.to_date("ts"))
+    events = table(spark, sf_dir, "events").withColumn("run_day", F.date_format("ts", "yyyy-MM-dd"))
     return aggregates.run_metrics(events, ["user_id", "run_day"], F.col("event_type") == "error", "ts")
 
 
@@ -206,7 +206,7 @@ def window_lag_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     "period_over_period",
     """WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS "value"
                   FROM orders GROUP BY 1)
-       SELECT a.period, a."value", b."value" AS previous_month, a."value" - b."value" AS delta_month,
+       SELECT CAST(a.period AS VARCHAR) AS period, a."value", b."value" AS previous_month, a."value" - b."value" AS delta_month,
               round((a."value" - b."value") * 100 / b."value", 4) AS percent_month, c."value" AS previous_year,
               a."value" - c."value" AS delta_year, round((a."value" - c."value") * 100 / c."value", 4) AS percent_year
        FROM m a LEFT JOIN m b ON b.period = a.period - INTERVAL 1 MONTH LEFT JOIN m c ON c.period = a.period - INTERVAL 12 MONTH""",
@@ -215,7 +215,8 @@ def period_over_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = windows.period_over_period(
         table(spark, sf_dir, "orders"), "o_orderdate", F.sum(money("o_totalprice")).cast("double")
     )
-    return result.withColumns({c: F.round(c, 4) for c in ("percent_month", "percent_year")})
+    shares = {c: F.round(c, 4) for c in ("percent_month", "percent_year")}
+    return result.withColumns(shares).withColumn("period", F.col("period").cast("string"))
 
 
 @query(

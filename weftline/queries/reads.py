@@ -9,7 +9,14 @@ from pyspark.sql import types as T
 from weftline.functions import formula as fx
 from weftline.functions.predicates import Condition, all_of, any_of, build, by_fields, current_rows, in_scope
 from weftline.operators import aggregates, joins, paging, search, setops
-from weftline.operators.datasets import open_data_set, project_declared, rename_fields, union_all
+from weftline.operators.datasets import (
+    open_data_set,
+    open_named,
+    project_declared,
+    query_data_set,
+    rename_fields,
+    union_all,
+)
 from weftline.queries.registry import money, moment, query, table, text_list
 from weftline.session import scratch_path
 from weftline.sources import files, sinks
@@ -49,7 +56,7 @@ CUSTOMER_ORDERS = DataSetSpec(
 
 @query(
     "customer_orders",
-    """SELECT c_mktsegment AS segment, 'amount' AS "column", count(*) AS n, 0 AS nulls,
+    """SELECT c_mktsegment AS segment, 'amount' AS "column", count(*) AS n, CAST(0 AS BIGINT) AS nulls,
               count(DISTINCT o_totalprice) AS distinct_values, min(o_totalprice) AS min_value, max(o_totalprice) AS max_value,
               CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_value,
               round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean_value,
@@ -73,6 +80,36 @@ def rounded(stats: DataFrame) -> DataFrame:
     return stats.withColumns({c: F.round(c, 4) for c in ("mean_value", "stddev_value")})
 
 
+@query(
+    "data_set_query",
+    """SELECT o_orderkey AS order_id, o_orderstatus AS status, o_totalprice AS amount, c_mktsegment AS segment,
+              (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'O') > 60 AS has_more
+       FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'O'
+       ORDER BY o_orderkey LIMIT 40 OFFSET 20""",
+)
+def data_set_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = {n: table(spark, sf_dir, n) for n in ("orders", "customer")}
+    params = {"Segment": "BUILDING", "STATUS": "O", "order_id": ""}
+    rows = query_data_set(CUSTOMER_ORDERS, frames, params, skip=20, take=40)
+    return rows.withColumn("amount", F.col("amount").cast("double"))
+
+
+@query(
+    "data_set_view",
+    """SELECT c_mktsegment AS segment, o_orderkey AS id, o_totalprice AS gross, o_totalprice / 2 AS net FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
+def data_set_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view of a view of the joined data set."""
+    frames = {n: table(spark, sf_dir, n) for n in ("orders", "customer")}
+    renamed = [FieldSpec("segment"), FieldSpec("order_id", "id"), FieldSpec("amount", "gross", T.DoubleType())]
+    specs = {
+        "CustomerOrders": CUSTOMER_ORDERS,
+        "Amounts": DataSetSpec("Amounts", "simple", [SourceSpec("CustomerOrders", fields=renamed)], key=["id"]),
+        "Net": DataSetSpec("Net", "simple", [SourceSpec("Amounts")], calculated=[Calculated("net", "gross / 2")]),
+    }
+    return open_named("net", specs, frames)
+
+
 # -- projection -----------------------------------------------------------------------------
 
 
@@ -139,7 +176,7 @@ def calculated(spark: SparkSession, sf_dir: str) -> DataFrame:
     "formula",
     """SELECT p_partkey, upper(coalesce(nullif(p_brand, 'Brand#1'), 'none')) || '/' || lower(p_type) AS label,
               CASE WHEN p_size >= 25 AND NOT p_retailprice < 1000 THEN 'large' WHEN p_size % 2 = 0 THEN 'even' ELSE 'odd' END AS size_class,
-              round(abs(CAST(p_retailprice AS DECIMAL(18,2)) - 1000), 1) AS gap
+              CAST(round(abs(CAST(p_retailprice AS DECIMAL(18,2)) - 1000), 1) AS DOUBLE) AS gap
        FROM part""",
 )
 def formula(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +190,8 @@ def formula(spark: SparkSession, sf_dir: str) -> DataFrame:
         "size_class": c("case", large, v("large"), even, v("even"), v("odd")),
         "gap": c("round", c("abs", c("-", f("price"), v(1000))), v(1)),
     }
-    return fx.with_formulas(part, formulas).select("p_partkey", *formulas)
+    rows = fx.with_formulas(part, formulas).select("p_partkey", *formulas)
+    return rows.withColumn("gap", F.col("gap").cast("double"))
 
 
 @query(
