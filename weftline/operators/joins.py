@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.errors import Refused
+from weftline.operators.lookup import lookup
 from weftline.operators.windows import WindowColumn, running
 
 KINDS = ("inner", "left", "right", "full")
@@ -20,11 +21,15 @@ def _on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) ->
     return reduce(operator.and_, [left[a] == right[b] for a, b in pairs])
 
 
+def _owner_keys(owners: DataFrame, pairs: Sequence[tuple[str, str]]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The distinct keys of the other side, under names of their own."""
+    keys = owners.select(*[F.col(b).alias(f"__k{i}") for i, (_, b) in enumerate(pairs)]).distinct()
+    return keys, [(a, f"__k{i}") for i, (a, _) in enumerate(pairs)]
+
+
 def _unmatched(side: DataFrame, other: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows of ``side`` without a partner; the other side shrinks to its distinct keys first."""
-    keys = other.select(*[F.col(b).alias(f"__k{i}") for i, (_, b) in enumerate(pairs)]).distinct()
-    condition = reduce(operator.and_, [side[a] == keys[f"__k{i}"] for i, (a, _) in enumerate(pairs)])
-    return side.join(keys, condition, "left_anti")
+    return lookup(side, *_owner_keys(other, pairs), "left_anti")
 
 
 def join_frames(
@@ -61,9 +66,7 @@ def join_frames(
 
 def semi_join(df: DataFrame, owners: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows whose owner exists."""
-    keys = owners.select(*[F.col(b).alias(f"__k{i}") for i, (_, b) in enumerate(pairs)]).distinct()
-    condition = reduce(operator.and_, [df[a] == keys[f"__k{i}"] for i, (a, _) in enumerate(pairs)])
-    return df.join(keys, condition, "left_semi")
+    return lookup(df, *_owner_keys(owners, pairs), "left_semi")
 
 
 def anti_join(df: DataFrame, other: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -86,8 +89,8 @@ def child_counts(
 ) -> DataFrame:
     """Parents with the number of their children, 0 when none."""
     counts = children.groupBy(F.col(parent_key).alias("__parent")).agg(F.count(F.lit(1)).alias("__n"))
-    joined = parents.join(counts, parents[key] == counts["__parent"], "left")
-    return joined.withColumn(name, F.coalesce("__n", F.lit(0))).drop("__parent", "__n")
+    joined = lookup(parents, counts, [(key, "__parent")])
+    return joined.withColumn(name, F.coalesce("__n", F.lit(0))).drop("__n")
 
 
 def scoped_overlay(

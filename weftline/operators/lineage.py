@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.errors import Refused
+from weftline.operators.lookup import lookup
 from weftline.session import settle, settle_measured
 from weftline.specs import ordering
 
@@ -32,9 +33,9 @@ def neighbours(edges: DataFrame, node: object) -> tuple[DataFrame, DataFrame]:
     returned = nodes.select("node").unionByName(
         edges.sparkSession.range(1).select(F.lit(node).cast(edges.schema["src"].dataType).alias("node"))
     ).distinct()
-    inner = edges.join(returned.withColumnRenamed("node", "src"), "src", "left_semi").join(
-        returned.withColumnRenamed("node", "dst"), "dst", "left_semi"
-    )
+    inner = edges
+    for end in ("src", "dst"):
+        inner = lookup(inner, returned.withColumnRenamed("node", "__node"), [(end, "__node")], "left_semi")
     return nodes, inner.select(*edges.columns)
 
 
@@ -155,16 +156,17 @@ def _oriented(pairs: DataFrame) -> DataFrame:
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Connect each node's larger neighbours to the smallest node of its neighbourhood."""
     sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lowest = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    linked = sides.join(lowest, "a").where(F.col("b") > F.col("a"))
+    lowest = sides.groupBy(F.col("a").alias("__a")).agg(F.min("b").alias("m"))
+    lowest = lowest.select("__a", F.least("__a", "m").alias("m"))
+    linked = lookup(sides, lowest, [("a", "__a")], "inner").where(F.col("b") > F.col("a"))
     return _oriented(linked.select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Connect each node and its smaller neighbours to the smallest of them."""
-    lowest = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    linked = pairs.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return _oriented(linked.unionByName(lowest.select("a", F.col("m").alias("b"))))
+    lowest = pairs.groupBy(F.col("a").alias("__a")).agg(F.min("b").alias("m"))
+    linked = lookup(pairs, lowest, [("a", "__a")], "inner").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _oriented(linked.unionByName(lowest.select(F.col("__a").alias("a"), F.col("m").alias("b"))))
 
 
 def _marked(pairs: DataFrame) -> tuple[DataFrame, dict[str, object]]:

@@ -6,10 +6,12 @@ rows per query, so what is shuffled or merged is k rows per task, never the tabl
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,9 @@ from weftline.errors import Refused
 from weftline.operators.windows import number_rows
 from weftline.session import settle
 
+# Tasks get these functions by value: the package need not be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 METRICS = ("cosine",)
 
 # Query vectors handled at once; a block is read by the driver and shipped to the tasks.

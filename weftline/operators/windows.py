@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.errors import Refused
+from weftline.operators.lookup import lookup
 from weftline.operators.spread import CHUNK_KEYS, HOT, hot_keys, same_key, with_chunks
 from weftline.specs import Ordering, ordering
 
@@ -52,10 +53,10 @@ def _match(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return reduce(operator.and_, [same(n) for n in names])
 
 
-def _join_back(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``names`` with NULL equal to NULL; ``right`` holds one row per key."""
+def _join_back(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Left join on ``names`` with NULL equal to NULL; ``right`` holds one row per key."""
     renamed = right.withColumnsRenamed({n: f"__r_{n}" for n in names})
-    joined = left.join(renamed, _match(left, renamed, names), how)
+    joined = left.join(renamed, _match(left, renamed, names), "left")
     return joined.drop(*[f"__r_{n}" for n in names])
 
 
@@ -89,7 +90,7 @@ def running(
         F.sum("__t_n").over(before).alias("__b_n"),
         *[PARTS[f](f"__t_{f}_{c}").over(before).alias(f"__b_{f}_{c}") for f, c in sums],
     )
-    joined = _join_back(scanned, offsets, parts, "left")
+    joined = _join_back(scanned, offsets, parts)
     joined = joined.withColumn("__b_n", F.coalesce("__b_n", F.lit(0)))
     result = joined.withColumns({c.name: _running_value(c) for c in columns})
     return result.select(*df.columns, *[c.name for c in columns])
@@ -156,7 +157,8 @@ def ranking(
     scanned = running(ties, keys, sort, places, hot_rows, chunks)
     forms = {"rank": F.col("__upto") - F.col("__ties") + 1, "dense_rank": F.col("__place")}
     ranks = scanned.select(*values, *[forms[c.function].cast("long").alias(c.name) for c in columns])
-    result = _join_back(hot, ranks, values).select(*names)
+    placed = ranks.withColumnsRenamed({v: f"__r_{v}" for v in values})
+    result = lookup(hot, placed, [(v, f"__r_{v}") for v in values], "inner", null_safe=True).select(*names)
     if plain is None:
         return result
     over = Window.partitionBy(*keys).orderBy(*[o.column() for o in sort])
@@ -200,7 +202,7 @@ def _neighbour(
     across = edges.select(*parts, shift("__edge").over(over_chunks).alias("__across"))
     local = Window.partitionBy(*parts).orderBy(*[o.column() for o in sort])
     inside = base.withColumn("__inside", shift(F.struct(spec.column)).over(local))
-    joined = _join_back(inside, across, parts, "left")
+    joined = _join_back(inside, across, parts)
     value = F.when(F.col("__inside").isNotNull(), F.col(f"__inside.{spec.column}")).otherwise(
         F.col(f"__across.{spec.column}")
     )
@@ -214,7 +216,7 @@ def _by_position(
     numbered = running(df, keys, sort, [WindowColumn("__pos", "row_number")], hot_rows, chunks)
     step = spec.offset if spec.function == "lag" else -spec.offset
     away = numbered.select(*keys, (F.col("__pos") + step).alias("__pos"), F.col(spec.column).alias("__away"))
-    joined = _join_back(numbered, away, [*keys, "__pos"], "left")
+    joined = _join_back(numbered, away, [*keys, "__pos"])
     return joined.withColumn(spec.name, F.col("__away")).select(*df.columns, spec.name)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.errors import Refused
 from weftline.functions.keys import align_keys, key_columns, present_keys
+from weftline.operators.lookup import lookup
 from weftline.operators.windows import latest_per_key, number_rows
 from weftline.specs import TableSpec
 
@@ -170,18 +171,25 @@ def soft_delete(
     )
 
 
+def _keyed(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
+    """The target with comparable keys, the distinct keys of the source, and how they pair."""
+    left, right = align_keys(target, source.select(*keys), keys)
+    names = key_columns(keys)
+    present = present_keys(right, keys).withColumnsRenamed({n: f"{n}_in" for n in names})
+    return left, present, [(n, f"{n}_in") for n in names]
+
+
 def _mark_present(target: DataFrame, source: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: whether the row's key is in ``source``. The source shrinks to distinct keys."""
-    left, right = align_keys(target, source.select(*keys), keys)
-    present = present_keys(right, keys).withColumn(name, F.lit(True))
-    joined = left.join(present, key_columns(keys), "left")
+    left, present, pairs = _keyed(target, source, keys)
+    joined = lookup(left, present.withColumn(name, F.lit(True)), pairs)
     return joined.withColumn(name, F.coalesce(name, F.lit(False))).select(*target.columns, name)
 
 
 def _absent(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not in ``source``; a NULL key is in no source."""
-    left, right = align_keys(target, source.select(*keys), keys)
-    return left.join(present_keys(right, keys), key_columns(keys), "left_anti").select(*target.columns)
+    left, present, pairs = _keyed(target, source, keys)
+    return lookup(left, present, pairs, "left_anti").select(*target.columns)
 
 
 def version_save(target: DataFrame, rows: DataFrame, spec: TableSpec, order: Sequence[str]) -> Change:
@@ -195,9 +203,10 @@ def version_save(target: DataFrame, rows: DataFrame, spec: TableSpec, order: Seq
     numbered = number_rows(saved, order, spec.physical_key, _last_id(spec, target))
     keys = list(spec.logical_key)
     numbered, _ = align_keys(numbered, target, keys)
-    last = numbered.groupBy(*key_columns(keys)).agg(F.max(spec.physical_key).alias("__last"))
+    names = key_columns(keys)
+    last = numbered.groupBy(*[F.col(n).alias(f"{n}_in") for n in names]).agg(F.max(spec.physical_key).alias("__last"))
     added = (
-        numbered.join(last, key_columns(keys))
+        lookup(numbered, last, [(n, f"{n}_in") for n in names], "inner", null_safe=True)
         .withColumns({IS_CURRENT: F.col(spec.physical_key) == F.col("__last"), IS_DELETED: F.lit(False)})
         .withColumn(spec.physical_key, F.col(spec.physical_key).cast(target.schema[spec.physical_key].dataType))
         .select(*target.columns)
@@ -245,7 +254,7 @@ def state_change(
     latest = changes.groupBy(F.col(document_id).alias("__doc")).agg(
         F.max(F.struct(F.col(at), F.col(change_id), F.col(state).alias("__state"))).alias("__last")
     )
-    moved = documents.join(latest, documents[document_id] == latest["__doc"], "left")
+    moved = lookup(documents, latest, [(document_id, "__doc")])
     moved = moved.withColumn(state, F.coalesce(F.col("__last.__state"), F.col(state)))
     return moved.select(*documents.columns), log.unionByName(changes)
 

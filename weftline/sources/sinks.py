@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from weftline.errors import Refused
 from weftline.session import scratch_path
 from weftline.sources.files import path_exists
 
+# Tasks get these functions by value: the package need not be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: first characters that make a spreadsheet run a cell.
 FORMULA_START = r"^[=+\-@\t\r]"
 
