@@ -163,6 +163,21 @@ def test_nearest_batch_equals_brute_force(spark, cloud, block, monkeypatch):
         ]
 
 
+def test_tasks_do_not_need_the_package(tmp_path):
+    import pathlib
+    import subprocess
+    import sys
+
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+    (tmp_path / "task").write_bytes(cloudpickle.dumps(vectors._task([0], np.array([[1.0, 0.0]]), 1, schema)))
+    load = "import pickle, sys; f = pickle.load(open('task', 'rb')); print(f.__name__, 'weftline' in sys.modules)"
+    done = subprocess.run([sys.executable, "-c", load], cwd=pathlib.Path(tmp_path), capture_output=True, text=True, check=True)
+    assert done.stdout.split() == ["run", "False"]
+
+
 def test_vector_refusals(cloud):
     _, df = cloud
     with pytest.raises(Refused, match="limit"):
@@ -277,6 +292,15 @@ def test_graph_refusals(spark):
         Graph([Node("a", lambda: spark.range(1)), Node("b", lambda d: d.select("nope"), ["a"])]).describe()
 
 
+def test_runs(spark):
+    runs = spark.createDataFrame(
+        [("a", 1, "2024-01-01", True), ("a", 2, "2024-01-02", False), ("b", 3, "2024-01-01", True)],
+        "flow string, run_id int, started_at string, ok boolean",
+    )
+    assert {r["flow"]: r["run_id"] for r in flows.flow_status(runs).collect()} == {"a": 2, "b": 3}
+    assert [r["run_id"] for r in flows.flow_history(runs, "flow", "a").collect()] == [2, 1]
+
+
 def test_parameters(spark):
     declared = [Parameter("n", T.IntegerType(), 3), Parameter("s", T.StringType())]
     bound = flows.bind_parameters(declared, {"s": "x"})

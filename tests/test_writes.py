@@ -146,7 +146,7 @@ def test_returning_names_declared_columns(people):
 
 def test_replace_publishes_one_table_only(spark, people, rows, tmp_path):
     chiefs, broncos = str(tmp_path / "chiefs"), str(tmp_path / "broncos")
-    sinks.publish(people, chiefs)
+    assert sinks.publish(people, chiefs) == 2
     sinks.publish(people, broncos)
     sinks.publish(writes.insert_replace(people, spark.createDataFrame([(3, "Cy")], "RowId long, Name string"), PEOPLE).state, chiefs)
     assert rows(spark.read.parquet(chiefs)) == [(3, "Cy")]

@@ -66,7 +66,8 @@ def catalog_search(kinds: Mapping[str, DataFrame], query: str = "", kind: str |
                 F.lower("name").contains(text) | F.coalesce(F.lower("description").contains(text), F.lit(False))
             )
         rows = part if rows is None else rows.unionByName(part)
-    return rows.orderBy("kind", F.lower("name"), "name", "description")
+    # The last term only spreads equal rows over tasks; they may come in any order.
+    return rows.orderBy("kind", F.lower("name"), "name", "description", F.monotonically_increasing_id())
 
 
 # Scores of a ranked match.

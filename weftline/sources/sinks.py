@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,16 +74,18 @@ def export_fixed_width(df: DataFrame, path: str, widths: Sequence[tuple[str, int
     df.select(F.concat(*cells).alias("value")).write.text(path)
 
 
-def publish(state: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Put a table's next state in place of the old one.
+def publish(state: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
+    """Put a table's next state in place of the old one; answers its number of rows.
 
     The state is written whole to a new path first, so a failed job leaves the old table as it
     was, and a table may be computed from itself. Only then are the folders swapped.
     """
     spark = state.sparkSession
     fresh = f"{path.rstrip('/')}.next-{scratch_path(spark, 'x').rsplit('-', 1)[1]}"
-    state.write.partitionBy(*partition_by).parquet(fresh)
+    seen = Observation()
+    state.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy(*partition_by).parquet(fresh)
     _swap(spark, fresh, path.rstrip("/"))
+    return seen.get["rows"]
 
 
 def _swap(spark: SparkSession, fresh: str, live: str) -> None:
