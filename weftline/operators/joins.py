@@ -149,7 +149,10 @@ def parent_child(
     bare = F.transform("__items", lambda i: F.struct(*[i[c].alias(c) for c in body]))
     empty = F.slice(F.array(F.struct(*[F.lit(None).cast(children.schema[c].dataType).alias(c) for c in body])), 1, 0)
     composed = lists.select("__parent", "__block", bare.alias(into))
-    joined = join_frames(parents, composed, [(key, "__parent")], "left")
+    matched = join_frames(parents, composed, [(key, "__parent")])
+    # Childless owners are told by the children's keys alone; the lists are not built twice.
+    alone = anti_join(parents, children, [(key, parent_key)])
+    joined = matched.unionByName(alone, allowMissingColumns=True)
     return joined.select(
         *parents.columns,
         F.coalesce("__block", F.lit(0)).cast("long").alias("block_no"),
