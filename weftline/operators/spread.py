@@ -84,6 +84,34 @@ def _position(bounds: Column, groups: int, value: Column) -> Column:
     return full * width + F.size(F.filter(rest, lambda b: b < value))
 
 
+def _filler(kind: T.DataType) -> Column | None:
+    """A value of the type that stands in for NULL; None for types compared as text."""
+    if isinstance(kind, T.NumericType):
+        return F.lit(0).cast(kind)
+    if isinstance(kind, T.StringType):
+        return F.lit("")
+    if isinstance(kind, T.BooleanType):
+        return F.lit(False)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(kind)
+    return None
+
+
+def key_parts(df: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
+    """Columns without NULL that are equal exactly when the keys are, NULL equal to NULL.
+
+    Windows and joins on the same such columns share one shuffle and one sort; null-safe
+    equality would be rewritten to other expressions and shuffle the table again.
+    """
+    parts: dict[str, Column] = {}
+    for i, name in enumerate(keys):
+        filler = _filler(df.schema[name].dataType)
+        value = F.col(name) if filler is not None else F.col(name).cast("string")
+        parts[f"__k{i}"] = F.coalesce(value, F.lit("") if filler is None else filler)
+        parts[f"__n{i}"] = F.col(name).isNull()
+    return parts
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, chunks: int | None = None) -> DataFrame:
     """Keys that hold more rows than one chunk of the table, and more than ``hot_rows``.
 
@@ -106,6 +134,7 @@ def with_chunks(
 ) -> DataFrame:
     """Add ``__chunk`` and ``__sub``: within a key, sorting by them agrees with sorting by ``order``.
 
+    The key itself is added in the form of ``key_parts``, and ``__hot`` for rows of hot keys.
     Only hot keys are cut; all others are one chunk, 0. The bounds are quantiles of the hot
     rows, one row read through a scalar subquery; nothing is collected.
     """
@@ -135,7 +164,7 @@ def with_chunks(
     hot_row = F.col(HOT)
     return marked.withColumns(
         {CHUNK: F.when(hot_row, chunk).otherwise(0), SUB: F.when(hot_row, sub).otherwise(0)}
-    ).drop(*added)
+    ).withColumns(key_parts(df, keys) or {HOT: F.col(HOT)}).drop(*added)
 
 
 def _place(value: Column, position: Column, order: Ordering) -> Column:

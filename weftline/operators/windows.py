@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.errors import Refused
 from weftline.operators.lookup import lookup
-from weftline.operators.spread import CHUNK_KEYS, HOT, hot_keys, same_key, with_chunks
+from weftline.operators.spread import CHUNK_KEYS, HOT, hot_keys, key_parts, same_key, with_chunks
 from weftline.specs import Ordering, ordering
 
 RUNNING = ("row_number", "sum", "avg", "min", "max", "count")
@@ -45,19 +45,14 @@ class WindowColumn:
             raise Refused("offset must be positive")
 
 
-def _match(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    def same(name: str) -> Column:
-        mine, other = left[name], right[f"__r_{name}"]
-        return mine == other if name in CHUNK_KEYS else mine.eqNullSafe(other)
-
-    return reduce(operator.and_, [same(n) for n in names])
-
-
 def _join_back(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Left join on ``names`` with NULL equal to NULL; ``right`` holds one row per key."""
-    renamed = right.withColumnsRenamed({n: f"__r_{n}" for n in names})
-    joined = left.join(renamed, _match(left, renamed, names), "left")
-    return joined.drop(*[f"__r_{n}" for n in names])
+    """Left join on ``names``, which hold no NULL; ``right`` holds one row per key.
+
+    The left side comes from a window over the same names: it is neither shuffled nor sorted again.
+    """
+    renamed = right.withColumnsRenamed({n: f"__r{n}" for n in names})
+    same = reduce(operator.and_, [left[n] == renamed[f"__r{n}"] for n in names])
+    return left.join(renamed, same, "left").drop(*[f"__r{n}" for n in names])
 
 
 def running(
@@ -70,7 +65,8 @@ def running(
 ) -> DataFrame:
     """Running functions. ``order`` must be total: end it with a unique key."""
     keys, sort = list(partition), ordering(*order)
-    parts = keys + list(CHUNK_KEYS)
+    owner = list(key_parts(df, keys))
+    parts = owner + list(CHUNK_KEYS)
     base = with_chunks(df, keys, sort, hot_rows, chunks)
     sums = [(f, c) for c in sorted({c.column for c in columns if c.column}) for f in PARTS if _needed(columns, c, f)]
 
@@ -84,7 +80,7 @@ def running(
     totals = base.where(HOT).groupBy(*parts).agg(
         F.count(F.lit(1)).alias("__t_n"), *[getattr(F, f)(c).alias(f"__t_{f}_{c}") for f, c in sums]
     )
-    before = Window.partitionBy(*keys).orderBy(*CHUNK_KEYS).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*owner).orderBy(*CHUNK_KEYS).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *parts,
         F.sum("__t_n").over(before).alias("__b_n"),
@@ -190,14 +186,15 @@ def shifted(
 def _neighbour(
     df: DataFrame, keys: list[str], sort: list[Ordering], spec: WindowColumn, hot_rows: int | None, chunks: int | None
 ) -> DataFrame:
-    parts = keys + list(CHUNK_KEYS)
+    owner = list(key_parts(df, keys))
+    parts = owner + list(CHUNK_KEYS)
     base = with_chunks(df, keys, sort, hot_rows, chunks)
     rows = F.struct(*[o.name for o in sort])
     forward = spec.function == "lag"
     # The edge is the chunk's last row for lag, its first for lead; descending order swaps them.
     pick = F.max_by if forward != sort[0].descending else F.min_by
     edges = base.where(HOT).groupBy(*parts).agg(pick(F.struct(spec.column), rows).alias("__edge"))
-    over_chunks = Window.partitionBy(*keys).orderBy(*CHUNK_KEYS)
+    over_chunks = Window.partitionBy(*owner).orderBy(*CHUNK_KEYS)
     shift = F.lag if forward else F.lead
     across = edges.select(*parts, shift("__edge").over(over_chunks).alias("__across"))
     local = Window.partitionBy(*parts).orderBy(*[o.column() for o in sort])
@@ -215,8 +212,10 @@ def _by_position(
     """Any offset: number the rows, then meet the row that lies ``offset`` away."""
     numbered = running(df, keys, sort, [WindowColumn("__pos", "row_number")], hot_rows, chunks)
     step = spec.offset if spec.function == "lag" else -spec.offset
-    away = numbered.select(*keys, (F.col("__pos") + step).alias("__pos"), F.col(spec.column).alias("__away"))
-    joined = _join_back(numbered, away, [*keys, "__pos"])
+    owner = key_parts(df, keys)
+    numbered = numbered.withColumns(owner) if owner else numbered
+    away = numbered.select(*owner, (F.col("__pos") + step).alias("__pos"), F.col(spec.column).alias("__away"))
+    joined = _join_back(numbered, away, [*owner, "__pos"])
     return joined.withColumn(spec.name, F.col("__away")).select(*df.columns, spec.name)
 
 
