@@ -41,14 +41,22 @@ def chunk_count(df: DataFrame) -> int:
 
 
 def _bounds(df: DataFrame, name: str, order: Sequence[Ordering], count: int) -> Column:
-    """``count - 1`` quantiles of a column as a sorted array, from one row; nothing is collected."""
+    """``count - 1`` sorted quantiles of a column, and every sqrt(n)-th of them, from one row."""
     if isinstance(df.schema[name].dataType, T.StringType):
-        return _text_bounds(df, name, order, count)
-    shares = [i / count for i in range(1, count)]
-    return df.agg(F.percentile_approx(_sortable(df, name), shares, ACCURACY)).scalar()
+        row = _text_bounds(df, name, order, count)
+    else:
+        shares = [i / count for i in range(1, count)]
+        row = df.agg(F.percentile_approx(_sortable(df, name), shares, ACCURACY).alias("b"))
+    width = _width(count)
+    heads = F.filter("b", lambda _, i: i % width == width - 1)
+    return row.select(F.struct(heads.alias("heads"), F.col("b").alias("all"))).scalar()
+
+
+def _width(count: int) -> int:
+    return max(1, math.isqrt(count))
 
 
-def _text_bounds(df: DataFrame, name: str, order: Sequence[Ordering], count: int) -> Column:
+def _text_bounds(df: DataFrame, name: str, order: Sequence[Ordering], count: int) -> DataFrame:
     """Quantiles of a text column from one row per hash bucket, a fixed number of them.
 
     Rows fall into buckets by the hash of their order columns, so a bucket's pick stands for
@@ -66,7 +74,7 @@ def _text_bounds(df: DataFrame, name: str, order: Sequence[Ordering], count: int
         F.sequence(F.lit(1), F.lit(count - 1)),
         lambda i: F.get("a", F.floor(i * F.size("a") / F.lit(count)).cast("int")),
     )
-    return picks.select(nth).scalar()
+    return picks.select(nth.alias("b"))
 
 
 def _sortable(df: DataFrame, name: str) -> Column:
@@ -75,13 +83,12 @@ def _sortable(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def _position(bounds: Column, groups: int, value: Column) -> Column:
-    """How many bounds lie below the value, by a look at every sqrt(n)-th bound first."""
-    width = groups
-    heads = F.filter(bounds, lambda b, i: (i % width == width - 1) & (b < value))
-    full = F.size(heads)
-    rest = F.slice(bounds, full * width + 1, F.lit(width))
-    return full * width + F.size(F.filter(rest, lambda b: b < value))
+def _position(bounds: str, width: int, value: Column) -> tuple[Column, Column]:
+    """How many bounds lie below the value, and whether it is one: a look at the heads, then at one group."""
+    full = F.size(F.filter(f"{bounds}.heads", lambda b: b < value))
+    group = F.slice(F.col(f"{bounds}.all"), full * width + 1, F.lit(width))
+    below = full * width + F.size(F.filter(group, lambda b: b < value))
+    return below, F.coalesce(F.array_contains(group, value), F.lit(False))
 
 
 def _filler(kind: T.DataType) -> Column | None:
@@ -139,7 +146,7 @@ def with_chunks(
     rows, one row read through a scalar subquery; nothing is collected.
     """
     count = chunks or chunk_count(df)
-    width = max(1, math.isqrt(count))
+    inner_count = min(count, SUB_CHUNKS)
     leading = list(order)[:2]
     if keys:
         hot = hot_keys(df, keys, hot_rows, count).withColumn(HOT, F.lit(True))
@@ -149,17 +156,17 @@ def with_chunks(
     else:
         marked, source = df.withColumn(HOT, F.lit(True)), df
     for i, o in enumerate(leading):
-        marked = marked.withColumn(f"{_BOUNDS}{i}", _bounds(source, o.name, order, count if i == 0 else min(count, SUB_CHUNKS)))
+        marked = marked.withColumn(f"{_BOUNDS}{i}", _bounds(source, o.name, order, count if i == 0 else inner_count))
 
-    first, edges = _sortable(df, leading[0].name), F.col(f"{_BOUNDS}0")
-    on_edge = F.coalesce(F.array_contains(edges, first), F.lit(False))
+    first = _sortable(df, leading[0].name)
+    below, on_edge = _position(f"{_BOUNDS}0", _width(count), first)
     # Values equal to a bound get a chunk of their own (odd), the rest lie between (even).
-    chunk = _place(first, _position(edges, width, first) * 2 + on_edge.cast("int"), leading[0])
+    chunk = _place(first, below * 2 + on_edge.cast("int"), leading[0])
     sub = F.lit(0)
     if len(leading) > 1:
         second = _sortable(df, leading[1].name)
-        inner = _place(second, _position(F.col(f"{_BOUNDS}1"), width, second), leading[1])
-        sub = F.when(on_edge | first.isNull(), inner).otherwise(0)
+        inner, _ = _position(f"{_BOUNDS}1", _width(inner_count), second)
+        sub = F.when(on_edge | first.isNull(), _place(second, inner, leading[1])).otherwise(0)
     added = [f"{_BOUNDS}{i}" for i in range(len(leading))]
     hot_row = F.col(HOT)
     return marked.withColumns(
