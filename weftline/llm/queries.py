@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language, sentencepieces, token_counts
+from weftline.llm import language, packing, sentencepieces, simhash, token_counts, warc
 from weftline.llm.common import held_out
 from weftline.queries.registry import table
 from weftline.session import scratch_path
@@ -44,3 +44,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sentencepieces")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digest_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
+@query(
+    "op8_warc",
+    """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+    m AS (SELECT *, CASE WHEN payload_bytes >= 1000
+                         THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS newest FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN newest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN newest <> page_id THEN newest END AS refers_to
+    FROM m
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.word_count())
