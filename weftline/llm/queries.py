@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language, packing, sentencepieces, simhash, token_counts, warc
+from weftline.llm import language, packing, repeats, sentencepieces, simhash, token_counts, warc
 from weftline.llm.common import held_out
 from weftline.queries.registry import table
 from weftline.session import scratch_path
@@ -71,3 +71,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.word_count())
+
+
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"), length=100).drop("begins", "ends")
