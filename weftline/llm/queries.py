@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import impacts, language, neighbours, packing, repeats, sentencepieces, simhash, token_counts, warc
+from weftline.llm import impacts, language, licenses, neighbours, packing, repeats, sentencepieces, simhash, token_counts, warc
 from weftline.llm.common import held_out
 from weftline.queries.registry import table
 from weftline.session import scratch_path
@@ -102,3 +102,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_neighbours")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op1_licenses")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
