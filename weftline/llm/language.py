@@ -139,7 +139,13 @@ def learn(
     """
     labelled = docs.where(learnable & F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
     rows = labelled.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # A language's rows are thinned to a few times the sample before they meet in one task.
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
+    share = F.lit(1.0)
+    for r in sizes:
+        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2 * sample / r["n"]))).otherwise(share)
+    rows = rows.withColumn("h", F.xxhash64("doc_id")).where((F.col("h") / 2.0**64 + 0.5) <= share)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = rows.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id").distinct()
     texts = labelled.select(
         F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
@@ -149,11 +155,11 @@ def learn(
     counted = taught.mapInArrow(_sample_grams, "lang string, width int, code long, n long")
     totals = counted.groupBy("lang", "width", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang", "width").orderBy(F.desc("n"), "code"))
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     kept = totals.withColumn("place", place).where(F.col("place") <= GRAMS).select("lang", "code").toArrow()
     names = kept.column("lang").to_pylist()
     languages = sorted(set(names))
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"{len(languages)} languages, at most {LANGUAGES}")
     place_of = {name: i for i, name in enumerate(languages)}
     owner = np.array([place_of[n] for n in names], np.int64)
     return Filters.build(languages, kept.column("code").to_numpy().astype(np.int64).view(np.uint64), owner)
