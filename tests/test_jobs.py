@@ -255,11 +255,11 @@ def test_tree_paths(spark, rows):
 
 def test_player_flow_counts_what_it_drops(spark):
     lines = spark.createDataFrame(
-        [("a", "QB", 17, 5228, 300, None), ("b", "WR", 16, None, None, 1783), ("c", "qb", 10, 400, None, None), ("d", "TE", 0, None, None, None)],
+        [("a", "QB", 16, 4400, 120, None), ("b", "WR", 15, None, None, 1650), ("c", "qb", 9, 310, None, None), ("d", "TE", 0, None, None, None)],
         "name string, position string, games int, passing int, rushing int, receiving int",
     )
     got = {r["name"]: (r["total"], r["rating"], r["classification"]) for r in flows.player_lines(lines, 0).collect()}
-    assert got["a"] == (5528, 325.2, "MVP Candidate") and got["b"] == (1783, 111.4, "Pro Bowl")
+    assert got["a"] == (4520, 282.5, "Elite") and got["b"] == (1650, 110.0, "Pro Bowl")
     assert got["c"][2] == "Rotational" and got["d"] == (0, 0.0, "Rotational")
     assert {r["name"] for r in flows.player_lines(lines, 12, "qb").collect()} == {"a"}
     assert {r["name"] for r in flows.player_lines(lines, 1, "").collect()} == {"a", "b", "c"}
@@ -279,7 +279,10 @@ def test_graph_describes_orders_and_counts(spark):
     assert graph.sinks() == ["named"]
     counts = flows.edge_counts(graph, "named", lambda df: df.write.format("noop").mode("overwrite").save())
     assert counts == {("numbers", "even"): 10, ("even", "named"): 5}
-    assert {(r["source"], r["target"]): r["records"] for r in flows.edge_metrics(graph).collect()} == counts
+    part = Graph([*graph.nodes, Node("none", lambda d: d.where("id < 0"), ["even"]), Node("few", lambda a, b: a.limit(2).join(b, "id"), ["numbers", "none"])])
+    assert flows.edge_counts(part, "few", lambda df: df.collect()) == {
+        ("numbers", "even"): 10, ("even", "none"): 5, ("numbers", "few"): 10, ("none", "few"): 0
+    }
     assert [r["id"] for r in flows.edge_sample(graph, "even", ["id"], 2).collect()] == [0, 2]
 
 

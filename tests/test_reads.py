@@ -237,8 +237,17 @@ def test_scoped_overlay(spark):
         (6, "c", None, None, False), (7, "c", 1, None, True), (8, "c", 1, 2, False),
     ]
     df = spark.createDataFrame(rows, "row_id int, code string, tenant_id int, organization_id int, locked boolean")
-    got = {r["code"]: r["row_id"] for r in joins.scoped_overlay(df, "code", "row_id").collect()}
-    assert got == {"a": 3, "b": 4, "c": 7}
+    other = spark.createDataFrame(
+        [(9, "a", 7, None, True), (10, "b", 7, 2, True), (11, "c", 1, 3, True), (12, "d", 7, None, False)], df.schema
+    )
+
+    def chosen(*scope):
+        return {r["code"]: r["row_id"] for r in joins.scoped_overlay(df.union(other), "code", "row_id", *scope).collect()}
+
+    assert chosen(1, 2) == {"a": 3, "b": 4, "c": 7}
+    assert chosen(1) == {"a": 2, "b": 4, "c": 7}
+    assert chosen(7, 2) == {"a": 9, "b": 4, "c": 6, "d": 12}
+    assert chosen(5) == {"a": 1, "b": 4, "c": 6}
 
 
 def test_column_types():

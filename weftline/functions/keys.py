@@ -1,4 +1,4 @@
-"""Key equality: integers by value, everything else as text without case, NULL never equal."""
+"""Key equality: integers and GUIDs by value however spelled, all else as text without case, NULL never equal."""
 
 from __future__ import annotations
 
@@ -16,14 +16,32 @@ def key_columns(names: Sequence[str]) -> list[str]:
 
 def align_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Add to both sides key columns that are equal under ``=`` exactly when the keys are."""
-
-    def form(name: str) -> Column:
-        if all(isinstance(side.schema[name].dataType, T.IntegralType) for side in (left, right)):
-            return F.col(name).cast("long")
-        return F.lower(F.col(name).cast("string"))
-
-    columns = dict(zip(key_columns(names), [form(n) for n in names], strict=True))
-    return left.withColumns(columns), right.withColumns(columns)
+    aligned = []
+    for side in (left, right):
+        forms = {}
+        for key, name in zip(key_columns(names), names, strict=True):
+            both = [s.schema[name].dataType for s in (left, right)]
+            whole = all(isinstance(kind, T.IntegralType) for kind in both)
+            forms[key] = F.col(name).cast("long") if whole else comparable(F.col(name))
+        aligned.append(side.withColumns(forms))
+    return aligned[0], aligned[1]
+
+
+# Fixed patterns: how a GUID and an integer may be spelled.
+GUID = r"(?i)^([0-9a-f]{32}|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|\{[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\}|\([0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\))$"
+INTEGER = r"^[+-]?[0-9]+$"
+
+
+def comparable(value: Column) -> Column:
+    """One text for all spellings of a key: ``07`` and 7 agree, and so do a GUID in braces and the plain one."""
+    text = value.cast("string")
+    bare = F.trim(text)
+    number = F.when(bare.rlike(INTEGER), bare.try_cast("long"))
+    return (
+        F.when(bare.rlike(GUID), F.concat(F.lit("g"), F.lower(F.translate(bare, "{}()-", ""))))
+        .when(number.isNotNull(), F.concat(F.lit("i"), number.cast("string")))
+        .otherwise(F.concat(F.lit("t"), F.lower(text)))
+    )
 
 
 def present_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -123,7 +123,7 @@ def classify_bands(column: Column, bands: Sequence[tuple[float, str]], otherwise
     return when(column, [(column >= F.lit(low), name) for low, name in ordered], otherwise)
 
 
-# Thresholds and labels of the demonstration flow.
+# Thresholds and labels of the yardage transform.
 YARDAGE_BANDS = (
     (4000, "MVP Candidate"),
     (2000, "Elite"),
@@ -133,6 +133,14 @@ YARDAGE_BANDS = (
 )
 LOWEST_BAND = "Rotational"
 
+# The demonstration flow's own thresholds and labels.
+FLOW_BANDS = (
+    (2000, "Elite"),
+    (1500, "Pro Bowl"),
+    (1000, "Starter"),
+    (500, "Backup"),
+)
+
 
 def safe_ratio(numerator: Column, divisor: Column, digits: int = 1) -> Column:
     """Half-to-even rounded rate, 0 for a zero divisor."""

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.errors import Refused
 
@@ -27,25 +28,37 @@ def calculate(df: DataFrame, kind: str, column: str | Column, name: str, by: Seq
     return df.groupBy(*by).agg(measure) if by else df.agg(measure)
 
 
+def _common(kinds: Sequence[T.DataType]) -> str:
+    """A type that holds the values of all columns: doubles only where a column is one."""
+    if any(isinstance(k, T.FractionalType) and not isinstance(k, T.DecimalType) for k in kinds):
+        return "double"
+    scale = max([k.scale for k in kinds if isinstance(k, T.DecimalType)], default=0)
+    return f"decimal(38,{scale})"
+
+
 def stat_set(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per numeric column (and group): n, nulls, distinct, min, max, sum, mean, stddev.
 
-    The moments of all columns are one wide aggregate. Distinct values are counted over
-    (column, value) rows, which are combined before they are shuffled. So neither a hot value
-    nor a hot group meets one task. A decimal column is summed exactly, in any row order.
+    All measures come from one aggregate and one scan: distinct values are counted in the column's own type over
+    expanded (column, value) rows, which combine before the shuffle, so neither a hot value nor a hot group
+    meets one task. Minimum, maximum and sum are exact decimals unless a column holds floating numbers.
     """
     if not columns:
         raise Refused("a stat set needs at least one column")
     numbers = df.select(*by, *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
+    common = _common([numbers.schema[f"__v{i}"].dataType for i in range(len(columns))])
     measures, entries = [], []
     for i, name in enumerate(columns):
         value = F.col(f"__v{i}")
+        # A sum of longs may leave their range.
+        summed = value if common == "double" else value.cast(common)
         measures += [
             F.count(value).alias(f"n{i}"),
             F.count_if(value.isNull()).alias(f"nulls{i}"),
-            F.min(value).cast("double").alias(f"min{i}"),
-            F.max(value).cast("double").alias(f"max{i}"),
-            F.sum(value).cast("double").alias(f"sum{i}"),
+            F.count_distinct(value).alias(f"distinct{i}"),
+            F.min(value).cast(common).alias(f"min{i}"),
+            F.max(value).cast(common).alias(f"max{i}"),
+            F.sum(summed).cast(common).alias(f"sum{i}"),
             F.stddev_samp(value).alias(f"stddev{i}"),
         ]
         entries.append(
@@ -53,29 +66,15 @@ def stat_set(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
                 F.lit(name).alias("column"),
                 F.col(f"n{i}").alias("n"),
                 F.col(f"nulls{i}").alias("nulls"),
+                F.col(f"distinct{i}").alias("distinct_values"),
                 F.col(f"min{i}").alias("min_value"),
                 F.col(f"max{i}").alias("max_value"),
                 F.col(f"sum{i}").alias("sum_value"),
-                (F.col(f"sum{i}") / F.nullif(F.col(f"n{i}"), F.lit(0))).alias("mean_value"),
+                (F.col(f"sum{i}").cast("double") / F.nullif(F.col(f"n{i}"), F.lit(0))).alias("mean_value"),
                 F.col(f"stddev{i}").alias("stddev_value"),
             )
         )
-    moments = numbers.groupBy(*by).agg(*measures).select(*by, F.inline(F.array(*entries)))
-    pairs = [
-        F.struct(F.lit(name).alias("__column"), F.col(f"__v{i}").cast("double").alias("__value"))
-        for i, name in enumerate(columns)
-    ]
-    values = numbers.select(*[F.col(b).alias(f"__by_{b}") for b in by], F.inline(F.array(*pairs)))
-    distinct = values.groupBy(*[f"__by_{b}" for b in by], "__column").agg(
-        F.countDistinct("__value").alias("distinct_values")
-    )
-    same = moments["column"] == distinct["__column"]
-    for b in by:
-        same = same & moments[b].eqNullSafe(distinct[f"__by_{b}"])
-    joined = moments.join(distinct, same, "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
-    return joined.select(
-        *by, "column", "n", "nulls", "distinct_values", "min_value", "max_value", "sum_value", "mean_value", "stddev_value"
-    )
+    return numbers.groupBy(*by).agg(*measures).select(*by, F.inline(F.array(*entries)))
 
 
 def count_by(df: DataFrame, *by: str, name: str = "rows") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.errors import Refused
 from weftline.functions.predicates import FILTERABLE, by_fields
@@ -40,14 +41,37 @@ def _read(df: DataFrame, spec: FieldSpec) -> Column:
 
 
 def rename_fields(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Physical to logical names. Unmapped fields pass through, mapped physical names disappear."""
+    """Physical to logical names. Unmapped fields pass through, mapped physical names disappear.
+
+    A nested field is lifted out of its struct, which keeps its other members and goes when none is left.
+    """
     flat = {p: l for p, l in names.items() if "." not in p}
     nested = {p: l for p, l in names.items() if "." in p}
     lifted = df.withColumns({l: F.col(p) for p, l in nested.items()}) if nested else df
-    lifted = lifted.drop(*{p.split(".")[0] for p in nested})
+    for top in dict.fromkeys(resolve(df.columns, p.split(".")[0]) for p in nested):
+        paths = [p.split(".", 1)[1] for p in nested if p.split(".")[0].lower() == top.lower()]
+        gone = _emptied(df.schema[top].dataType, paths)
+        lifted = lifted.drop(top) if gone is None else lifted.withColumn(top, F.col(top).dropFields(*gone))
     return lifted.withColumnsRenamed({resolve(df.columns, p): l for p, l in flat.items()})
 
 
+def _emptied(struct: T.StructType, paths: Sequence[str]) -> list[str] | None:
+    """The members to drop for these paths, a nested struct as a whole once nothing is left in it; None for all."""
+    dropped, left = [], 0
+    for member in struct.fields:
+        inner = [p.split(".", 1)[1] for p in paths if "." in p and p.split(".")[0].lower() == member.name.lower()]
+        if any(p.lower() == member.name.lower() for p in paths):
+            dropped.append(member.name)
+            continue
+        below = _emptied(member.dataType, inner) if inner else []
+        if below is None:
+            dropped.append(member.name)
+            continue
+        left += 1
+        dropped += [f"{member.name}.{b}" for b in below]
+    return dropped if left else None
+
+
 def read_source(frames: Mapping[str, DataFrame], source: SourceSpec) -> DataFrame:
     if source.name not in frames:
         raise Refused(f"unknown source {source.name!r}")

@@ -92,20 +92,41 @@ def retention_select(listing: DataFrame, path: str, modified: str, cutoffs: Mapp
     return typed.where(F.col(modified) < cutoff).withColumn("action", F.lit(action))
 
 
-def audit_changes(before: DataFrame, after: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def audit_changes(
+    before: DataFrame,
+    after: DataFrame,
+    key: Sequence[str],
+    columns: Sequence[str],
+    changed_by: Column | None = None,
+    changed_at: Column | None = None,
+    tenant: str | None = None,
+    for_tenant: object | None = None,
+) -> DataFrame:
     """Changed values between two versions of a table: key, field, old and new as text.
 
-    The versions are stacked and met by key in one aggregate, one row per key and version.
+    ``changed_by`` and ``changed_at`` say who changed a row and when, from the columns of ``after``; they are NULL for
+    rows that are gone. ``tenant`` names the column that scopes the listing; with ``for_tenant`` only that tenant's
+    rows are read. The versions are stacked and met by key in one aggregate, one row per key and version.
     """
+    if for_tenant is not None:
+        if tenant is None:
+            raise Refused("a tenant's changes need the column that holds the tenant")
+        before, after = (df.where(F.col(tenant) == F.lit(for_tenant)) for df in (before, after))
+    said = {n: c for n, c in (("changed_by", changed_by), ("changed_at", changed_at)) if c is not None}
+    scope = [tenant] if tenant is not None and tenant not in key else []
+
     def version(df: DataFrame, side: str) -> DataFrame:
         values = F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
-        return df.select(*key, F.when(F.lit(side == "old"), values).alias("old"), F.when(F.lit(side == "new"), values).alias("new"))
+        told = [(c if side == "new" else F.lit(None)).alias(n) for n, c in said.items()]
+        return df.select(
+            *key, *scope, F.when(F.lit(side == "old"), values).alias("old"), F.when(F.lit(side == "new"), values).alias("new"), *told
+        )
 
     met = (
         version(before, "old")
         .unionByName(version(after, "new"))
-        .groupBy(*key)
-        .agg(F.max("old").alias("old"), F.max("new").alias("new"))
+        .groupBy(*key, *scope)
+        .agg(F.max("old").alias("old"), F.max("new").alias("new"), *[F.max(n).alias(n) for n in said])
     )
     entries = [
         F.struct(
@@ -113,5 +134,5 @@ def audit_changes(before: DataFrame, after: DataFrame, key: Sequence[str], colum
         )
         for c in columns
     ]
-    listed = met.select(*key, F.inline(F.array(*entries)))
+    listed = met.select(*key, *scope, *said, F.inline(F.array(*entries)))
     return listed.where(~F.col("old_value").eqNullSafe(F.col("new_value")))

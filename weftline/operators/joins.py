@@ -97,15 +97,23 @@ def scoped_overlay(
     definitions: DataFrame,
     code: str,
     row_id: str,
+    for_tenant: object,
+    for_organization: object | None = None,
     tenant: str = "tenant_id",
     organization: str = "organization_id",
     locked: str = "locked",
 ) -> DataFrame:
-    """The definition in force per code: the widest locked one, else the narrowest scope.
+    """The definition in force per code for one tenant: the widest locked one, else the narrowest scope.
 
-    Platform definitions have neither tenant nor organization, tenant ones no organization.
-    One best row per code is a minimum of structs, combined before the shuffle.
+    Platform definitions have neither tenant nor organization, tenant ones no organization. Read are
+    the platform's, the tenant's and, where an organization is named, that organization's; the filter reaches
+    the scan. One best row per code is a minimum of structs, combined before the shuffle.
     """
+    own = F.col(tenant) == F.lit(for_tenant)
+    seen = (F.col(tenant).isNull() | own) & F.col(organization).isNull()
+    if for_organization is not None:
+        seen = seen | (own & (F.col(organization) == F.lit(for_organization)))
+    definitions = definitions.where(seen)
     width = (
         F.when(F.col(tenant).isNull() & F.col(organization).isNull(), 0)
         .when(F.col(organization).isNull(), 1)

@@ -182,8 +182,14 @@ def tree_children(nodes: DataFrame, parent: object | None, name: str = "name", k
 
 
 def tree_paths(nodes: DataFrame, separator: str = "/") -> DataFrame:
-    """Label path and depth of every node reachable from a root. Walks level by level."""
+    """Label path and depth of every node reachable from a root. Walks level by level.
+
+    An id that is held twice is refused: it could close a cycle below a root, and its path would be ambiguous.
+    """
     rows = settle(nodes.select("id", "parent_id", "name"), "tree")
+    repeated = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if repeated is not None:
+        raise Refused(f"node {repeated['id']!r} is held {repeated['n']} times")
     level = settle(
         rows.where(F.col("parent_id").isNull()).select("id", F.col("name").alias("path"), F.lit(0).alias("depth")), "level"
     )

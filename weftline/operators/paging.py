@@ -11,7 +11,7 @@ from weftline.errors import Refused
 from weftline.operators.windows import number_rows
 from weftline.specs import Ordering, ordering
 
-# Every task hands this many rows to the last one of a top-n; beyond it positions are computed.
+# Every task hands this many rows to the last one of a top-n; beyond it positions are computed. Both answer in order.
 DEEP = 10_000
 
 
@@ -38,14 +38,20 @@ def page(
     if skip + take <= DEEP:
         return df.orderBy(*[o.column() for o in sort]).offset(skip).limit(take)
     placed = number_rows(df, sort, "__at")
-    return placed.where((F.col("__at") > skip) & (F.col("__at") <= skip + take)).drop("__at")
+    return placed.where((F.col("__at") > skip) & (F.col("__at") <= skip + take)).orderBy("__at").drop("__at")
 
 
 def page_with_more(
     df: DataFrame, skip: int, take: int, order: Sequence[str | Ordering] = (), key: Sequence[str] = ()
 ) -> DataFrame:
-    """A page with ``has_more``: one row beyond the page is fetched, counted and cut off again."""
+    """A page with ``has_more``: one row beyond the page is fetched, counted and cut off again.
+
+    Beyond ``DEEP`` rows the whole frame is counted instead, so no task ever holds more than that.
+    """
     sort = _complete(order, key)
+    if skip + take >= DEEP:
+        beyond = df.agg((F.count(F.lit(1)) > skip + take).alias("more")).scalar()
+        return page(df, skip, take, order, key).withColumn("has_more", beyond)
     fetched = page(df, skip, take + 1, order, key)
     # The window sees take + 1 rows at most: its size is the page, not the table.
     whole = Window.partitionBy(F.lit(0))

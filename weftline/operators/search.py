@@ -25,7 +25,7 @@ def find_text(
 
     Searches the named fields, or every text field. ``max_results`` takes rows in key order.
     """
-    if not term:
+    if not term.strip():
         raise Refused("a search needs a term")
     if max_results is not None and max_results < 0:
         raise Refused("max_results cannot be negative")
@@ -76,7 +76,7 @@ EXACT, PREFIX, INSIDE = 3, 2, 1
 
 def ranked_search(df: DataFrame, term: str, fields: Sequence[str], name: str, key: str) -> DataFrame:
     """Rows with the best score over their fields: exact, then prefix, then contained; by score."""
-    if not term:
+    if not term.strip():
         raise Refused("a search needs a term")
     text = term.lower()
 

@@ -7,8 +7,10 @@ Keys compare by value, text without case, and NULL equals nothing.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from weftline.errors import Refused
 from weftline.functions.keys import align_keys, key_columns, present_keys
 from weftline.operators.lookup import lookup
-from weftline.operators.windows import latest_per_key, number_rows
+from weftline.operators.windows import number_rows
 from weftline.specs import TableSpec
 
 IS_CURRENT, IS_DELETED = "IsCurrent", "IsDeleted"
@@ -211,7 +213,7 @@ def version_save(target: DataFrame, rows: DataFrame, spec: TableSpec, order: Seq
         .withColumn(spec.physical_key, F.col(spec.physical_key).cast(target.schema[spec.physical_key].dataType))
         .select(*target.columns)
     )
-    closed = _mark_present(target, rows, keys, "__hit")
+    closed = _mark_present(target, saved, keys, "__hit")
     closed = closed.withColumn(IS_CURRENT, F.col(IS_CURRENT) & ~F.col("__hit")).drop("__hit")
     return Change(closed.unionByName(added), added)
 
@@ -226,23 +228,39 @@ def version_retire(target: DataFrame, ids: DataFrame, spec: TableSpec) -> Change
     )
 
 
-def _last_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return latest_per_key(rows, keys, order) if order else rows
+def _one_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row for each key, the last by ``order``. Without an order equal keys fail the write.
+
+    Keys are equal as everywhere, by value; a row whose key holds NULL equals no other.
+    """
+    formed, _ = align_keys(rows, rows, keys)
+    names = key_columns(keys)
+    complete = reduce(operator.and_, [F.col(n).isNotNull() for n in names])
+    whole = F.struct(*rows.columns)
+    pick = F.max_by(whole, F.struct(*order)) if order else F.any_value(whole)
+    one = formed.where(complete).groupBy(*names).agg(pick.alias("__row"), F.count(F.lit(1)).alias("__n"))
+    if not order:
+        refusal = F.raise_error(F.lit(f"several rows hold one key {', '.join(keys)}; state an order"))
+        one = one.withColumn("__row", F.when(F.col("__n") > 1, refusal).otherwise(F.col("__row")))
+    return one.select("__row.*").unionByName(formed.where(~complete).select(*rows.columns))
 
 
 def upsert(
     target: DataFrame, rows: DataFrame, spec: TableSpec, keys: Sequence[str], order: Sequence[str] = ()
 ) -> Change:
-    """Replace rows whose key is stored, add the others. ``order`` decides among equal source keys."""
-    incoming = _declared(_last_per_key(rows, spec.require(keys), order), spec, target)
+    """Replace rows whose key is stored, add the others.
+
+    ``order`` decides among equal source keys and should be total; without one they are refused.
+    """
+    incoming = _one_per_key(_declared(rows, spec, target), spec.require(keys), spec.require(order))
     return Change(_absent(target, incoming, spec.require(keys)).unionByName(incoming), incoming)
 
 
 def insert_if_new(
     target: DataFrame, rows: DataFrame, spec: TableSpec, keys: Sequence[str], order: Sequence[str] = ()
 ) -> Change:
-    """Add the rows whose key is not stored yet; running it again adds nothing."""
-    incoming = _declared(_last_per_key(rows, spec.require(keys), order), spec, target)
+    """Add the rows whose key is not stored yet; running it again adds nothing. Equal source keys as in ``upsert``."""
+    incoming = _one_per_key(_declared(rows, spec, target), spec.require(keys), spec.require(order))
     added = _absent(incoming, target, spec.require(keys))
     return Change(target.unionByName(added), added)
 
@@ -263,10 +281,15 @@ def state_change(
 SLOTS = {"text": "string", "number": "double", "date": "date", "flag": "boolean"}
 
 
-def attribute_upsert(stored: DataFrame, rows: DataFrame, owner: str, code: str) -> Change:
-    """Upsert attribute values on (owner, code); a value sits in one of four typed slots."""
+def attribute_upsert(stored: DataFrame, rows: DataFrame, owner: str, code: str, order: Sequence[str] = ()) -> Change:
+    """Upsert attribute values on (owner, code); a value sits in one of four typed slots.
+
+    ``order`` decides among values for one owner and code, by columns of ``rows``; without one they are refused.
+    """
     spec = TableSpec("attributes", [owner, code, *SLOTS])
     typed = stored.select(owner, code, *[F.col(s).cast(t).alias(s) for s, t in SLOTS.items()])
+    if order:
+        rows = _one_per_key(rows, [owner, code], order).select(owner, code, *SLOTS)
     return upsert(typed, rows, spec, [owner, code])
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.errors import Refused
-from weftline.functions.transforms import LOWEST_BAND, YARDAGE_BANDS, chain, classify_bands, safe_ratio, sum_null_as_zero
+from weftline.functions.transforms import FLOW_BANDS, LOWEST_BAND, chain, classify_bands, safe_ratio, sum_null_as_zero
 from weftline.operators.paging import page
 from weftline.operators.windows import latest_per_key
+from weftline.session import settle_measured
 from weftline.specs import Step
 
 Transform = Callable[..., DataFrame]
@@ -102,15 +103,11 @@ class Graph:
 
 
 def edge_counts(graph: Graph, sink: str, write: Callable[[DataFrame], None]) -> dict[tuple[str, str], int]:
-    """Run one sink and count the records on each edge that feeds it, within the same pass."""
-    seen: dict[tuple[str, str], Observation] = {}
+    """Run one sink and count the records on each edge that feeds it. For trial runs.
 
-    def watch(source: str, target: str, frame: DataFrame) -> DataFrame:
-        seen[source, target] = Observation()
-        return frame.observe(seen[source, target], F.count(F.lit(1)).alias("records"))
-
-    frames = graph.run(watch)
-    write(frames[sink])
+    Every node that the sink needs is written to the shared folder once and counted on the way, so a count is that
+    of the node's whole output, whatever part of it the next node pulls, and an empty one is 0.
+    """
     needed, queue = set(), [sink]
     while queue:
         target = queue.pop()
@@ -118,19 +115,20 @@ def edge_counts(graph: Graph, sink: str, write: Callable[[DataFrame], None]) ->
             if edge[1] == target and edge not in needed:
                 needed.add(edge)
                 queue.append(edge[0])
-    return {edge: seen[edge].get["records"] for edge in graph.edges if edge in needed}
+    outputs: dict[str, tuple[DataFrame, int]] = {}
+    counts: dict[tuple[str, str], int] = {}
 
+    def watch(source: str, target: str, frame: DataFrame) -> DataFrame:
+        if (source, target) not in needed:
+            return frame
+        if source not in outputs:
+            settled, seen = settle_measured(frame, "edge", records=F.count(F.lit(1)))
+            outputs[source] = settled, seen["records"]
+        counts[source, target] = outputs[source][1]
+        return outputs[source][0]
 
-def edge_metrics(graph: Graph) -> DataFrame:
-    """Records on every edge as rows ``(source, target, records)``, each one distributed count."""
-    frames = graph.run()
-    rows = None
-    for source, target in graph.edges:
-        part = frames[source].agg(F.count(F.lit(1)).alias("records")).select(
-            F.lit(source).alias("source"), F.lit(target).alias("target"), "records"
-        )
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    write(graph.run(watch)[sink])
+    return counts
 
 
 def edge_sample(graph: Graph, source: str, key: Sequence[str], n: int) -> DataFrame:
@@ -157,7 +155,7 @@ def player_lines(
         .withColumns(
             {
                 "rating": safe_ratio(F.col("total"), F.col("games")),
-                "classification": classify_bands(F.col("total"), YARDAGE_BANDS, LOWEST_BAND),
+                "classification": classify_bands(F.col("total"), FLOW_BANDS, LOWEST_BAND),
             }
         )
     )

@@ -118,6 +118,8 @@ YARDAGE = """SELECT p_partkey AS player, p_type AS position, coalesce(games, 0)
                     FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey"""
 BANDS = """CASE WHEN total >= 4000 THEN 'MVP Candidate' WHEN total >= 2000 THEN 'Elite' WHEN total >= 1500 THEN 'Pro Bowl'
                 WHEN total >= 1000 THEN 'Starter' WHEN total >= 500 THEN 'Backup' ELSE 'Rotational' END"""
+FLOW_BANDS = """CASE WHEN total >= 2000 THEN 'Elite' WHEN total >= 1500 THEN 'Pro Bowl' WHEN total >= 1000 THEN 'Starter'
+                     WHEN total >= 500 THEN 'Backup' ELSE 'Rotational' END"""
 RATIO = "CASE WHEN games = 0 THEN 0 ELSE CAST(round_even(CAST(total AS DOUBLE) / games, 1) AS DOUBLE) END"
 
 

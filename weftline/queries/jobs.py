@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from weftline.operators import lineage
 from weftline.plans import domain, flows
 from weftline.plans.flows import Graph, Node, Parameter
-from weftline.queries.fields import BANDS, RATIO, YARDAGE, yardage
+from weftline.queries.fields import FLOW_BANDS, RATIO, YARDAGE, yardage
 from weftline.queries.registry import money, moment, query, table
 from weftline.specs import TableSpec
 from weftline.streaming import streams
@@ -21,7 +21,7 @@ from weftline.streaming import streams
 
 @query(
     "demo_flow",
-    f"""SELECT player, position, games, passing, rushing, receiving, total, {RATIO} AS rating, {BANDS} AS classification
+    f"""SELECT player, position, games, passing, rushing, receiving, total, {RATIO} AS rating, {FLOW_BANDS} AS classification
         FROM ({YARDAGE}) WHERE games >= 25 AND lower(position) = 'economy'""",
 )
 def demo_flow(spark: SparkSession, sf_dir: str) -> DataFrame:

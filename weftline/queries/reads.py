@@ -77,7 +77,8 @@ def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(stats: DataFrame) -> DataFrame:
-    return stats.withColumns({c: F.round(c, 4) for c in ("mean_value", "stddev_value")})
+    exact = {c: F.col(c).cast("double") for c in ("min_value", "max_value", "sum_value")}
+    return stats.withColumns(exact | {c: F.round(c, 4) for c in ("mean_value", "stddev_value")})
 
 
 @query(
@@ -426,9 +427,10 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scoped_overlay",
     """WITH d AS (SELECT p_partkey AS row_id, p_name || '/' || p_type AS code,
-                  CASE WHEN p_size < 15 THEN NULL ELSE 1 END AS tenant_id,
-                  CASE WHEN p_size < 35 THEN NULL ELSE 2 END AS organization_id, p_brand LIKE '%1' AS locked FROM part),
-            w AS (SELECT *, CASE WHEN tenant_id IS NULL THEN 0 WHEN organization_id IS NULL THEN 1 ELSE 2 END AS width FROM d)
+                  CASE WHEN p_size < 15 THEN NULL ELSE p_partkey % 3 END AS tenant_id,
+                  CASE WHEN p_size < 35 THEN NULL ELSE p_partkey % 2 END AS organization_id, p_brand LIKE '%1' AS locked FROM part),
+            w AS (SELECT *, CASE WHEN tenant_id IS NULL THEN 0 WHEN organization_id IS NULL THEN 1 ELSE 2 END AS width FROM d
+                  WHERE (tenant_id IS NULL AND organization_id IS NULL) OR (tenant_id = 1 AND coalesce(organization_id, 0) = 0))
        SELECT row_id, code, tenant_id, organization_id, locked FROM w
        QUALIFY row_number() OVER (PARTITION BY code ORDER BY CASE WHEN locked AND width < 2 THEN 0 ELSE 1 END,
                CASE WHEN locked AND width < 2 THEN width ELSE -width END, row_id) = 1""",
@@ -437,11 +439,11 @@ def scoped_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     definitions = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("row_id"),
         F.concat_ws("/", "p_name", "p_type").alias("code"),
-        F.when(F.col("p_size") >= 15, 1).alias("tenant_id"),
-        F.when(F.col("p_size") >= 35, 2).alias("organization_id"),
+        F.when(F.col("p_size") >= 15, F.col("p_partkey") % 3).alias("tenant_id"),
+        F.when(F.col("p_size") >= 35, F.col("p_partkey") % 2).alias("organization_id"),
         F.col("p_brand").endswith("1").alias("locked"),
     )
-    return joins.scoped_overlay(definitions, "code", "row_id")
+    return joins.scoped_overlay(definitions, "code", "row_id", 1, 0)
 
 
 CHILD_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]

@@ -105,17 +105,20 @@ def _swap(spark: SparkSession, fresh: str, live: str) -> None:
 
 
 def send_in_batches(
-    df: DataFrame, order: Sequence[str], batch: int, send: Callable[[int, int, list[dict]], None], streams: int | None = None
+    df: DataFrame, order: Sequence[str], batch: int, send: Callable[[int, int, list[dict]], None], streams: int = 1
 ) -> DataFrame:
     """Send rows in order, ``batch`` at a time; answers one receipt per batch.
 
-    Rows are range-partitioned by ``order``, each task is one stream. After a stream's first
-    failure its remaining rows are not sent. ``send`` gets stream, batch number and rows; the
-    two numbers make a resend after a lost executor recognisable. Run it by one write only.
+    By default the whole insert is one ordered stream: after the first failure nothing more is sent. With several
+    ``streams``, each a range of ``order`` and a task, a failure stops its own stream only; ask for them
+    where the sink takes parts independently. ``send`` gets stream, batch number and rows; the two
+    numbers make a resend after a lost executor recognisable. Run it by one write only.
     """
     if batch <= 0:
         raise Refused("batch size must be positive")
-    ranged = df.repartitionByRange(streams, *order) if streams else df.repartitionByRange(*order)
+    if streams <= 0:
+        raise Refused("there must be a stream")
+    ranged = df.repartitionByRange(streams, *order)
     fields = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
