@@ -6,6 +6,7 @@ import datetime
 import decimal
 import math
 import pathlib
+import re
 
 import duckdb
 
@@ -41,22 +42,29 @@ def plain(value):
     return str(value)
 
 
-def rows_of(names, rows):
+def rows_of(names, rows, ordered):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted(
-        (tuple(plain(r[i]) for i in order) for r in rows), key=lambda r: tuple((v is not None, v or "") for v in r)
-    )
+    found = [tuple(plain(r[i]) for i in order) for r in rows]
+    return found if ordered else sorted(found, key=lambda r: tuple((v is not None, v or "") for v in r))
+
+
+def states_order(sql):
+    """Whether the statement itself, not a part in brackets, says in which order its rows come."""
+    while (flat := re.sub(r"\([^()]*\)", "", sql)) != sql:
+        sql = flat
+    return "ORDER BY" in sql.upper()
 
 
 def compare(spark, con, build, sql, sf_dir):
     """None when equal, otherwise what differs."""
     df = build(spark, sf_dir)
-    mine = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    ordered = states_order(sql)
+    mine = rows_of(df.columns, [tuple(r) for r in df.collect()], ordered)
     relation = con.sql(sql)
     names = list(relation.columns)
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
-    theirs = rows_of(names, relation.fetchall())
+    theirs = rows_of(names, relation.fetchall(), ordered)
     if len(mine) != len(theirs):
         return f"rows {len(mine)} != {len(theirs)}"
     for a, b in zip(mine, theirs, strict=True):

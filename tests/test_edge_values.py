@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.errors import Refused
-from weftline.operators import aggregates, datasets, governance, lineage, paging, search, writes
+from weftline.operators import aggregates, datasets, governance, lineage, paging, search, vectors, writes
 from weftline.operators.writes import SoftDelete
 from weftline.sources import sinks
 from weftline.specs import TableSpec
@@ -139,3 +139,16 @@ def test_audit_says_who_when_and_keeps_to_a_tenant(spark):
     ]
     with pytest.raises(Refused, match="tenant"):
         governance.audit_changes(before, after, ["id"], ["name"], for_tenant=10)
+
+
+def test_batch_search_meets_vectors_of_its_own_length(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.0]), ("c", [0.5, 0.5]), ("d", [3.0, 0.1, 0.2]), ("e", [0.0, 0.0]), ("f", None), ("g", [1.0, None])]
+    df = spark.createDataFrame(rows, "k string, v array<double>").repartition(2)
+    asked = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [1.0, 0.0, 0.0]), ("r", None)], "n string, v array<double>")
+    got = sorted(tuple(r) for r in vectors.nearest_batch(df, "v", "k", asked, "v", "n", 5).collect())
+    want = []
+    for name, vector in [("p", [1.0, 0.0]), ("q", [1.0, 0.0, 0.0])]:
+        near = vectors.nearest(df.where("NOT exists(v, x -> x IS NULL)"), "v", vector, 5, "k").collect()
+        want += [(name, r["k"], r["distance"], i) for i, r in enumerate(near, 1)]
+    assert [(q, k, i) for q, k, _, i in got] == [(q, k, i) for q, k, _, i in want]
+    assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(got, want, strict=True))

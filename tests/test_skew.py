@@ -51,8 +51,8 @@ def test_lookup_splits_the_hot_key(hot, how, null_safe):
 
 def test_outer_joins_split_the_side_that_repeats_its_key(tight, hot):
     unique = tight.range(0, 30000, 1, 8).select(F.col("id").alias("u"))
-    assert is_split(joins.join_frames(unique, hot, [("u", "k")], "left"))
-    assert is_split(joins.join_frames(hot, unique, [("k", "u")], "full"))
+    assert is_split(joins.join_frames(unique, hot, [("u", "k")], "left", hot=True))
+    assert is_split(joins.join_frames(hot, unique, [("k", "u")], "full", hot=True))
 
 
 def test_writes_split_a_hot_key_of_the_table(tight, hot):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.errors import Refused
 from weftline.operators import windows
-from weftline.operators.spread import hot_keys, with_chunks
+from weftline.operators.spread import hot_keys, split_hot, with_chunks
 from weftline.operators.windows import WindowColumn
 from weftline.specs import ordering
 
@@ -24,8 +24,8 @@ def skewed(spark):
         at = None if rng.random() < 0.05 else (5 if rng.random() < 0.3 else rng.randrange(100))
         text = None if rng.random() < 0.05 else rng.choice(["Customer#1", "Customer#2", "a", "é"]) + str(rng.randrange(50))
         amount = None if rng.random() < 0.1 else rng.randrange(1000)
-        rows.append((i, key, at, text, amount))
-    return spark.createDataFrame(rows, "id long, key string, at int, text string, amount long").repartition(4).cache()
+        rows.append((i, key, at, text, amount, 1, "same"))
+    return spark.createDataFrame(rows, "id long, key string, at int, text string, amount long, one int, two string").repartition(4).cache()
 
 
 def expected(df, partition, order, function, column, offset):
@@ -44,6 +44,7 @@ CASES = [
     (["key"], ["-text", "id"]),
     ([], ["-at", "id"]),
     ([], ["text", "id"]),
+    (["key"], ["one", "two", "id"]),
 ]
 
 
@@ -51,7 +52,7 @@ CASES = [
 def test_running(skewed, partition, order):
     columns = [WindowColumn("row_number", "row_number")]
     columns += [WindowColumn(f, f, "amount") for f in ("sum", "avg", "min", "max", "count")]
-    got = windows.running(skewed, partition, order, columns, hot_rows=0, chunks=16).cache()
+    got = windows.running(skewed, partition, order, columns, most=60).cache()
     for column in columns:
         want = expected(got, partition, order, column.function, column.column, 1)
         assert want.where(~F.col("want").eqNullSafe(F.col(column.name))).count() == 0, column
@@ -61,7 +62,7 @@ def test_running(skewed, partition, order):
 @pytest.mark.parametrize(("partition", "order"), [(["key"], ["at"]), (["key"], ["-text", "at"]), ([], ["at"])], ids=str)
 def test_ranking(skewed, partition, order):
     columns = [WindowColumn("rank", "rank"), WindowColumn("dense_rank", "dense_rank")]
-    got = windows.ranking(skewed, partition, order, columns, hot_rows=0, chunks=16).cache()
+    got = windows.ranking(skewed, partition, order, columns, most=60).cache()
     for column in columns:
         want = expected(got, partition, order, column.function, None, 1)
         assert want.where(~F.col("want").eqNullSafe(F.col(column.name))).count() == 0
@@ -82,25 +83,43 @@ SHIFTS = [
 @pytest.mark.parametrize(("partition", "order", "function", "offset"), SHIFTS, ids=str)
 def test_shifting(skewed, partition, order, function, offset):
     column = WindowColumn("got", function, "amount", offset)
-    got = windows.shifted(skewed, partition, order, column, hot_rows=0, chunks=16).cache()
+    got = windows.shifted(skewed, partition, order, column, most=60).cache()
     want = expected(got, partition, order, function, "amount", offset)
     assert want.where(~F.col("want").eqNullSafe(F.col("got"))).count() == 0
     assert got.count() == skewed.count()
 
 
-def test_only_the_hot_key_is_cut(skewed):
-    hot = hot_keys(skewed, ["key"], hot_rows=0, chunks=8)
-    assert [r[0] for r in hot.collect()] == ["hot"]
-    cut = with_chunks(skewed, ["key"], ordering("at", "id"), hot_rows=0, chunks=16)
-    groups = {r["key"]: r for r in cut.groupBy("key").agg(F.countDistinct("__chunk", "__sub").alias("n")).collect()}
-    assert groups["hot"]["n"] > 10
-    assert all(r["n"] == 1 for key, r in groups.items() if key != "hot")
-    largest = cut.where(F.col("key") == "hot").groupBy("__chunk", "__sub").count().agg(F.max("count")).first()[0]
-    assert largest < 100  # of about 600 rows, of which a third share one order value
+def test_only_hot_keys_are_cut(skewed):
+    assert [r[0] for r in hot_keys(skewed, ["key"], 300).collect()] == ["hot"]
+    plain, hot = split_hot(skewed, ["key"], 300)
+    assert plain.where("key = 'hot'").count() == 0 and hot.where("key = 'hot'").count() == hot.count() > 300
+    assert hot_keys(skewed, ["key"]).count() == 0 and split_hot(skewed, ["key"])[1] is None
 
 
-def test_no_key_is_hot_below_the_floor(skewed):
-    assert hot_keys(skewed, ["key"]).count() == 0
+@pytest.mark.parametrize("order", [["at", "id"], ["one", "two", "id"]])
+def test_no_chunk_holds_more_than_its_share(skewed, order):
+    """Also where the first two order columns tie for every row."""
+    cut = with_chunks(skewed.where("key = 'hot'"), ["key"], ordering(*order), 50).cache()
+    sizes = [r["count"] for r in cut.groupBy("__chunk").count().collect()]
+    assert max(sizes) == 50 and len(sizes) > 10
+    ranges = skewed.where("key = 'hot'").repartitionByRange(8, *order).groupBy(F.spark_partition_id()).count()
+    assert ranges.agg(F.max("count")).first()[0] < cut.count() / 3
+
+
+def test_one_scan_and_one_window_when_nothing_is_hot(skewed):
+    got = windows.running(skewed, ["key"], ["at", "id"], [WindowColumn("s", "sum", "amount")])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1 and plan.count("Window ") == 1 and "Join" not in plan
+
+
+def test_sums_of_floating_numbers_do_not_depend_on_the_cluster(spark, skewed):
+    floats = skewed.withColumn("f", F.col("amount") / 7)
+    column = [WindowColumn("s", "sum", "f"), WindowColumn("a", "avg", "f")]
+    seen = []
+    for partitions in ("3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        seen.append(sorted(tuple(r) for r in windows.running(floats, ["key"], ["at", "id"], column, most=60).select("id", "s", "a").collect()))
+    assert seen[0] == seen[1]
 
 
 def test_numbers_follow_the_order_without_gaps(skewed):

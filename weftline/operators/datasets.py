@@ -94,10 +94,7 @@ def joined_sources(spec: DataSetSpec, frames: Mapping[str, DataFrame]) -> DataFr
     for join in spec.joins:
         right = _qualified(read_source(frames, sources[join.right]), join.right)
         pairs = [(f"{join.left}__{a}", f"{join.right}__{b}") for a, b in join.pairs]
-        unique = sources[join.right].unique_key
-        result = join_frames(
-            result, right, pairs, join.how, bool(unique) and set(unique) <= {b for _, b in join.pairs}
-        )
+        result = join_frames(result, right, pairs, join.how, join.hot)
     return result
 
 

@@ -37,14 +37,13 @@ def join_frames(
     right: DataFrame,
     pairs: Sequence[tuple[str, str]],
     how: str = "inner",
-    right_unique: bool = False,
+    hot: bool = False,
 ) -> DataFrame:
     """Equi-join on pairs of columns; the two frames share no column name.
 
-    Adaptive execution splits a hot key on either side of an inner join, but on one side
-    only of an outer join and on none of a full one. So an outer join whose looked-up side may
-    repeat a key is the inner join and, under it, the rows an anti join finds unmatched.
-    ``right_unique`` says that the right keys are a declared key: a plain left join is safe then.
+    Adaptive execution splits a hot key on either side of an inner join, but on one side only of an outer join and on
+    none of a full one. Where the looked-up side of an outer join repeats a hot key, say ``hot``: the join is then the
+    inner join and, under it, the rows an anti join finds unmatched, which reads the sides again but splits them.
     """
     if how not in KINDS:
         raise Refused(f"unknown join type {how!r}")
@@ -53,8 +52,8 @@ def join_frames(
     shared = set(left.columns) & set(right.columns)
     if shared:
         raise Refused(f"both sides of the join hold {sorted(shared)}")
-    if how == "left" and right_unique:
-        return left.join(right, _on(left, right, pairs), "left")
+    if not hot:
+        return left.join(right, _on(left, right, pairs), how)
     result = left.join(right, _on(left, right, pairs), "inner")
     if how in ("left", "full"):
         result = result.unionByName(_unmatched(left, right, pairs), allowMissingColumns=True)
@@ -157,10 +156,8 @@ def parent_child(
     bare = F.transform("__items", lambda i: F.struct(*[i[c].alias(c) for c in body]))
     empty = F.slice(F.array(F.struct(*[F.lit(None).cast(children.schema[c].dataType).alias(c) for c in body])), 1, 0)
     composed = lists.select("__parent", "__block", bare.alias(into))
-    matched = join_frames(parents, composed, [(key, "__parent")])
-    # Childless owners are told by the children's keys alone; the lists are not built twice.
-    alone = anti_join(parents, children, [(key, parent_key)])
-    joined = matched.unionByName(alone, allowMissingColumns=True)
+    # An owner's lists are few: one for each block.
+    joined = join_frames(parents, composed, [(key, "__parent")], "left")
     return joined.select(
         *parents.columns,
         F.coalesce("__block", F.lit(0)).cast("long").alias("block_no"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.errors import Refused
 from weftline.operators.windows import number_rows
+from weftline.session import settle_measured
 from weftline.specs import Ordering, ordering
 
 # Every task hands this many rows to the last one of a top-n; beyond it positions are computed. Both answer in order.
@@ -65,14 +66,14 @@ def top_k(df: DataFrame, measure: str, n: int, key: Sequence[str]) -> DataFrame:
 
 
 def row_ceiling(df: DataFrame, ceiling: int) -> DataFrame:
-    """All rows, or a failure: a result cut at a ceiling must not look complete.
+    """All rows, or a refusal: a result cut at a ceiling must not look complete.
 
-    The count is a scalar subquery, combined in every task, so the check runs with the read.
+    The frame is evaluated once, written to the shared folder and counted on the way.
     """
-    seen = df.agg(F.count(F.lit(1))).scalar()
-    return df.withColumn(
-        "__over", F.when(seen > ceiling, F.raise_error(F.lit(f"more than {ceiling} rows"))).cast("int")
-    ).where(F.col("__over").isNull()).drop("__over")
+    settled, seen = settle_measured(df, "ceiling", rows=F.count(F.lit(1)))
+    if seen["rows"] > ceiling:
+        raise Refused(f"more than {ceiling} rows")
+    return settled
 
 
 def page_after(

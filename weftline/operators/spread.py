@@ -1,94 +1,29 @@
-"""Order-preserving chunks, so that no ordered group has to fit one task.
+"""Positions and chunks, so that no ordered group has to fit one task.
 
-A window partitioned by a hot key would put that key's rows into a single task. Chunks cut
-the order of the hot rows at their quantiles: each holds about 1/n of them, so a (key,
-chunk) group is never larger than that, however hot the key is. Where one order value
-itself is hot, its rows are cut again by the quantiles of the next order column.
+A window partitioned by a hot key would put that key's rows into a single task. Rows of keys above ``MOST`` rows are
+dealt by range over the key and all order columns at once, so ties in the first columns are cut by the next. The
+rows of a key in one range are counted, and the counts before it place them: each row gets its exact number in
+the key's order. Chunks are runs of ``MOST`` such numbers. They depend on the data alone, never on the cluster.
 """
 
 from __future__ import annotations
 
-import math
 import operator
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import settle, settle_measured
 from weftline.specs import Ordering
 
+POSITION = "__pos"
 CHUNK = "__chunk"
-SUB = "__sub"
-CHUNK_KEYS = (CHUNK, SUB)
-HOT = "__hot"
-_BOUNDS = "__bounds"
 
-# A key with fewer rows than this fits a task however few chunks there are.
-HOT_ROWS = 1_000_000
-
-# Accuracy of the quantile summary; its size is bounded by this, not by the data.
-ACCURACY = 10000
-MAX_CHUNKS = 1024
-SUB_CHUNKS = 64
-
-
-def chunk_count(df: DataFrame) -> int:
-    """As many chunks as the session shuffles into, within the summary's accuracy."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(MAX_CHUNKS, partitions))
-
-
-def _bounds(df: DataFrame, name: str, order: Sequence[Ordering], count: int) -> Column:
-    """``count - 1`` sorted quantiles of a column, and every sqrt(n)-th of them, from one row."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        row = _text_bounds(df, name, order, count)
-    else:
-        shares = [i / count for i in range(1, count)]
-        row = df.agg(F.percentile_approx(_sortable(df, name), shares, ACCURACY).alias("b"))
-    width = _width(count)
-    heads = F.filter("b", lambda _, i: i % width == width - 1)
-    return row.select(F.struct(heads.alias("heads"), F.col("b").alias("all"))).scalar()
-
-
-def _width(count: int) -> int:
-    return max(1, math.isqrt(count))
-
-
-def _text_bounds(df: DataFrame, name: str, order: Sequence[Ordering], count: int) -> DataFrame:
-    """Quantiles of a text column from one row per hash bucket, a fixed number of them.
-
-    Rows fall into buckets by the hash of their order columns, so a bucket's pick stands for
-    rows and not for distinct texts: a hot text is picked often and shows up as a bound.
-    """
-    spread = F.xxhash64(*[o.name for o in order])
-    picks = (
-        df.select(F.col(name).alias("v"), spread.alias("h"))
-        .where(F.col("v").isNotNull())
-        .groupBy(F.pmod("h", F.lit(count * 16)).alias("p"))
-        .agg(F.min_by("v", "h").alias("v"))
-        .agg(F.sort_array(F.collect_list("v")).alias("a"))
-    )
-    nth = F.transform(
-        F.sequence(F.lit(1), F.lit(count - 1)),
-        lambda i: F.get("a", F.floor(i * F.size("a") / F.lit(count)).cast("int")),
-    )
-    return picks.select(nth.alias("b"))
-
-
-def _sortable(df: DataFrame, name: str) -> Column:
-    if isinstance(df.schema[name].dataType, T.BooleanType):
-        return F.col(name).cast("int")
-    return F.col(name)
-
-
-def _position(bounds: str, width: int, value: Column) -> tuple[Column, Column]:
-    """How many bounds lie below the value, and whether it is one: a look at the heads, then at one group."""
-    full = F.size(F.filter(f"{bounds}.heads", lambda b: b < value))
-    group = F.slice(F.col(f"{bounds}.all"), full * width + 1, F.lit(width))
-    below = full * width + F.size(F.filter(group, lambda b: b < value))
-    return below, F.coalesce(F.array_contains(group, value), F.lit(False))
+# Rows of one window in one task.
+MOST = 1_000_000
 
 
 def _filler(kind: T.DataType) -> Column | None:
@@ -119,62 +54,57 @@ def key_parts(df: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
     return parts
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, chunks: int | None = None) -> DataFrame:
-    """Keys that hold more rows than one chunk of the table, and more than ``hot_rows``.
+def same_key(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> Column:
+    return reduce(operator.and_, [df[k].eqNullSafe(hot[f"__h_{k}"]) for k in keys])
 
-    There are fewer of them than chunks, whatever the data: the frame may be broadcast.
-    """
-    count = chunks or chunk_count(df)
-    least = F.lit(HOT_ROWS if hot_rows is None else hot_rows)
+
+def hot_keys(df: DataFrame, keys: Sequence[str], most: int | None = None) -> DataFrame:
+    """Keys with more rows than one window may hold."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    # Read from the same sizes, so that one shuffle serves both.
-    share = sizes.agg(F.ceil(F.sum("__n") / count)).scalar()
-    return sizes.where(F.col("__n") > F.greatest(share, least)).select(*[F.col(k).alias(f"__h_{k}") for k in keys])
+    return sizes.where(F.col("__n") > (MOST if most is None else most)).select(*[F.col(k).alias(f"__h_{k}") for k in keys])
 
 
-def same_key(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(operator.and_, [df[k].eqNullSafe(hot[f"__h_{k}"]) for k in keys])
+def split_hot(df: DataFrame, keys: Sequence[str], most: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of ordinary keys, and rows of hot keys; None where there are none.
+
+    One count over the key columns alone decides, when the plan is made. Without a key all rows are one group.
+    """
+    if not keys:
+        size = df.select(F.lit(1)).limit((MOST if most is None else most) + 1).count()
+        return (df, None) if size <= (MOST if most is None else most) else (None, df)
+    hot, seen = settle_measured(hot_keys(df, keys, most), "hot-keys", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return df, None
+    same = same_key(df, hot, keys)
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
 
-def with_chunks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Ordering], hot_rows: int | None = None, chunks: int | None = None
-) -> DataFrame:
-    """Add ``__chunk`` and ``__sub``: within a key, sorting by them agrees with sorting by ``order``.
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Ordering]) -> DataFrame:
+    """Add ``__pos``, each row's number from 1 in its key's order, and the key in the form of ``key_parts``.
 
-    The key itself is added in the form of ``key_parts``, and ``__hot`` for rows of hot keys.
-    Only hot keys are cut; all others are one chunk, 0. The bounds are quantiles of the hot
-    rows, one row read through a scalar subquery; nothing is collected.
+    ``order`` must be total: rows that tie are numbered in any order. The rows are written once to the shared folder,
+    with the range each one fell into, so that counting and numbering see the same ranges.
     """
-    count = chunks or chunk_count(df)
-    inner_count = min(count, SUB_CHUNKS)
-    leading = list(order)[:2]
-    if keys:
-        hot = hot_keys(df, keys, hot_rows, count).withColumn(HOT, F.lit(True))
-        marked = df.join(F.broadcast(hot), same_key(df, hot, keys), "left")
-        marked = marked.drop(*[f"__h_{k}" for k in keys]).withColumn(HOT, F.coalesce(HOT, F.lit(False)))
-        source = df.join(F.broadcast(hot), same_key(df, hot, keys), "left_semi")
-    else:
-        marked, source = df.withColumn(HOT, F.lit(True)), df
-    for i, o in enumerate(leading):
-        marked = marked.withColumn(f"{_BOUNDS}{i}", _bounds(source, o.name, order, count if i == 0 else inner_count))
-
-    first = _sortable(df, leading[0].name)
-    below, on_edge = _position(f"{_BOUNDS}0", _width(count), first)
-    # Values equal to a bound get a chunk of their own (odd), the rest lie between (even).
-    chunk = _place(first, below * 2 + on_edge.cast("int"), leading[0])
-    sub = F.lit(0)
-    if len(leading) > 1:
-        second = _sortable(df, leading[1].name)
-        inner, _ = _position(f"{_BOUNDS}1", _width(inner_count), second)
-        sub = F.when(on_edge | first.isNull(), _place(second, inner, leading[1])).otherwise(0)
-    added = [f"{_BOUNDS}{i}" for i in range(len(leading))]
-    hot_row = F.col(HOT)
-    return marked.withColumns(
-        {CHUNK: F.when(hot_row, chunk).otherwise(0), SUB: F.when(hot_row, sub).otherwise(0)}
-    ).withColumns(key_parts(df, keys) or {HOT: F.col(HOT)}).drop(*added)
-
-
-def _place(value: Column, position: Column, order: Ordering) -> Column:
-    """NULL sorts first ascending and last descending."""
-    place = F.when(value.isNull(), -1).otherwise(F.coalesce(position, F.lit(-1)))
-    return -place if order.descending else place
+    owner = key_parts(df, keys)
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sort = [o.column() for o in order]
+    dealt = df.withColumns(owner) if owner else df
+    dealt = settle(dealt.repartitionByRange(count, *owner, *sort).withColumn("__range", F.spark_partition_id()), "ranges")
+    groups = [*owner, "__range"]
+    sizes = dealt.groupBy(*groups).agg(F.count(F.lit(1)).alias("__size"))
+    # One row for each key and range.
+    before = Window.partitionBy(*owner).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *[F.col(g).alias(f"__r{g}") for g in groups], F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before")
+    )
+    within = Window.partitionBy(*groups).orderBy(*sort)
+    numbered = dealt.withColumn("__row", F.row_number().over(within))
+    same = reduce(operator.and_, [numbered[g] == offsets[f"__r{g}"] for g in groups])
+    placed = numbered.join(offsets, same).withColumn(POSITION, (F.col("__row") + F.col("__before")).cast("long"))
+    return placed.drop("__row", "__before", "__range", *[f"__r{g}" for g in groups])
+
+
+def with_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Ordering], most: int | None = None) -> DataFrame:
+    """``positions`` with ``__chunk``, the run of ``MOST`` numbers that a row's position lies in."""
+    placed = positions(df, keys, order)
+    return placed.withColumn(CHUNK, F.floor((F.col(POSITION) - 1) / (MOST if most is None else most)))

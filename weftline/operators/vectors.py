@@ -99,11 +99,13 @@ def _best(ids: np.ndarray, distances: np.ndarray, k: int) -> np.ndarray:
 
 def _task(query_ids: list, units: np.ndarray, k: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(query_ids)
+        empty = np.empty(0, np.int64 if schema.field("id").type == pa.int64() else "U1")
+        best: list[tuple[np.ndarray, np.ndarray]] = [(empty, np.empty(0))] * len(query_ids)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = ids if ids.dtype != object else ids.astype(str)
             rows = _unit(_matrix(batch.column(1))).T
             step = max(1, TILE_VALUES // batch.num_rows)
             for first in range(0, len(query_ids), step):
@@ -118,7 +120,8 @@ def _task(query_ids: list, units: np.ndarray, k: int, schema: pa.Schema):
                     keep = _best(all_ids, all_distances, k)
                     best[q] = (all_ids[keep], all_distances[keep])
         for q, (ids, distances) in zip(query_ids, best, strict=True):
-            columns = [pa.array([q] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(distances, pa.float64())]
+            kind = schema.field("id").type
+            columns = [pa.array([q] * len(ids), schema.field("q").type), pa.array(ids, kind), pa.array(distances, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
@@ -137,27 +140,40 @@ def nearest_batch(
 ) -> DataFrame:
     """The ``k`` nearest rows for each of many query vectors: query, key, distance, place.
 
-    Queries are cut into blocks of a fixed number of values, whatever their number; each block
-    passes over the table once. Only a block, never the query set, is held by the driver.
+    Queries are cut into blocks of a fixed number of values, whatever their number; each block passes over the table
+    once, and its answers are written before the next is read, so the driver holds one block. As in ``nearest`` a
+    query meets the vectors of its own length only. Integer keys compare as numbers, all others as text.
     """
     _check(df, field, k, metric, max_rows)
-    vectors = df.select(F.col(key).cast("long").alias("id"), F.col(field).alias("v")).where(F.col(field).isNotNull())
-    asked = queries.select(F.col(query_key).cast("long").alias("q"), F.col(query_field).alias("v")).dropna()
-    width = asked.select(F.size("v")).first()
-    if width is None:
+    vectors = df.select(_key(df, key).alias("id"), F.col(field).alias("v")).where(F.col(field).isNotNull())
+    asked = queries.select(_key(queries, query_key).alias("q"), F.col(query_field).alias("v")).dropna()
+    widths = [r["w"] for r in asked.groupBy(F.size("v").alias("w")).count().orderBy("w").collect() if r["w"] > 0]
+    if not widths:
         raise Refused("there is no query vector")
-    block = max(1, BLOCK_VALUES // max(1, width[0]))
-    placed = settle(number_rows(asked, ["q"], "n"), "queries")
-    total = placed.agg(F.max("n")).first()[0]
-    schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+    types = {f.name: pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() for f in (asked.schema["q"], vectors.schema["id"])}
+    schema = pa.schema([("q", types["q"]), ("id", types["id"]), ("distance", pa.float64())])
+    answer = f"q {asked.schema['q'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double"
     found = None
-    for first in range(0, total, block):
-        rows = placed.where((F.col("n") > first) & (F.col("n") <= first + block)).select("q", "v").toArrow()
-        units = _unit(_matrix(rows.column("v").combine_chunks()))
-        task = _task(rows.column("q").to_pylist(), units, k, schema)
-        part = vectors.mapInArrow(task, "q long, id long, distance double")
-        found = part if found is None else found.unionByName(part)
-    # k rows per task and query are left; the rank limit is applied again before the shuffle.
+    for width in widths:
+        block = max(1, BLOCK_VALUES // width)
+        placed = settle(number_rows(asked.where(F.size("v") == width), ["q"], "n"), "queries")
+        fitting = vectors.where(F.size("v") == width)
+        for first in range(0, placed.agg(F.max("n")).first()[0], block):
+            rows = placed.where((F.col("n") > first) & (F.col("n") <= first + block)).select("q", "v").toArrow()
+            units = _unit(_matrix(rows.column("v").combine_chunks()))
+            task = _task(rows.column("q").to_pylist(), units, k, schema)
+            # k rows per task and query are left; the rank limit is applied again before the shuffle.
+            part = settle(_first(fitting.mapInArrow(task, answer), k), "nearest")
+            found = part if found is None else found.unionByName(part)
+    kinds = {"query_id": queries.schema[query_key].dataType, key: df.schema[key].dataType}
+    named = found.select(F.col("q").cast(kinds["query_id"]).alias("query_id"), F.col("id").cast(kinds[key]).alias(key), "distance", "place")
+    return named
+
+
+def _key(df: DataFrame, name: str) -> Column:
+    return F.col(name).cast("long" if isinstance(df.schema[name].dataType, T.IntegralType) else "string")
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
     by_query = Window.partitionBy("q").orderBy("distance", "id")
-    ranked = found.withColumn("place", F.row_number().over(by_query).cast("long")).where(F.col("place") <= k)
-    return ranked.select(F.col("q").alias("query_id"), F.col("id").alias(key), "distance", "place")
+    return found.withColumn("place", F.row_number().over(by_query).cast("long")).where(F.col("place") <= k)

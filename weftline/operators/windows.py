@@ -1,10 +1,10 @@
 """Window calculations that survive a hot partition key.
 
-Ordinary keys are one built-in window. A key with more rows than a chunk of the table is cut
-into chunks of its order: ROW_NUMBER and the running SUM, AVG, MIN, MAX and COUNT are prefix
-scans, where each (key, chunk) group is scanned on its own, the chunk totals are scanned
-over the key, and both are added. RANK and DENSE_RANK first collapse ties, so a hot value is
-one row. LAG and LEAD of one row carry the neighbouring chunk's edge value.
+Ordinary keys are one built-in window over one scan. A key with more rows than ``spread.MOST`` is cut into chunks of
+that many positions: ROW_NUMBER and the running SUM, AVG, MIN, MAX and COUNT are prefix scans, where each (key, chunk)
+group is scanned on its own, the chunk totals are scanned over the key, and both are added. RANK and DENSE_RANK first
+collapse ties, so a hot value is one row. LAG and LEAD meet the row at the position so far away.
+Chunks are cut at fixed positions, so a sum of floating numbers adds up in the same order on any cluster.
 The default frame is everything from the start to the current row.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.errors import Refused
 from weftline.operators.lookup import lookup
-from weftline.operators.spread import CHUNK_KEYS, HOT, hot_keys, key_parts, same_key, with_chunks
+from weftline.operators.spread import CHUNK, POSITION, key_parts, positions, split_hot, with_chunks
 from weftline.specs import Ordering, ordering
 
 RUNNING = ("row_number", "sum", "avg", "min", "max", "count")
@@ -55,41 +55,56 @@ def _join_back(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataF
     return left.join(renamed, same, "left").drop(*[f"__r{n}" for n in names])
 
 
+def _union(plain: DataFrame | None, cut: DataFrame | None) -> DataFrame:
+    if plain is None or cut is None:
+        return cut if plain is None else plain
+    return plain.unionByName(cut)
+
+
 def running(
     df: DataFrame,
     partition: Sequence[str],
     order: Sequence[str | Ordering],
     columns: Sequence[WindowColumn],
-    hot_rows: int | None = None,
-    chunks: int | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """Running functions. ``order`` must be total: end it with a unique key."""
     keys, sort = list(partition), ordering(*order)
-    owner = list(key_parts(df, keys))
-    parts = owner + list(CHUNK_KEYS)
-    base = with_chunks(df, keys, sort, hot_rows, chunks)
+    plain, hot = split_hot(df, keys, most)
     sums = [(f, c) for c in sorted({c.column for c in columns if c.column}) for f in PARTS if _needed(columns, c, f)]
-
-    local = Window.partitionBy(*parts).orderBy(*[o.column() for o in sort])
+    if plain is not None:
+        plain = _scanned(plain, keys, [o.column() for o in sort], sums)
+        plain = plain.withColumns({"__b_n": F.lit(0)} | {f"__b_{f}_{c}": F.lit(None).cast(plain.schema[f"__{f}_{c}"].dataType) for f, c in sums})
+        plain = plain.withColumns({c.name: _running_value(c) for c in columns}).select(*df.columns, *[c.name for c in columns])
+    if hot is not None:
+        hot = _cut(hot, keys, sort, sums, most)
+        hot = hot.withColumns({c.name: _running_value(c) for c in columns}).select(*df.columns, *[c.name for c in columns])
+    return _union(plain, hot)
+
+
+def _scanned(df: DataFrame, parts: Sequence[str], sort: Sequence[Column], sums: Sequence[tuple[str, str]]) -> DataFrame:
+    local = Window.partitionBy(*parts).orderBy(*sort)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scanned = base.withColumns(
-        {"__n": F.row_number().over(local)} | {f"__{f}_{c}": getattr(F, f)(c).over(upto) for f, c in sums}
-    )
+    return df.withColumns({"__n": F.row_number().over(local)} | {f"__{f}_{c}": getattr(F, f)(c).over(upto) for f, c in sums})
 
-    # Only hot keys have more than one chunk, so only theirs need what came before.
-    totals = base.where(HOT).groupBy(*parts).agg(
-        F.count(F.lit(1)).alias("__t_n"), *[getattr(F, f)(c).alias(f"__t_{f}_{c}") for f, c in sums]
+
+def _cut(df: DataFrame, keys: list[str], sort: list[Ordering], sums: Sequence[tuple[str, str]], most: int | None) -> DataFrame:
+    """Each chunk scanned alone, with what came before it under ``__b_`` names."""
+    base = with_chunks(df, keys, sort, most)
+    owner = list(key_parts(df, keys))
+    parts = [*owner, CHUNK]
+    scanned = _scanned(base, parts, [F.col(POSITION)], sums)
+    # A chunk's totals are its last row's; summing again might add floating numbers in another order.
+    last = scanned.groupBy(*parts).agg(
+        F.max("__n").alias("__t_n"), *[F.max_by(f"__{f}_{c}", POSITION).alias(f"__t_{f}_{c}") for f, c in sums]
     )
-    before = Window.partitionBy(*owner).orderBy(*CHUNK_KEYS).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    before = Window.partitionBy(*owner).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = last.select(
         *parts,
         F.sum("__t_n").over(before).alias("__b_n"),
         *[PARTS[f](f"__t_{f}_{c}").over(before).alias(f"__b_{f}_{c}") for f, c in sums],
     )
-    joined = _join_back(scanned, offsets, parts)
-    joined = joined.withColumn("__b_n", F.coalesce("__b_n", F.lit(0)))
-    result = joined.withColumns({c.name: _running_value(c) for c in columns})
-    return result.select(*df.columns, *[c.name for c in columns])
+    return _join_back(scanned, offsets, parts).withColumn("__b_n", F.coalesce("__b_n", F.lit(0)))
 
 
 # How the totals of chunks merge.
@@ -120,24 +135,12 @@ def _running_value(spec: WindowColumn) -> Column:
     return pick(F.col(f"__{spec.function}_{name}"), F.col(f"__b_{spec.function}_{name}"))
 
 
-def _split_hot(
-    df: DataFrame, keys: list[str], hot_rows: int | None, chunks: int | None
-) -> tuple[DataFrame | None, DataFrame]:
-    """Rows of ordinary keys, and rows of hot keys. Without a key all rows are one hot group."""
-    if not keys:
-        return None, df
-    hot = F.broadcast(hot_keys(df, keys, hot_rows, chunks))
-    same = same_key(df, hot, keys)
-    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
-
-
 def ranking(
     df: DataFrame,
     partition: Sequence[str],
     order: Sequence[str | Ordering],
     columns: Sequence[WindowColumn],
-    hot_rows: int | None = None,
-    chunks: int | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """RANK and DENSE_RANK over ``order``, whose ties share a rank.
 
@@ -146,76 +149,44 @@ def ranking(
     """
     keys, sort = list(partition), ordering(*order)
     names = [*df.columns, *[c.name for c in columns]]
-    plain, hot = _split_hot(df, keys, hot_rows, chunks)
-    values = keys + [o.name for o in sort if o.name not in keys]
-    ties = hot.groupBy(*values).agg(F.count(F.lit(1)).alias("__ties"))
-    places = [WindowColumn("__upto", "sum", "__ties"), WindowColumn("__place", "row_number")]
-    scanned = running(ties, keys, sort, places, hot_rows, chunks)
-    forms = {"rank": F.col("__upto") - F.col("__ties") + 1, "dense_rank": F.col("__place")}
-    ranks = scanned.select(*values, *[forms[c.function].cast("long").alias(c.name) for c in columns])
-    placed = ranks.withColumnsRenamed({v: f"__r_{v}" for v in values})
-    result = lookup(hot, placed, [(v, f"__r_{v}") for v in values], "inner", null_safe=True).select(*names)
-    if plain is None:
-        return result
-    over = Window.partitionBy(*keys).orderBy(*[o.column() for o in sort])
-    native = {c.name: getattr(F, c.function)().over(over).cast("long") for c in columns}
-    return plain.withColumns(native).select(*names).unionByName(result)
+    plain, hot = split_hot(df, keys, most)
+    if plain is not None:
+        over = Window.partitionBy(*keys).orderBy(*[o.column() for o in sort])
+        native = {c.name: getattr(F, c.function)().over(over).cast("long") for c in columns}
+        plain = plain.withColumns(native).select(*names)
+    if hot is not None:
+        values = keys + [o.name for o in sort if o.name not in keys]
+        ties = hot.groupBy(*values).agg(F.count(F.lit(1)).alias("__ties"))
+        places = [WindowColumn("__upto", "sum", "__ties"), WindowColumn("__place", "row_number")]
+        scanned = running(ties, keys, sort, places, most)
+        forms = {"rank": F.col("__upto") - F.col("__ties") + 1, "dense_rank": F.col("__place")}
+        ranks = scanned.select(*values, *[forms[c.function].cast("long").alias(c.name) for c in columns])
+        placed = ranks.withColumnsRenamed({v: f"__r_{v}" for v in values})
+        hot = lookup(hot, placed, [(v, f"__r_{v}") for v in values], "inner", null_safe=True).select(*names)
+    return _union(plain, hot)
 
 
 def shifted(
-    df: DataFrame,
-    partition: Sequence[str],
-    order: Sequence[str | Ordering],
-    column: WindowColumn,
-    hot_rows: int | None = None,
-    chunks: int | None = None,
+    df: DataFrame, partition: Sequence[str], order: Sequence[str | Ordering], column: WindowColumn, most: int | None = None
 ) -> DataFrame:
     """LAG and LEAD in a total order."""
     keys, sort = list(partition), ordering(*order)
-    if column.offset == 1 and len({o.descending for o in sort}) == 1:
-        return _neighbour(df, keys, sort, column, hot_rows, chunks)
-    plain, hot = _split_hot(df, keys, hot_rows, chunks)
-    result = _by_position(hot, keys, sort, column, hot_rows, chunks)
-    if plain is None:
-        return result
-    over = Window.partitionBy(*keys).orderBy(*[o.column() for o in sort])
-    native = getattr(F, column.function)(column.column, column.offset).over(over)
-    return plain.withColumn(column.name, native).unionByName(result)
-
-
-def _neighbour(
-    df: DataFrame, keys: list[str], sort: list[Ordering], spec: WindowColumn, hot_rows: int | None, chunks: int | None
-) -> DataFrame:
-    owner = list(key_parts(df, keys))
-    parts = owner + list(CHUNK_KEYS)
-    base = with_chunks(df, keys, sort, hot_rows, chunks)
-    rows = F.struct(*[o.name for o in sort])
-    forward = spec.function == "lag"
-    # The edge is the chunk's last row for lag, its first for lead; descending order swaps them.
-    pick = F.max_by if forward != sort[0].descending else F.min_by
-    edges = base.where(HOT).groupBy(*parts).agg(pick(F.struct(spec.column), rows).alias("__edge"))
-    over_chunks = Window.partitionBy(*owner).orderBy(*CHUNK_KEYS)
-    shift = F.lag if forward else F.lead
-    across = edges.select(*parts, shift("__edge").over(over_chunks).alias("__across"))
-    local = Window.partitionBy(*parts).orderBy(*[o.column() for o in sort])
-    inside = base.withColumn("__inside", shift(F.struct(spec.column)).over(local))
-    joined = _join_back(inside, across, parts)
-    value = F.when(F.col("__inside").isNotNull(), F.col(f"__inside.{spec.column}")).otherwise(
-        F.col(f"__across.{spec.column}")
-    )
-    return joined.withColumn(spec.name, value).select(*df.columns, spec.name)
-
-
-def _by_position(
-    df: DataFrame, keys: list[str], sort: list[Ordering], spec: WindowColumn, hot_rows: int | None, chunks: int | None
-) -> DataFrame:
-    """Any offset: number the rows, then meet the row that lies ``offset`` away."""
-    numbered = running(df, keys, sort, [WindowColumn("__pos", "row_number")], hot_rows, chunks)
+    plain, hot = split_hot(df, keys, most)
+    if plain is not None:
+        over = Window.partitionBy(*keys).orderBy(*[o.column() for o in sort])
+        plain = plain.withColumn(column.name, getattr(F, column.function)(column.column, column.offset).over(over))
+    if hot is not None:
+        hot = _by_position(hot, keys, sort, column)
+    return _union(plain, hot)
+
+
+def _by_position(df: DataFrame, keys: list[str], sort: list[Ordering], spec: WindowColumn) -> DataFrame:
+    """Number the rows, then meet the row that lies ``offset`` away."""
+    numbered = positions(df, keys, sort)
     step = spec.offset if spec.function == "lag" else -spec.offset
-    owner = key_parts(df, keys)
-    numbered = numbered.withColumns(owner) if owner else numbered
-    away = numbered.select(*owner, (F.col("__pos") + step).alias("__pos"), F.col(spec.column).alias("__away"))
-    joined = _join_back(numbered, away, [*owner, "__pos"])
+    owner = list(key_parts(df, keys))
+    away = numbered.select(*owner, (F.col(POSITION) + step).alias(POSITION), F.col(spec.column).alias("__away"))
+    joined = _join_back(numbered, away, [*owner, POSITION])
     return joined.withColumn(spec.name, F.col("__away")).select(*df.columns, spec.name)
 
 
@@ -225,23 +196,22 @@ def windowed(
     order: Sequence[str | Ordering],
     column: WindowColumn,
     key: Sequence[str] = (),
-    hot_rows: int | None = None,
-    chunks: int | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """One windowed calculation. ``key`` completes the order where the function needs a total one."""
     if column.function in RANKING:
-        return ranking(df, partition, order, [column], hot_rows, chunks)
+        return ranking(df, partition, order, [column], most)
     total = [*ordering(*order), *ordering(*key)]
     if column.function in SHIFTING:
-        return shifted(df, partition, total, column, hot_rows, chunks)
-    return running(df, partition, total, [column], hot_rows, chunks)
+        return shifted(df, partition, total, column, most)
+    return running(df, partition, total, [column], most)
 
 
 def number_rows(df: DataFrame, order: Sequence[str | Ordering], name: str, start: Column | int = 0) -> DataFrame:
     """Consecutive numbers after ``start`` over the whole frame, without a single-task window."""
     first = start if isinstance(start, Column) else F.lit(start)
-    numbered = running(df, [], order, [WindowColumn("__row", "row_number")])
-    return numbered.withColumn(name, (F.col("__row") + first).cast("long")).drop("__row")
+    placed = positions(df, [], ordering(*order))
+    return placed.withColumn(name, (F.col(POSITION) + first).cast("long")).drop(*({POSITION} - {name}))
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

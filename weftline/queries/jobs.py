@@ -74,6 +74,27 @@ def edge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, target string, records long")
 
 
+@query(
+    "edge_sample",
+    """SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 25""",
+)
+def edge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = flows.edge_sample(revenue_graph(spark, sf_dir), "open", ["o_orderkey"], 25)
+    return sample.select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query(
+    "flow_history",
+    """SELECT event_type AS flow, user_id AS run_id, ts AS started_at FROM events WHERE event_type = 'click'
+       ORDER BY started_at DESC, run_id DESC""",
+)
+def flow_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("flow"), F.col("user_id").alias("run_id"), F.col("ts").alias("started_at")
+    )
+    return flows.flow_history(runs, "flow", "click")
+
+
 @query(
     "flow_parameters",
     """SELECT o_orderkey, o_totalprice, 'EUR' AS currency, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 1.5 AS DOUBLE) AS converted

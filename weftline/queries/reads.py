@@ -244,7 +244,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their label, NULL where there is none."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled_id"), "quality", "toxic")
     documents = table(spark, sf_dir, "documents")
-    return joins.join_frames(documents, labels, [("doc_id", "labelled_id")], "left", right_unique=True).drop("labelled_id")
+    return joins.join_frames(documents, labels, [("doc_id", "labelled_id")], "left").drop("labelled_id")
 
 
 LABELLED = "documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
@@ -491,6 +491,13 @@ def page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.page(orders, 100, 50, ["-o_totalprice"], ["o_orderkey"])
 
 
+@query("page_deep", "SELECT * FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate LIMIT 3000 OFFSET 9000")
+def page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deep enough, with its rows, that positions are computed."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    return paging.page(table(spark, sf_dir, "lineitem"), 9000, 3000, ["-l_extendedprice"], key)
+
+
 @query("page_by_key", f"SELECT {ORDER} FROM orders ORDER BY o_orderkey LIMIT 40 OFFSET 20")
 def page_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.page(table(spark, sf_dir, "orders").select(*ORDER.split(", ")), 20, 40, key=["o_orderkey"])
@@ -557,6 +564,17 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setops.schema_diff(stored, now, "name")
 
 
+@query(
+    "has_changes",
+    """SELECT count(*) > 0 AS changed FROM (SELECT lower(c_name) AS name FROM customer
+       EXCEPT SELECT lower(c_name) FROM customer WHERE c_acctbal >= 1000)""",
+)
+def has_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), "c_acctbal")
+    diff = setops.schema_diff(names, names.where(F.col("c_acctbal") >= 1000), "name")
+    return spark.range(1).select(setops.has_changes(diff).alias("changed"))
+
+
 @query(
     "distinct_by",
     """SELECT l_orderkey, l_shipdate, l_linenumber, l_partkey, l_quantity FROM lineitem

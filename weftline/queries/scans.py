@@ -155,6 +155,13 @@ def script_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.script_read(spark, text, {"status": "F", "least": 100000}, inputs)
 
 
+@query("script_read_take", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey <= 2")
+def script_read_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 25 nations are expected; more would be refused."""
+    text = "SELECT n_name, n_regionkey FROM {nation} WHERE n_regionkey <= :last"
+    return scripts.script_read(spark, text, {"last": 2}, {"nation": table(spark, sf_dir, "nation")}, take=25)
+
+
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses as document paths: host, folders, file."""
     path = F.regexp_replace("url", "^https?://", "")

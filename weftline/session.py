@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,15 +34,16 @@ def build_session(app_name: str = "weftline", master: str | None = None, **extra
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session may fall back to a temporary folder of this machine; on a
-    cluster such a folder would vanish with its executor, so the job is refused instead.
+    Where it is unset, a session whose tasks all run in this process gets a temporary folder that goes with the
+    process; any other session has executors that would not see such a folder, so the job is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="weftline-")
+    atexit.register(shutil.rmtree, root, True)
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.errors import Refused
+from weftline.operators.paging import row_ceiling
 
 
 def script_read(
@@ -14,9 +14,7 @@ def script_read(
 ) -> DataFrame:
     """Run a statement over named inputs. Values travel as parameters, never as text.
 
-    A statement that selects more than ``take`` rows fails; at most take + 1 rows are counted.
+    A statement that selects more than ``take`` rows fails. It runs once: its rows are written and counted.
     """
     result = spark.sql(text, args=dict(params), **inputs)
-    if take is not None and result.limit(take + 1).count() > take:
-        raise Refused(f"the script selects more than {take} rows")
-    return result
+    return result if take is None else row_ceiling(result, take)

@@ -55,10 +55,13 @@ class SourceSpec:
 
 @dataclass(frozen=True)
 class JoinSpec:
+    """A join of two sources; ``hot`` says that the looked-up side repeats a hot key."""
+
     left: str
     right: str
     pairs: Sequence[tuple[str, str]]
     how: str = "inner"
+    hot: bool = False
 
 
 @dataclass(frozen=True)
