@@ -152,3 +152,13 @@ def test_batch_search_meets_vectors_of_its_own_length(spark):
         want += [(name, r["k"], r["distance"], i) for i, r in enumerate(near, 1)]
     assert [(q, k, i) for q, k, _, i in got] == [(q, k, i) for q, k, _, i in want]
     assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(got, want, strict=True))
+
+
+def test_long_chains(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(3, 90), (90, 5), (10, 12)], "src int, dst int")
+    far = {r["node"]: r["distance"] for r in lineage.downstream(chain, 0).collect()}
+    assert far[40] == 39 and far[12] == 11 and far[90] == 4 and len(far) == 41
+    found = sorted((r["position"], r["node"]) for r in lineage.path(chain, 0, 20).collect())
+    assert found == list(enumerate([*range(11), *range(12, 21)]))
+    assert [tuple(r) for r in lineage.path(chain, 7, 7).collect()] == [(0, 7)]
+    assert lineage.path(chain, 20, 0).count() == 0

@@ -7,6 +7,8 @@ reaches the driver. A node enters once, so cycles end and paths never multiply.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +47,32 @@ def _level(df: DataFrame) -> tuple[DataFrame, bool]:
     return level, seen["rows"] == 0
 
 
+# Levels that are read one by one before they are written together.
+TOGETHER = 8
+
+
+class _Reached:
+    """The levels found so far. Eight of one size become one, so a deep walk reads few files at each level."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.parts: list[tuple[int, DataFrame]] = [(0, first)]
+
+    def add(self, level: DataFrame) -> None:
+        self.parts.append((0, level))
+        while len(self.parts) >= TOGETHER and len({size for size, _ in self.parts[-TOGETHER:]}) == 1:
+            size = self.parts[-1][0]
+            merged = reduce(DataFrame.unionByName, [p for _, p in self.parts[-TOGETHER:]])
+            self.parts[-TOGETHER:] = [(size + 1, settle(merged, "levels"))]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [p for _, p in self.parts])
+
+
 def _levels(start: DataFrame, edges: DataFrame, most: int | None) -> DataFrame:
     """All nodes reached from ``start`` with their distance; ``start`` has distance 0."""
     links = settle(edges.select("src", "dst").distinct(), "edges")
     frontier = settle(start.select("node", F.lit(0).alias("distance")).distinct(), "level")
-    reached = frontier
+    reached = _Reached(frontier)
     distance = 0
     while most is None or distance < most:
         distance += 1
@@ -57,13 +80,13 @@ def _levels(start: DataFrame, edges: DataFrame, most: int | None) -> DataFrame:
             links.join(frontier.select(F.col("node").alias("src")), "src")
             .select(F.col("dst").alias("node"))
             .distinct()
-            .join(reached.select("node"), "node", "left_anti")
+            .join(reached.all().select("node"), "node", "left_anti")
         )
         frontier, empty = _level(step.withColumn("distance", F.lit(distance)))
         if empty:
             break
-        reached = reached.unionByName(frontier)
-    return reached
+        reached.add(frontier)
+    return reached.all()
 
 
 def _single(edges: DataFrame, node: object) -> DataFrame:
@@ -95,35 +118,38 @@ def neighbourhood(edges: DataFrame, node: object, hops: int) -> DataFrame:
 def path(edges: DataFrame, start: object, end: object) -> DataFrame:
     """The shortest path as (position, node); among equals the smallest list of nodes. Empty when none.
 
-    Levels are walked back from the end until the start is met. The path is then read
-    forward, one smallest next node per step: one value per edge of the path.
+    Levels are walked back from the end until the start is met; each node keeps its smallest next node, which begins
+    the smallest list from there. The path is read off these by doubling: each round joins the part of the path found
+    so far with jumps of its own length.
     """
     links = settle(edges.select("src", "dst").distinct(), "edges")
     goal = _single(edges, end)
-    frontier = settle(goal.withColumn("left", F.lit(0)), "level")
-    reached, left, met = frontier, 0, start == end
+    frontier = settle(goal.withColumn("next", F.lit(None).cast(goal.schema["node"].dataType)), "level")
+    reached, left, met = _Reached(frontier), 0, start == end
     while not met:
         left += 1
         step = (
             links.join(frontier.select(F.col("node").alias("dst")), "dst")
-            .select(F.col("src").alias("node"))
-            .distinct()
-            .join(reached.select("node"), "node", "left_anti")
+            .groupBy(F.col("src").alias("node"))
+            .agg(F.min("dst").alias("next"))
+            .join(reached.all().select("node"), "node", "left_anti")
         )
         hits = F.count_if(F.col("node") == F.lit(start))
-        frontier, seen = settle_measured(
-            step.withColumn("left", F.lit(left)), "level", rows=F.count(F.lit(1)), hits=hits
-        )
+        frontier, seen = settle_measured(step, "level", rows=F.count(F.lit(1)), hits=hits)
         if seen["rows"] == 0:
             return _single(edges, None).select(F.lit(0).alias("position"), "node").where(F.lit(False))
-        reached, met = reached.unionByName(frontier), seen["hits"] > 0
-    walked = [start]
-    for remaining in range(left - 1, -1, -1):
-        nearer = reached.where(F.col("left") == remaining).select(F.col("node").alias("dst"))
-        best = links.where(F.col("src") == F.lit(walked[-1])).join(nearer, "dst", "left_semi")
-        walked.append(best.agg(F.min("dst")).first()[0])
-    kind = edges.schema["src"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame(list(enumerate(walked)), f"position int, node {kind}")
+        reached.add(frontier)
+        met = seen["hits"] > 0
+    walked = settle(_single(edges, start).select(F.lit(0).alias("position"), "node"), "path")
+    jumps, length = settle(reached.all().where(F.col("next").isNotNull()).select("node", "next"), "jumps"), 1
+    while length <= left:
+        more = walked.join(jumps, "node").select((F.col("position") + length).alias("position"), F.col("next").alias("node"))
+        walked = settle(walked.unionByName(more), "path")
+        further = jumps.select(F.col("node").alias("next"), F.col("next").alias("__beyond"))
+        length *= 2
+        if length <= left:
+            jumps = settle(jumps.join(further, "next").select("node", F.col("__beyond").alias("next")), "jumps")
+    return walked
 
 
 def groups(edges: DataFrame) -> DataFrame:
