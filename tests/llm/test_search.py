@@ -87,19 +87,19 @@ def test_index_stops_on_proof_only(scale, width):
     x[100:300] = x[100]
     x[:, 0] = 5
     index = impacts.Index(np.arange(700), x)
-    for q in [*range(0, 700, 50), 101]:
-        rows, scores = index.best(q, x[q], 10)
+    asked_for = np.array([*range(0, 700, 50), 101])
+    for q, (rows, scores) in zip(asked_for, index.best(asked_for, x[asked_for], 10), strict=True):
         want = x @ x[q]
         order = [i for i in np.lexsort((np.arange(700), -want)) if i != q][:10]
         assert rows.tolist() == order and scores.tolist() == want[order].tolist()
-    rows, _ = index.best(-1, np.zeros(width, np.int64), 10)
+    (rows, _), = index.best(np.array([-1]), np.zeros((1, width), np.int64), 10)
     assert rows.tolist() == list(range(10))
 
 
 def test_large_products(spark):
     rows = [(i, [float(2**k)] * 6) for i, k in enumerate([0, 10, 15, 3, 8])]
     assert sorted(map(tuple, impacts.top_k(table(spark, rows), asked(), 3).collect())) == brute(rows, 3, integers)
-    with pytest.raises(Exception, match="too large"):
+    with pytest.raises(Exception, match="too large|64 bits|OVERFLOW"):
         impacts.top_k(table(spark, [(0, [1e18] * 6), (1, [1e18] * 6)]), asked()).collect()
 
 

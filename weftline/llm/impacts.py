@@ -5,7 +5,7 @@ the vectors of a level are one posting segment. Against a query a segment has on
 component can add to a score above the least possible. Segments of all components are read by descending impact. What a
 vector has gathered, plus the highest impact left for each component it was not yet met in, bounds its score from above.
 Reading stops only when all vectors whose bound reaches the k-th best exact score found are few enough to be scored
-exactly; nothing else can be a member.
+exactly; nothing else can be a member. A component of which nothing was read yet adds no more than its own highest impact.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from weftline.llm.cells import block_of, ranked, search_cells, usable
 
 LEVELS = 32
 #: Shares of the postings after which the proof is tried.
-TRIES = (0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0)
-#: A vector's gathered impacts and the number of components met share one double while the impacts stay below this.
-UNIT = 2.0**40
+SHARES = (0.85, 1.0)
+#: Queries that read the segments side by side.
+TOGETHER = 128
 #: Rows of a cell.
 BLOCK, QUERIES = 8192, 1024
 
@@ -46,54 +46,69 @@ class Index:
     def scored(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         return _products(self.x[rows], query)
 
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and exact scores of the k best vectors of the block but the query's own."""
-        used = np.flatnonzero(query)
-        others = self.n - int(np.searchsorted(self.ids, query_id, "right") - np.searchsorted(self.ids, query_id, "left"))
-        if not len(used) or others <= 4 * k:
-            return self._chosen(np.arange(self.n), query_id, query, k)
-        q = query[used][:, None]
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows and exact scores of the k best vectors of the block but the query's own."""
+        if self.n <= 4 * k:
+            return [self._chosen(np.arange(self.n), int(i), q, k) for i, q in zip(query_ids, queries, strict=True)]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for start in range(0, len(queries), TOGETHER):
+            out += self._together(query_ids[start : start + TOGETHER], queries[start : start + TOGETHER], k)
+        return out
+
+    def _together(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        q = queries[:, :, None]
         # Above the least that a component can add, no impact is negative.
-        least = np.where(q > 0, q * self.low[used][:, None], q * self.high[used][:, None])
-        impact = np.where(q > 0, q * self.top[used], q * self.bottom[used]) - least
-        sizes = self.sizes[used]
-        order = np.argsort(-impact, axis=None, kind="stable")
-        order = order[sizes.ravel()[order] > 0]
-        ordered, read = impact.ravel()[order], np.cumsum(sizes.ravel()[order])
-        floor = int(least.sum())
-        gathered, met = np.zeros(self.n), np.zeros(self.n)
-        own = self.ids == query_id
-        done = 0
-        for share in TRIES:
-            upto = int(np.searchsorted(read, share * read[-1], "left")) + 1
-            # Equal impacts are read together.
-            upto = int(np.searchsorted(-ordered, -ordered[min(upto, len(order)) - 1], "right"))
-            if upto > done:
-                self._read(order[done:upto], ordered[done:upto], used, gathered, met)
-                done = upto
-            left = float(ordered[done]) if done < len(order) else 0.0
-            bound = gathered + (len(used) - met) * left + floor
-            bound[own] = -np.inf
-            seeds = np.argpartition(-bound, 2 * k)[: 2 * k]
-            proof = np.partition(self.scored(seeds, query), -k)[-k]
-            possible = np.flatnonzero(bound >= proof)
-            if len(possible) <= max(8 * k, self.n // 32) or done == len(order):
-                return self._chosen(possible, query_id, query, k)
-        raise AssertionError("the last try reads all segments")
-
-    def _read(self, segments: np.ndarray, impacts: np.ndarray, used: np.ndarray, gathered: np.ndarray, met: np.ndarray) -> None:
-        dimension, level = used[segments // LEVELS], segments % LEVELS
-        begins, ends = self.begins[dimension, level], self.begins[dimension, level + 1]
-        rows = np.concatenate([self.postings[d][b:e] for d, b, e in zip(dimension.tolist(), begins.tolist(), ends.tolist(), strict=True)])
-        weights = impacts.astype(float)
-        if float(impacts.max(initial=0)) * len(used) < UNIT:
-            both = np.bincount(rows, weights=np.repeat(weights + UNIT, ends - begins), minlength=self.n)
-            now = np.floor(both / UNIT)
-            met += now
-            gathered += both - now * UNIT
-        else:
-            met += np.bincount(rows, minlength=self.n)
-            gathered += np.bincount(rows, weights=np.repeat(weights, ends - begins), minlength=self.n)
+        least = np.where(queries > 0, queries * self.low, queries * self.high)
+        impact = np.where(q > 0, q * self.top, q * self.bottom) - least[:, :, None]
+        impact = np.where(self.sizes > 0, impact, 0)
+        highest, floor = impact.max(axis=2), least.sum(axis=1)
+        # One number holds the impacts gathered and, in its upper bits, the components met; the shorter the faster.
+        bits = len(self.low).bit_length() + 1
+        kind = next((t for t in (np.int32, np.int64) if float(highest.sum(axis=1).max()) < 2.0 ** (8 * np.dtype(t).itemsize - bits)), None)
+        if kind is None:
+            raise OverflowError("components are too large to be summed exactly")
+        unit = 1 << 8 * np.dtype(kind).itemsize - bits
+        gathered = np.zeros((self.n, len(queries)), kind)
+        answers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        open_, above = np.arange(len(queries)), np.full(len(queries), np.inf)
+        for left in self._cuts(impact):
+            self._read(gathered, impact[open_], above[open_], left[open_], unit)
+            met = gathered // unit
+            begun = highest[open_] > left[open_, None]
+            rest = np.where(begun, 0, highest[open_]).sum(axis=1) + floor[open_]
+            ahead = np.maximum(left[open_], 0.0)
+            bounds = (gathered & (unit - 1)) + (begun.sum(axis=1) - met) * ahead + rest
+            for bound, i in zip(np.ascontiguousarray(bounds.T), open_.tolist(), strict=True):
+                bound[self.ids == query_ids[i]] = -np.inf
+                seeds = np.argpartition(-bound, 2 * k)[: 2 * k]
+                proof = np.partition(self.scored(seeds, queries[i]), -k)[-k]
+                possible = np.flatnonzero(bound >= proof)
+                if len(possible) <= max(8 * k, self.n // 32) or left[i] < 0:
+                    answers[i] = self._chosen(possible, int(query_ids[i]), queries[i], k)
+            kept = np.array([i not in answers for i in open_.tolist()], bool)
+            open_, gathered, above = open_[kept], gathered[:, kept], left
+            if not len(open_):
+                break
+        return [answers[i] for i in range(len(queries))]
+
+    def _cuts(self, impact: np.ndarray) -> list[np.ndarray]:
+        """For each share the impact down to which a query has read then; equal impacts are read together."""
+        flat = impact.reshape(len(impact), -1)
+        order = np.argsort(-flat, axis=1, kind="stable")
+        read = np.cumsum(self.sizes.ravel()[order], axis=1)
+        cuts = []
+        for share in SHARES[:-1]:
+            at = np.argmax(read >= share * read[:, -1:], axis=1)
+            cuts.append(np.take_along_axis(flat, np.take_along_axis(order, at[:, None], axis=1), axis=1)[:, 0].astype(float))
+        return [*cuts, np.full(len(impact), -1.0)]
+
+    def _read(self, gathered: np.ndarray, impact: np.ndarray, above: np.ndarray, left: np.ndarray, unit: int) -> None:
+        """Adds the segments whose impact lies in a query's band, one segment for all queries at a time."""
+        now = (impact <= above[:, None, None]) & (impact > left[:, None, None]) & (self.sizes > 0)
+        weights = np.where(now, impact + unit, 0).astype(gathered.dtype)
+        for d, level in zip(*np.nonzero(now.any(axis=0)), strict=True):
+            rows = self.postings[d][self.begins[d, level] : self.begins[d, level + 1]]
+            gathered[rows] += weights[:, d, level]
 
     def _chosen(self, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = rows[self.ids[rows] != query_id]
@@ -116,13 +131,9 @@ def _products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 def _best(k: int):
     def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, ...]:
-        # Bounds are summed in doubles, which must hold them exactly.
-        if float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * queries.shape[1] >= 2**51:
-            raise OverflowError("components are too large to be summed exactly")
-        index = Index(ids, vectors)
-        found = [index.best(int(i), q, k) for i, q in zip(query_ids, queries, strict=True)]
+        found = Index(ids, vectors).best(query_ids, queries, k)
         repeated = np.repeat(query_ids, [len(r) for r, _ in found])
-        return repeated, index.ids[np.concatenate([r for r, _ in found])], np.concatenate([s for _, s in found])
+        return repeated, ids[np.concatenate([r for r, _ in found])], np.concatenate([s for _, s in found])
 
     return best
 
