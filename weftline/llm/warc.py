@@ -39,7 +39,11 @@ def dictionary(pages: DataFrame, body: str = "html", key: str = "page_id") -> by
     Records too few or too short to train on give an empty dictionary, and files are then written without one.
     """
     sized = pages.where(F.octet_length(F.col(body)).between(1, SAMPLE_BYTES))
-    picked = sized.select(F.col(body).alias("body"), F.xxhash64(F.col(key)).alias("h")).orderBy("h", F.md5("body")).limit(SAMPLES)
+    hashed = sized.select(F.col(body).alias("body"), F.xxhash64(F.col(key), F.octet_length(F.col(body))).alias("h"))
+    # Thinned to about twice the sample first, so that no task sends more than its share of it.
+    n = hashed.count()
+    thinned = hashed.where(F.col("h") / 2.0**64 + 0.5 <= min(1.0, 2 * SAMPLES / max(n, 1)))
+    picked = thinned.orderBy("h", F.md5("body")).limit(SAMPLES)
     samples = [r.body.encode() for r in picked.select("body").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=1024, d=8).as_bytes() if len(samples) >= 8 else b""
