@@ -12,7 +12,7 @@ from weftline.errors import Refused
 from weftline.session import scratch_path, shared_root
 from weftline.sources import envelopes, files, listing, scripts, sinks
 
-PEOPLE = [("1", "Alice", "NYC"), ("2", "Bob, Jr", "LA"), ("3", 'Carol "C"', "SF")]
+PEOPLE = [("10", "Nils; Per", "Umeå"), ("11", 'A "b", C', "Faro"), ("12", "Liv", "Brno")]
 SCHEMA = files.declared({"Id": "nvarchar", "Name": "nvarchar", "City": "nvarchar"})
 
 

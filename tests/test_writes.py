@@ -19,7 +19,7 @@ VERSIONS = TableSpec("versions", ["RowId", "Id", "Name", "IsCurrent", "IsDeleted
 
 @pytest.fixture(scope="module")
 def people(spark):
-    return spark.createDataFrame([(1, "Ada"), (2, "Bob")], "RowId long, Name string")
+    return spark.createDataFrame([(1, "iris"), (2, "moss")], "RowId long, Name string")
 
 
 @pytest.fixture(scope="module")
@@ -31,15 +31,15 @@ def versions(spark):
 
 
 def test_insert_numbers_rows_and_keeps_carried_keys(spark, people, rows):
-    new = spark.createDataFrame([(None, "Dee"), (41, "Eve"), (None, "Cy")], "RowId long, Name string")
+    new = spark.createDataFrame([(None, "yew"), (41, "fern"), (None, "sedge")], "RowId long, Name string")
     change = writes.insert_append(people, new, PEOPLE, ["Name"])
-    assert rows(change.state) == [(1, "Ada"), (2, "Bob"), (41, "Eve"), (42, "Cy"), (43, "Dee")]
+    assert rows(change.state) == [(1, "iris"), (2, "moss"), (41, "fern"), (42, "sedge"), (43, "yew")]
     assert change.written.count() == 3
 
 
 def test_insert_into_an_empty_table_starts_at_one(spark, people, rows):
-    new = spark.createDataFrame([("Cy",)], "name string")
-    assert rows(writes.insert_append(people.where("RowId < 0"), new, PEOPLE, ["Name"]).state) == [(1, "Cy")]
+    new = spark.createDataFrame([("sedge",)], "name string")
+    assert rows(writes.insert_append(people.where("RowId < 0"), new, PEOPLE, ["Name"]).state) == [(1, "sedge")]
 
 
 def test_insert_of_an_undeclared_column_is_refused(spark, people):
@@ -59,7 +59,7 @@ def test_update_leaves_keys_and_flags(versions, rows):
 
 
 def test_delete_states_what_it_removes(people, rows):
-    assert rows(writes.delete_where(people, F.col("Name") == "Ada").state) == [(2, "Bob")]
+    assert rows(writes.delete_where(people, F.col("Name") == "iris").state) == [(2, "moss")]
     assert writes.delete_where(people, all_rows=True).state.count() == 0
     with pytest.raises(Refused):
         writes.delete_where(people)
@@ -124,10 +124,10 @@ def test_retire_marks_in_place(spark, versions, rows):
 
 
 def test_upsert_and_insert_if_new(spark, people, rows):
-    new = spark.createDataFrame([(2, "Bo"), (3, "Cy")], "RowId int, Name string")
-    assert rows(writes.upsert(people, new, PEOPLE, ["RowId"]).state) == [(1, "Ada"), (2, "Bo"), (3, "Cy")]
+    new = spark.createDataFrame([(2, "mint"), (3, "sedge")], "RowId int, Name string")
+    assert rows(writes.upsert(people, new, PEOPLE, ["RowId"]).state) == [(1, "iris"), (2, "mint"), (3, "sedge")]
     once = writes.insert_if_new(people, new, PEOPLE, ["rowid"])
-    assert rows(once.state) == [(1, "Ada"), (2, "Bob"), (3, "Cy")]
+    assert rows(once.state) == [(1, "iris"), (2, "moss"), (3, "sedge")]
     assert writes.insert_if_new(once.state, new, PEOPLE, ["RowId"]).written.count() == 0
 
 
@@ -145,19 +145,19 @@ def test_returning_names_declared_columns(people):
 
 
 def test_replace_publishes_one_table_only(spark, people, rows, tmp_path):
-    chiefs, broncos = str(tmp_path / "chiefs"), str(tmp_path / "broncos")
-    assert sinks.publish(people, chiefs) == 2
-    sinks.publish(people, broncos)
-    sinks.publish(writes.insert_replace(people, spark.createDataFrame([(3, "Cy")], "RowId long, Name string"), PEOPLE).state, chiefs)
-    assert rows(spark.read.parquet(chiefs)) == [(3, "Cy")]
-    assert spark.read.parquet(broncos).count() == 2
+    north, south = str(tmp_path / "north"), str(tmp_path / "south")
+    assert sinks.publish(people, north) == 2
+    sinks.publish(people, south)
+    sinks.publish(writes.insert_replace(people, spark.createDataFrame([(3, "sedge")], "RowId long, Name string"), PEOPLE).state, north)
+    assert rows(spark.read.parquet(north)) == [(3, "sedge")]
+    assert spark.read.parquet(south).count() == 2
 
 
 def test_a_table_may_be_rewritten_from_itself(spark, people, rows, tmp_path):
     path = str(tmp_path / "self")
     sinks.publish(people, path)
     sinks.publish(writes.delete_where(spark.read.parquet(path), F.col("RowId") == 1).state, path)
-    assert rows(spark.read.parquet(path)) == [(2, "Bob")]
+    assert rows(spark.read.parquet(path)) == [(2, "moss")]
 
 
 def test_a_failed_publish_leaves_the_old_table(spark, people, rows, tmp_path):
@@ -166,7 +166,7 @@ def test_a_failed_publish_leaves_the_old_table(spark, people, rows, tmp_path):
     broken = people.withColumn("Name", F.when(F.col("RowId") == 2, F.raise_error(F.lit("late"))).otherwise("x"))
     with pytest.raises(Exception, match="late"):
         sinks.publish(broken, path)
-    assert rows(spark.read.parquet(path)) == [(1, "Ada"), (2, "Bob")]
+    assert rows(spark.read.parquet(path)) == [(1, "iris"), (2, "moss")]
 
 
 def test_audit_lists_changed_fields(spark, rows):
