@@ -17,37 +17,35 @@ from weftline.llm.components import components
 
 @settings(max_examples=150, deadline=None)
 @given(st.binary(min_size=1, max_size=600).map(lambda b: bytes(x % 3 for x in b)), st.integers(1, 100))
-def test_suffix_array_and_common_prefixes(data, most):
-    word = suffixes.words(np.frombuffer(data, np.uint8))
-    array = suffixes.suffix_array(np.frombuffer(data, np.uint8))
-    assert array.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+def test_suffix_array_and_common_prefixes(data, depth):
+    check_suffixes(data, depth)
 
-    def shared(a, b):
-        n = 0
-        while n < most and max(a, b) + n < len(data) and data[a + n] == data[b + n]:
-            n += 1
-        return n
 
-    want = [0] + [shared(a, b) for a, b in zip(array, array[1:], strict=False)]
-    assert suffixes.common_prefixes(word, array, most).tolist() == want
+@pytest.mark.parametrize("data", [(b"abcab" * 300 + b"xyz" * 100) * 3, b"a" * 2000, bytes(range(256)) * 9, b"ab\0" * 500 + b"\0" * 9])
+def test_suffix_array_of_repeated_text(data):
+    check_suffixes(data, 100)
+
 
+def check_suffixes(data, depth):
+    text = np.frombuffer(data, np.uint8)
+    array, first = suffixes.suffix_array(text, depth)
+    # A byte more for each, so that the end of the text is below NUL.
+    keys = [tuple(b + 1 for b in data[i : i + depth]) for i in array]
+    assert sorted(array.tolist()) == list(range(len(data))) and keys == sorted(keys)
+    assert first.tolist() == [True] + [a != b for a, b in zip(keys, keys[1:], strict=False)]
+
+    def shared(a, b):
+        return next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
-def test_suffix_array_of_repeated_text():
-    data = (b"abcab" * 300 + b"xyz" * 100) * 3
-    array = suffixes.suffix_array(np.frombuffer(data, np.uint8))
-    assert array.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
-    shared = suffixes.common_prefixes(suffixes.words(np.frombuffer(data, np.uint8)), array, 100)
-    for i in range(1, len(array)):
-        a, b = data[array[i - 1] :][:100], data[array[i] :][:100]
-        n = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        assert shared[i] == n
+    want = [0] + [shared(a, b) for a, b in zip(keys, keys[1:], strict=False)]
+    assert suffixes.common_prefixes(suffixes.words(text), array, first, depth).tolist() == want
 
 
 def test_search_between_texts():
     rng = np.random.default_rng(5)
     a, b = (rng.integers(97, 99, n).astype(np.uint8) for n in (400, 300))
     wa, wb = suffixes.words(a), suffixes.words(b)
-    array = suffixes.suffix_array(a)
+    array, _ = suffixes.suffix_array(a, 12)
     array = array[array <= 388]
     wanted = np.arange(289)
     keys = [a.tobytes()[i : i + 12] for i in array]
