@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import os
 import random
 
 import numpy as np
@@ -361,3 +362,17 @@ def test_append_stream_emits_closed_windows_only(spark, event_files, tmp_path):
     batch = aggregates.throughput(spark.read.parquet(folder), "ts", "service", "1 hour")
     assert closed.join(batch, ["window_start", "service"]).where(closed["events"] > batch["events"]).count() == 0
     assert 0 < closed.count() <= batch.count()
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    schema, base, folder = "id long, ts timestamp_ntz, service string", datetime.datetime(2024, 1, 1), tmp_path / "late"
+    folder.mkdir()
+    # Files are taken in the order of their age. A batch drops by the watermark that the batch before it began with.
+    for i, hours in enumerate([0, 48, 49, 1]):
+        rows = [(10 * i + j, base + datetime.timedelta(hours=hours), s) for j, s in enumerate("ab")]
+        spark.createDataFrame(rows, schema).toPandas().astype({"ts": "datetime64[us]"}).to_parquet(folder / f"{i}.parquet")
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + i * 60,) * 2)
+    stream = streams.read_stream(spark, str(folder), spark.read.parquet(str(folder)).schema, files_per_trigger=1)
+    query = streams.start_counts(stream, "ts", "service", "1 hour", "1 hour", str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert streams.late_rows(query) == 2

@@ -63,7 +63,7 @@ def run_available(
 def stream_throughput(
     stream: DataFrame, at: str, service: str, width: str, late: str
 ) -> DataFrame:
-    """Events per service and window; rows later than ``late`` behind the newest are dropped.
+    """Events per service and window; rows later than ``late`` behind the newest are dropped, see ``late_rows``.
 
     Counts are combined before the shuffle, so the state per window is one row per service.
     """
@@ -77,6 +77,14 @@ def start_counts(
     return start_flow(stream, lambda s: stream_throughput(s, at, service, width, late), target, checkpoint, "append", interval)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark and were left out, over the batches whose progress Spark still holds.
+
+    Spark counts them where they meet the state, so rows of one window that were combined before count once.
+    """
+    return sum(state["numRowsDroppedByWatermark"] for p in query.recentProgress for state in p["stateOperators"])
+
+
 def keep_latest_counts(
     spark: SparkSession, stream: DataFrame, at: str, service: str, width: str, late: str, label: str
 ) -> DataFrame:
