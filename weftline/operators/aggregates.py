@@ -39,9 +39,10 @@ def _common(kinds: Sequence[T.DataType]) -> str:
 def stat_set(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per numeric column (and group): n, nulls, distinct, min, max, sum, mean, stddev.
 
-    All measures come from one aggregate and one scan: distinct values are counted in the column's own type over
-    expanded (column, value) rows, which combine before the shuffle, so neither a hot value nor a hot group
-    meets one task. Minimum, maximum and sum are exact decimals unless a column holds floating numbers.
+    The moments of all columns are one wide aggregate. Distinct values are counted over (column, value) rows in a second
+    read of the columns, which combine before they are shuffled, so neither a hot value nor a hot group meets one task;
+    one aggregate with a distinct count for each column would read the table once, but expand it through all measures. Values
+    are compared exactly; minimum, maximum and sum are exact decimals unless a column holds floating numbers.
     """
     if not columns:
         raise Refused("a stat set needs at least one column")
@@ -55,7 +56,6 @@ def stat_set(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
         measures += [
             F.count(value).alias(f"n{i}"),
             F.count_if(value.isNull()).alias(f"nulls{i}"),
-            F.count_distinct(value).alias(f"distinct{i}"),
             F.min(value).cast(common).alias(f"min{i}"),
             F.max(value).cast(common).alias(f"max{i}"),
             F.sum(summed).cast(common).alias(f"sum{i}"),
@@ -66,7 +66,6 @@ def stat_set(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
                 F.lit(name).alias("column"),
                 F.col(f"n{i}").alias("n"),
                 F.col(f"nulls{i}").alias("nulls"),
-                F.col(f"distinct{i}").alias("distinct_values"),
                 F.col(f"min{i}").alias("min_value"),
                 F.col(f"max{i}").alias("max_value"),
                 F.col(f"sum{i}").alias("sum_value"),
@@ -74,7 +73,23 @@ def stat_set(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
                 F.col(f"stddev{i}").alias("stddev_value"),
             )
         )
-    return numbers.groupBy(*by).agg(*measures).select(*by, F.inline(F.array(*entries)))
+    moments = numbers.groupBy(*by).agg(*measures).select(*by, F.inline(F.array(*entries)))
+    kinds = {numbers.schema[f"__v{i}"].dataType for i in range(len(columns))}
+    pairs = [F.struct(F.lit(name).alias("__column"), _exact(F.col(f"__v{i}"), kinds).alias("__value")) for i, name in enumerate(columns)]
+    values = numbers.select(*[F.col(b).alias(f"__by_{b}") for b in by], F.inline(F.array(*pairs)))
+    distinct = values.groupBy(*[f"__by_{b}" for b in by], "__column").agg(F.count_distinct("__value").alias("distinct_values"))
+    same = moments["column"] == distinct["__column"]
+    for b in by:
+        same = same & moments[b].eqNullSafe(distinct[f"__by_{b}"])
+    joined = moments.join(distinct, same, "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+    return joined.select(
+        *by, "column", "n", "nulls", "distinct_values", "min_value", "max_value", "sum_value", "mean_value", "stddev_value"
+    )
+
+
+def _exact(value: Column, kinds: set[T.DataType]) -> Column:
+    """The value in a form that all columns share and that keeps different values apart."""
+    return value if len(kinds) == 1 else value.cast("string")
 
 
 def count_by(df: DataFrame, *by: str, name: str = "rows") -> DataFrame:
