@@ -228,6 +228,16 @@ def test_each_template_is_found(at):
     assert [m.license for _, _, m in found] == [name]
 
 
+def found_in(text):
+    return [m.license for _, _, m in licenses._scanner(licenses.TEMPLATES).scan(text)]
+
+
+def test_a_license_ranked_behind_many_others_is_found():
+    said = ["Mozilla Public License, Version 2.0", "CC BY 4.0", "GNU General Public License, version 3"]
+    text = f"Licensed under the {said[0]}. This project is licensed under {said[1]}. Released under the {said[2]}."
+    assert found_in(text) == ["MPL-2.0", "CC-BY-4.0", "GPL-3.0"]
+
+
 def test_closest_part():
     assert licenses.closest("a b c".split(), "x a b c y".split()) == (1, 4, 0)
     assert licenses.closest("a b c".split(), "x a q c y".split()) == (1, 4, 1)
