@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -238,6 +239,16 @@ def test_a_license_ranked_behind_many_others_is_found():
     assert found_in(text) == ["MPL-2.0", "CC-BY-4.0", "GPL-3.0"]
 
 
+def test_a_license_is_found_whatever_surrounds_it():
+    short = licenses.TEMPLATES[len(licenses.NOTICES) :]
+    order = random.Random(1).sample(range(len(short)), len(short))
+    assert found_in(" ".join(short[i][1] for i in order)) == [short[i][0] for i in order]
+    known = sorted({w for _, t in licenses.TEMPLATES for w in licenses.words(t)})
+    other = " ".join(random.Random(2).choices(known, k=500))
+    for name, text in licenses.TEMPLATES:
+        assert found_in(f"{text} {other}.") == [name]
+
+
 def test_closest_part():
     assert licenses.closest("a b c".split(), "x a b c y".split()) == (1, 4, 0)
     assert licenses.closest("a b c".split(), "x a q c y".split()) == (1, 4, 1)
