@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -249,6 +250,29 @@ def test_a_license_is_found_whatever_surrounds_it():
         assert found_in(f"{text} {other}.") == [name]
 
 
+SENTENCES = [
+    ("The jQuery plugin by John Smith is released under the MIT License.", ["MIT"]),
+    ("Foo is a small parser library written by Jane Doe, released under the MIT License, as is bar.", ["MIT"]),
+    ("Except where otherwise noted, content on this site is licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+    ("Released under (CC BY 4.0)", ["CC-BY-4.0"]),
+    (licenses.NOTICES[0][1].replace("to deal in the Software", "to\nJohn Smith Jane Doe, deal in Software"), ["MIT"]),
+    ("The jQuery plugin by John Smith has a license.", []),
+]
+
+
+def test_statements_inside_longer_sentences(spark, docs):
+    found = licenses.scan(docs([(i, text) for i, (text, _) in enumerate(SENTENCES)])).collect()
+    assert sorted((r.doc_id, r.place, r.license) for r in found) == [
+        (i, place, name) for i, (_, names) in enumerate(SENTENCES) for place, name in enumerate(names)
+    ]
+
+
+def test_no_allowed_edits_take_all_signals_away():
+    for _, text in licenses.TEMPLATES:
+        said = licenses.words(text)
+        assert len(re.findall("|".join(licenses.SIGNALS), " ".join(said))) > int(licenses.TOLERANCE * len(said))
+
+
 def test_closest_part():
     assert licenses.closest("a b c".split(), "x a b c y".split()) == (1, 4, 0)
     assert licenses.closest("a b c".split(), "x a q c y".split()) == (1, 4, 1)
