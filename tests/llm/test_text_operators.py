@@ -273,6 +273,44 @@ def test_no_allowed_edits_take_all_signals_away():
         assert len(re.findall("|".join(licenses.SIGNALS), " ".join(said))) > int(licenses.TOLERANCE * len(said))
 
 
+def test_one_text_repeats_a_statement_many_times(spark, docs):
+    rows = [(1, "Licensed under the MIT License.\n" * 6000), (2, licenses.NOTICES[2][1] * 300), (3, "This work is licensed under CC BY-NC-SA 4.0. " * 2000)]
+    found = licenses.scan(docs(rows)).groupBy("doc_id", "license").count().collect()
+    assert sorted(tuple(r) for r in found) == [(1, "MIT", 6000), (2, "GPL-3.0-or-later", 300), (3, "CC-BY-NC-SA-4.0", 2000)]
+
+
+def every_fit(scanner, said, offset=0):
+    """All templates against all words left, the best taken first."""
+    fits = []
+    for i, template in enumerate(scanner.words):
+        begin, end, differing = licenses.closest(template, said)
+        if differing <= scanner.allowed[i]:
+            saved = scanner.saved(i, " ".join(said[begin:end]))
+            fits.append((differing - len(template), differing, -saved, i, begin, end))
+    if not fits:
+        return []
+    _, differing, _, i, begin, end = min(fits)
+    left, right = every_fit(scanner, said[:begin], offset), every_fit(scanner, said[end:], offset + end)
+    return [*left, (i, begin + offset, end + offset, differing), *right]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_scan_equals_trying_every_template_everywhere(seed):
+    chance, scanner = random.Random(seed), licenses._scanner(licenses.TEMPLATES)
+    known = [w for t in scanner.words for w in t]
+    said = []
+    for _ in range(chance.randint(1, 5)):
+        i = chance.randrange(len(scanner.words)) if chance.random() < 0.6 else chance.randrange(len(licenses.NOTICES))
+        wording = list(scanner.words[i])
+        for _ in range(chance.randint(0, scanner.allowed[i] + 1)):
+            at = chance.randrange(len(wording))
+            wording[at : at + chance.randint(0, 1)] = chance.choices(["other", *known], k=chance.randint(0, 1))
+        cut = chance.choice([0, 0, 0, 1, 2])
+        said += wording[: len(wording) - cut] + chance.choices(["other", *known], k=chance.choice([0, 0, 1, 8]))
+    found = [(m.template, m.begin, m.end, m.differing) for _, _, m in scanner.scan(" ".join(said))]
+    assert found == every_fit(scanner, licenses.words(" ".join(said)))
+
+
 def test_closest_part():
     assert licenses.closest("a b c".split(), "x a b c y".split()) == (1, 4, 0)
     assert licenses.closest("a b c".split(), "x a q c y".split()) == (1, 4, 1)
