@@ -128,6 +128,17 @@ def test_repeats_edge_cases(docs):
     assert repeats.cut_repeats(docs(rows).where("false")).count() == 0
 
 
+def test_lists_of_rows_without_an_id_belong_to_one_text_each(spark, docs):
+    shared = "a passage that stands in every one of these texts, well over a hundred bytes long, so that it is cut out of the later ones. "
+    rows = [(None, f"{shared}own end {i}") for i in range(60)] + [(None, f"{shared}own end 0")] * 40
+    texts = repeats._stored(docs(rows), "doc_id", "text", False)
+    spans = repeats._spans(texts, repeats._firsts(texts, 100), 100, repeats.SHARD).collect()
+    assert len(spans) >= 59 and max(len(r.spans) for r in spans) < 10
+    got = repeats.removed(docs(rows)).collect()
+    whole = [r for r in got if not r.n_removed]
+    assert len(got) == 100 and len({r.kept_sha256 for r in whole}) == 1
+
+
 def test_cut_drops_broken_characters(docs):
     common = "é" * 60
     rows = [(1, "x" + common), (2, "y" + common + "漢z")]
