@@ -97,6 +97,15 @@ def test_statistics_of_mixed_types_are_exact(spark):
     assert got == {"x": (3, 0, 3), "y": (2, 1, 1)}
 
 
+def test_integers_beside_floating_numbers_keep_their_digits(spark):
+    big = 2**53
+    df = spark.createDataFrame([(big, 0.5), (big + 1, 0.5), (big + 1, None)], "x long, y double")
+    got = {r["column"]: r for r in aggregates.stat_set(df, ["x", "y"]).collect()}
+    assert [int(got["x"][c]) for c in ("min_exact", "max_exact", "sum_exact")] == [big, big + 1, 3 * big + 2]
+    assert [got["y"][c] for c in ("min_value", "max_value", "sum_value", "sum_exact")] == [0.5, 0.5, 1.0, None]
+    assert "sum_exact" not in aggregates.stat_set(df, ["x"]).columns
+
+
 def test_deep_pages_come_in_order(spark):
     df = spark.range(0, 30000, 1, 5).select((F.col("id") * 7919 % 30011).alias("k"))
     want = sorted(7919 * i % 30011 for i in range(30000))

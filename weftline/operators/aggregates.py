@@ -28,10 +28,12 @@ def calculate(df: DataFrame, kind: str, column: str | Column, name: str, by: Seq
     return df.groupBy(*by).agg(measure) if by else df.agg(measure)
 
 
-def _common(kinds: Sequence[T.DataType]) -> str:
-    """A type that holds the values of all columns: doubles only where a column is one."""
-    if any(isinstance(k, T.FractionalType) and not isinstance(k, T.DecimalType) for k in kinds):
-        return "double"
+def _floating(kind: T.DataType) -> bool:
+    return isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType)
+
+
+def _decimals(kinds: Sequence[T.DataType]) -> str:
+    """A type that holds the values of all columns that are not floating, without loss."""
     scale = max([k.scale for k in kinds if isinstance(k, T.DecimalType)], default=0)
     return f"decimal(38,{scale})"
 
@@ -42,23 +44,30 @@ def stat_set(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
     The moments of all columns are one wide aggregate. Distinct values are counted over (column, value) rows in a second
     read of the columns, which combine before they are shuffled, so neither a hot value nor a hot group meets one task;
     one aggregate with a distinct count for each column would read the table once, but expand it through all measures. Values
-    are compared exactly; minimum, maximum and sum are exact decimals unless a column holds floating numbers.
+    are compared exactly; minimum, maximum and sum are taken in each column's own kind and given as exact decimals. Where
+    only some of the columns hold floating numbers, they are given as doubles, and ``min_exact``, ``max_exact`` and
+    ``sum_exact`` follow: exact decimals of the others, NULL for the floating ones.
     """
     if not columns:
         raise Refused("a stat set needs at least one column")
     numbers = df.select(*by, *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
-    common = _common([numbers.schema[f"__v{i}"].dataType for i in range(len(columns))])
+    types = [numbers.schema[f"__v{i}"].dataType for i in range(len(columns))]
+    exact = _decimals(types)
+    common = "double" if any(_floating(k) for k in types) else exact
+    parts = ("min", "max", "sum")
+    extra = [f"{p}_exact" for p in parts] if common == "double" and not all(_floating(k) for k in types) else []
     measures, entries = [], []
     for i, name in enumerate(columns):
         value = F.col(f"__v{i}")
+        own = "double" if _floating(types[i]) else exact
         # A sum of longs may leave their range.
-        summed = value if common == "double" else value.cast(common)
+        summed = value if own == "double" else value.cast(own)
         measures += [
             F.count(value).alias(f"n{i}"),
             F.count_if(value.isNull()).alias(f"nulls{i}"),
-            F.min(value).cast(common).alias(f"min{i}"),
-            F.max(value).cast(common).alias(f"max{i}"),
-            F.sum(summed).cast(common).alias(f"sum{i}"),
+            F.min(value).cast(own).alias(f"min{i}"),
+            F.max(value).cast(own).alias(f"max{i}"),
+            F.sum(summed).cast(own).alias(f"sum{i}"),
             F.stddev_samp(value).alias(f"stddev{i}"),
         ]
         entries.append(
@@ -66,11 +75,12 @@ def stat_set(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
                 F.lit(name).alias("column"),
                 F.col(f"n{i}").alias("n"),
                 F.col(f"nulls{i}").alias("nulls"),
-                F.col(f"min{i}").alias("min_value"),
-                F.col(f"max{i}").alias("max_value"),
-                F.col(f"sum{i}").alias("sum_value"),
+                F.col(f"min{i}").cast(common).alias("min_value"),
+                F.col(f"max{i}").cast(common).alias("max_value"),
+                F.col(f"sum{i}").cast(common).alias("sum_value"),
                 (F.col(f"sum{i}").cast("double") / F.nullif(F.col(f"n{i}"), F.lit(0))).alias("mean_value"),
                 F.col(f"stddev{i}").alias("stddev_value"),
+                *[(F.lit(None) if own == "double" else F.col(f"{p}{i}")).cast(exact).alias(e) for p, e in zip(parts, extra, strict=False)],
             )
         )
     moments = numbers.groupBy(*by).agg(*measures).select(*by, F.inline(F.array(*entries)))
@@ -83,7 +93,7 @@ def stat_set(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
         same = same & moments[b].eqNullSafe(distinct[f"__by_{b}"])
     joined = moments.join(distinct, same, "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
     return joined.select(
-        *by, "column", "n", "nulls", "distinct_values", "min_value", "max_value", "sum_value", "mean_value", "stddev_value"
+        *by, "column", "n", "nulls", "distinct_values", "min_value", "max_value", "sum_value", "mean_value", "stddev_value", *extra
     )
 
 
