@@ -273,6 +273,14 @@ def retention_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.retention_select(documents, "path", "modified", cutoffs, "archive")
 
 
+def changed_customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The customers, and as they might be later: some dormant, some gone, the suppliers added."""
+    before = table(spark, sf_dir, "customer")
+    segment = F.when(F.col("c_acctbal") < 2000, "DORMANT").otherwise(F.col("c_mktsegment"))
+    kept = before.where(F.col("c_mktsegment") != "FURNITURE").withColumn("c_mktsegment", segment)
+    return before, kept.unionByName(supplier_rows(spark, sf_dir, "-1 - s_suppkey"), allowMissingColumns=True)
+
+
 @query(
     "audit_changes",
     """WITH o AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_nationkey = 3),
@@ -287,11 +295,22 @@ def retention_select(spark: SparkSession, sf_dir: str) -> DataFrame:
        UNION ALL SELECT c_custkey, c_nationkey, changed_by, changed_at, 'c_mktsegment', a2, b2 FROM j WHERE a2 IS DISTINCT FROM b2""",
 )
 def audit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = table(spark, sf_dir, "customer")
-    segment = F.when(F.col("c_acctbal") < 2000, "DORMANT").otherwise(F.col("c_mktsegment"))
-    kept = before.where(F.col("c_mktsegment") != "FURNITURE").withColumn("c_mktsegment", segment)
-    after = kept.unionByName(supplier_rows(spark, sf_dir, "-1 - s_suppkey"), allowMissingColumns=True)
+    before, after = changed_customers(spark, sf_dir)
     who = F.concat(F.lit("user"), (F.col("c_custkey") % 7).cast("string"))
     return governance.audit_changes(
         before, after, ["c_custkey"], ["c_name", "c_mktsegment"], who, moment("2024-03-01"), "c_nationkey", 3
     )
+
+
+@query(
+    "audit_changes_all",
+    """WITH o AS (SELECT c_custkey, c_name, c_mktsegment FROM customer),
+            n AS (SELECT c_custkey, c_name, CASE WHEN c_acctbal < 2000 THEN 'DORMANT' ELSE c_mktsegment END AS c_mktsegment FROM customer
+                  WHERE c_mktsegment <> 'FURNITURE' UNION ALL SELECT -1 - s_suppkey, s_name, NULL FROM supplier),
+            j AS (SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, o.c_name AS a1, n.c_name AS b1, o.c_mktsegment AS a2, n.c_mktsegment AS b2
+                  FROM o FULL JOIN n ON o.c_custkey = n.c_custkey)
+       SELECT c_custkey, 'c_name' AS field, a1 AS old_value, b1 AS new_value FROM j WHERE a1 IS DISTINCT FROM b1
+       UNION ALL SELECT c_custkey, 'c_mktsegment', a2, b2 FROM j WHERE a2 IS DISTINCT FROM b2""",
+)
+def audit_changes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.audit_changes(*changed_customers(spark, sf_dir), ["c_custkey"], ["c_name", "c_mktsegment"])
