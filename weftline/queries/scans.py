@@ -162,6 +162,13 @@ def script_read_take(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.script_read(spark, text, {"last": 2}, {"nation": table(spark, sf_dir, "nation")}, take=25)
 
 
+@query("script_read_take_groups", "SELECT l_linenumber, count(*) AS lines FROM lineitem WHERE l_linenumber <= 7 GROUP BY l_linenumber")
+def script_read_take_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order has seven lines at most, so the ceiling is just met; one row more would be refused."""
+    text = "SELECT l_linenumber, count(*) AS lines FROM {lineitem} WHERE l_linenumber <= :last GROUP BY l_linenumber"
+    return scripts.script_read(spark, text, {"last": 7}, {"lineitem": table(spark, sf_dir, "lineitem")}, take=7)
+
+
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses as document paths: host, folders, file."""
     path = F.regexp_replace("url", "^https?://", "")
