@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import impacts, language, licenses, neighbours, packing, repeats, sentencepieces, simhash, token_counts, warc
+from weftline.llm import (
+    impacts,
+    language,
+    licenses,
+    neighbours,
+    packing,
+    periodic,
+    repeats,
+    sentencepieces,
+    sequences,
+    simhash,
+    token_counts,
+    warc,
+)
 from weftline.llm.common import held_out
 from weftline.queries.registry import table
 from weftline.session import scratch_path
@@ -107,3 +120,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_licenses")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
