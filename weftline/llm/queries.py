@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import (
+    conversations,
     impacts,
     language,
     licenses,
@@ -130,3 +131,60 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_best_fit_packing")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
+
+
+# DuckDB has no checksum of this kind: eight shifts for each byte of the decimal id.
+_SHIFT = "xor(({0}) // 2, CASE WHEN ({0}) % 2 = 1 THEN 3988292384 ELSE 0 END)"
+
+
+def _crc32(text: str) -> str:
+    """The CRC-32 of an ASCII text in SQL: a reduction over bits of bytes, the byte joined before its first bit."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: list_concat([ascii(substr({text}, i, 1)) + 256], [0, 0, 0, 0, 0, 0, 0])))"
+    state = "(CASE WHEN b >= 256 THEN xor(c, b - 256) ELSE c END)"
+    return f"xor(list_reduce(list_concat([4294967295], {steps}), lambda c, b: {_SHIFT.format(state)}), 4294967295)"
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+    WITH t AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+        FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    c AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS name FROM t),
+    h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("name")} % 9 AS h FROM c),
+    r AS (
+        SELECT h.conv_id, 0 AS part, t.n, t.role, t.text FROM h JOIN t ON t.conv_id = h.base AND t.n <= h.h
+        UNION ALL
+        SELECT h.conv_id, 1, t.n, t.role, t.text FROM h JOIN t ON t.conv_id = h.conv_id AND t.n > h.h
+    ),
+    l AS (SELECT conv_id, list(sha256(concat(length(role), ':', role, text)) ORDER BY part, n) AS turns,
+                 list(octet_length(encode(text)) ORDER BY part, n) AS sizes FROM r GROUP BY conv_id),
+    w AS (SELECT c.conv_id, coalesce(turns, []) AS turns, coalesce(sizes, []) AS sizes FROM c LEFT JOIN l USING (conv_id)),
+    p AS (
+        SELECT conv_id, d AS depth, len(turns) AS last, turns[1:d] AS steps, sha256(array_to_string(turns[1:d], ',')) AS node,
+               CASE WHEN d > 0 THEN sha256(array_to_string(turns[1:d - 1], ',')) END AS up, coalesce(sizes[d], 0) AS size
+        FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM w)
+    ),
+    v AS (
+        SELECT node, any_value(up) AS up, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(steps) AS steps,
+               (count(*) - 1) * any_value(size) AS worth,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last = depth), '')) AS ends_sha256
+        FROM p GROUP BY node, depth
+    ),
+    k AS (SELECT up, count(*) AS n FROM v WHERE up IS NOT NULL GROUP BY up),
+    e AS (SELECT v.*, coalesce(k.n, 0) AS n_children FROM v LEFT JOIN k ON k.up = v.node),
+    s AS (
+        SELECT node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(worth) AS saved
+        FROM (SELECT unnest(list_transform(range(0, depth + 1), lambda d: sha256(array_to_string(steps[1:d], ',')))) AS node,
+                     n_children, worth FROM e)
+        GROUP BY node
+    )
+    SELECT e.conv_id, e.depth, u.conv_id AS parent_conv_id, e.n_convs, e.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+           CAST(s.saved AS BIGINT) AS saved_tokens, e.ends_sha256
+    FROM e JOIN s USING (node) LEFT JOIN v u ON u.node = e.up
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.trie_report(table(spark, sf_dir, "conversations"))
