@@ -10,7 +10,6 @@ import itertools
 import json
 import os
 import pathlib
-import re
 import sys
 import zlib
 from array import array
@@ -18,16 +17,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import configurations
-from weftline.llm.common import pieces, slim
+from weftline.llm.common import blocks, slim
 from weftline.session import settle
 
 #: Words that a Python worker remembers from one batch to the next.
 REMEMBERED = 600_000
+#: Words that are encoded as one text, and bytes of texts that are encoded side by side.
+JOINED, TOGETHER = 512, 8 << 20
 #: Parts that all pieces are numbered in, dealt among the lengths by their share.
 PARTS = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -35,17 +37,18 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids b
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
+def _flat(node: dict | None, inner: str) -> list[dict]:
+    return [] if not node else [x for n in node[inner] for x in _flat(n, inner)] if node["type"] == "Sequence" else [node]
+
+
 def _word_by_word(stated: dict) -> bool:
     """Whether a vocabulary never looks across ASCII white space: it drops it, and normalises on either side alone."""
 
-    def flat(node: dict | None, inner: str) -> list[dict]:
-        return [] if not node else [x for n in node[inner] for x in flat(n, inner)] if node["type"] == "Sequence" else [node]
-
     def harmless(n: dict) -> bool:
         blanks = n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " "
         return blanks or n["type"] in ("NFC", "NFD", "Lowercase")
 
-    first, *others = flat(stated.get("pre_tokenizer"), "pretokenizers") or [{"type": "none"}]
+    first, *others = _flat(stated.get("pre_tokenizer"), "pretokenizers") or [{"type": "none"}]
     # Only what is matched stays, and white space is in no alternative: classes of letters, of digits, and of neither.
     drops = (
         first["type"] == "Split"
@@ -56,7 +59,7 @@ def _word_by_word(stated: dict) -> bool:
     )
     joins = [n for n in others if n["type"] != "ByteLevel" or n.get("use_regex", True) or n.get("add_prefix_space")]
     added = [t for t in stated.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]]]
-    return drops and not joins and not added and all(map(harmless, flat(stated.get("normalizer"), "normalizers")))
+    return drops and not joins and not added and all(map(harmless, _flat(stated.get("normalizer"), "normalizers")))
 
 
 class Encoder:
@@ -69,49 +72,96 @@ class Encoder:
         stated = json.loads(pathlib.Path(path).read_text())
         self.by_word = _word_by_word(stated)
         self.lowers = {"type": "Lowercase"} in ((stated.get("normalizer") or {}).get("normalizers") or [])
-        self.added = [t["content"].lower().encode() for t in stated.get("added_tokens", [])]
+        self.added = [t["content"].lower() for t in stated.get("added_tokens", [])]
         self.known: dict[bytes, bytes] = {}
+        suffix = stated["model"].get("end_of_word_suffix")
+        self.light = None
+        if self.by_word and suffix and {"type": "NFD"} not in _flat(stated.get("normalizer"), "normalizers"):
+            # The same merges for words that no normaliser changes and no cut divides.
+            bytewise = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            plain = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytewise]}
+            self.light = tokenizers.Tokenizer.from_str(json.dumps({**stated, "normalizer": None, "pre_tokenizer": plain}))
+            vocabulary = self.library.get_vocab()
+            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
         said = self.library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [_packed(e.ids) for e in said]
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
+    def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts one after the other, and where each text's begin, with the end of the last."""
         if not self.by_word:
-            return self.whole(texts)
-        words = [self._plain(t).split() for t in texts]
-        self._learn({w for w in set(itertools.chain.from_iterable(words)) if w not in self.known})
-        ids = [b"".join(map(self.known.__getitem__, w)) for w in words]
+            packed = self.whole(texts.cast(pa.binary()).to_pylist())
+            return np.frombuffer(b"".join(packed), "<u4"), _begins(np.array([len(x) // 4 for x in packed], np.int64))
+        words = pc.ascii_split_whitespace(self._plain(texts))
+        distinct = words.flatten().dictionary_encode()
+        # Around white space there are empty words, which have no ids.
+        each = distinct.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        packed = list(map(self.known.get, each))
+        missing = [i for i, ids in enumerate(packed) if ids is None]
+        if missing:
+            self._learn(each, missing, pc.match_substring_regex(distinct.dictionary, f"^{_LETTER}+$"))
+            for i in missing:
+                packed[i] = self.known[each[i]]
         if len(self.known) > REMEMBERED:
             # Frequent words are met early: the older half stays.
             self.known = dict(itertools.islice(self.known.items(), REMEMBERED // 2))
-        return ids
-
-    def _plain(self, text: bytes) -> bytes:
-        """Lower case from the start where that changes nothing: no mark that could join a letter, no added token."""
-        low = text.lower()
-        if not self.lowers or b"\xcc" in text or b"\xcd" in text or any(a in low for a in self.added):
-            return text
-        return low
-
-    def _learn(self, words: set[bytes]) -> None:
-        """A cut always lies between a letter and the stops that end a word, so a stem is encoded once for all of them."""
-        stems = {w: s for w in words if (s := w.rstrip(b".,")) != w and _LETTER.search(s)}
-        new = {stems.get(w, w) for w in words} | {w[len(s) :] for w, s in stems.items()}
-        unknown = [w for w in new if w not in self.known]
-        self.known.update(zip(unknown, self.whole(unknown), strict=True))
-        for word, stem in stems.items():
-            self.known[word] = self.known[stem] + self.known[word[len(stem) :]]
-
-
-#: A lower-case Latin letter at the end of UTF-8 text.
-_LETTER = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])\Z")
+        flat = np.frombuffer(b"".join(packed), "<u4")
+        place = _begins(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)
+        word = np.asarray(distinct.indices)
+        begins = _begins((place[1:] - place[:-1])[word])
+        ids = flat[np.repeat(place[word] - begins[:-1], np.diff(begins)) + np.arange(begins[-1])]
+        offsets = np.asarray(words.offsets)
+        return ids, begins[offsets - offsets[0]]
+
+    def _plain(self, texts: pa.StringArray) -> pa.StringArray:
+        """Fewer distinct words, where that changes no id: there is no mark that could join a letter, no added token.
+
+        Letters become lower case from the start, and stops stand apart from the letter before them, where a cut lies
+        anyway.
+        """
+        if not self.lowers:
+            return texts
+        low = pc.ascii_lower(texts)
+        bound = pc.match_substring_regex(texts, r"[\x{300}-\x{37f}]")
+        for a in self.added:
+            bound = pc.or_(bound, pc.match_substring(low, a))
+        return pc.if_else(bound, texts, pc.replace_substring_regex(low, f"({_LETTER})([.,])", r"\1 \2"))
+
+    def _learn(self, words: list[bytes], missing: list[int], letters: pa.BooleanArray) -> None:
+        """Ids of words not known yet. Plain words go many as one text: a word's last token, and no other, carries the
+        suffix that ends it."""
+        plain = np.asarray(letters)[missing] if self.light else np.zeros(len(missing), bool)
+        others = [words[i] for i, easy in zip(missing, plain.tolist(), strict=True) if not easy]
+        words = [words[i] for i, easy in zip(missing, plain.tolist(), strict=True) if easy]
+        lines = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        said = self.light.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False) if lines else []
+        for line, e in zip(lines, said, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
+            packed, begin = ids.tobytes(), 0
+            if len(ends) != len(line):
+                others += line
+                continue
+            for word, end in zip(line, ends, strict=True):
+                self.known[word] = packed[begin:end]
+                begin = end
+        self.known.update(zip(others, self.whole(others), strict=True))
+
+
+#: Lower-case Latin letters.
+_LETTER = "[a-z\u00df-\u00f6\u00f8-\u00ff]"
 
 
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
+def _begins(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -122,10 +172,11 @@ def _cutter(path: str, capacity: int, end: int, keep: bool) -> Callable[[Iterato
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
         encoder = _ENCODERS[path]
-        for batch in pieces(batches, 500):
+        for batch in blocks(batches, "text", TOGETHER):
             rows: list[tuple[int | None, int, int, int, int, bytes | None]] = []
-            for key, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(batch.column("text").to_pylist()), strict=True):
-                ids += closing
+            all_ids, begins = encoder.ids(batch.column("text"))
+            for key, low, high in zip(batch.column("doc_id").to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                ids = all_ids[low:high].tobytes() + closing
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((key, n, n * capacity, len(part) // 4, zlib.crc32(part), part if keep else None))
@@ -176,8 +227,7 @@ def pack(
     """
     if capacity < 1:
         raise ValueError("a sequence holds at least one token")
-    rows = slim(docs, key, text).select("doc_id", F.col("text").cast("binary").alias("text"))
-    cut = rows.mapInArrow(_cutter(tokenizer, capacity, end, with_ids), PIECES)
+    cut = slim(docs, key, text).mapInArrow(_cutter(tokenizer, capacity, end, with_ids), PIECES)
     kept = settle(cut if with_ids else cut.drop("ids"), "pieces")
     # One row for each length, whatever the corpus.
     counts = np.zeros(capacity + 1, np.int64)
