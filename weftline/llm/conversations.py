@@ -101,12 +101,14 @@ def paths(turns: DataFrame) -> DataFrame:
     )
 
 
-def _root(convs: DataFrame) -> DataFrame:
+def _root_name() -> dict[str, Column]:
     zeros = [F.lit(0).cast("long")] * (1 + len(LANES))
+    return {"depth": zeros[0], "a": F.xxhash64(F.lit(1), *zeros), "b": F.xxhash64(F.lit(2), *zeros)}
+
+
+def _root(convs: DataFrame) -> DataFrame:
     return convs.agg(F.count(F.lit(1)).alias("n_convs"), F.min("conv_id").alias("conv_id")).where("n_convs > 0").select(
-        F.lit(0).cast("long").alias("depth"),
-        F.xxhash64(F.lit(1), *zeros).alias("a"),
-        F.xxhash64(F.lit(2), *zeros).alias("b"),
+        *[column.alias(name) for name, column in _root_name().items()],
         "conv_id",
         "n_convs",
         F.lit(None).cast("long").alias("parent_a"),
@@ -195,9 +197,7 @@ def prefix_trie(walked: DataFrame, convs: DataFrame, most: int | None = None) ->
 def endings(walked: DataFrame, convs: DataFrame) -> DataFrame:
     """``depth, a, b, conv_id``: the node at which each conversation ends; the root for one without turns."""
     last = walked.groupBy("conv_id").agg(F.max(F.struct(*NODE)).alias("node")).select("conv_id", "node.*")
-    root = _root(convs).select(*NODE)
-    # One row.
-    none = convs.join(last.select("conv_id"), "conv_id", "left_anti").join(F.broadcast(root))
+    none = convs.join(last.select("conv_id"), "conv_id", "left_anti").withColumns(_root_name())
     return last.select(*NODE, "conv_id").unionByName(none.select(*NODE, "conv_id"))
 
 
