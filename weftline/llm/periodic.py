@@ -10,12 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import grammar
-from weftline.llm.common import slim
+from weftline.llm.common import blocks, slim
 from weftline.llm.packing import WORD
 
 #: Bytes of text that are compressed side by side; a longer text is compressed alone.
@@ -23,18 +22,6 @@ TOGETHER = 2 << 20
 SCHEMA = "doc_id long, runs array<struct<start: long, length: long, period: long>>, collapsed binary"
 
 
-def _groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Neighbouring rows of at most TOGETHER bytes, or one longer row."""
-    begin, held = 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if i > begin and held + size > TOGETHER:
-            yield begin, i
-            begin, held = i, 0
-        held += size
-    if begin < len(sizes):
-        yield begin, len(sizes)
-
-
 def _numbered(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Word ids that no two texts share, and where each text begins."""
     ids: list[int] = []
@@ -61,28 +48,25 @@ def _collapsed(words: list[bytes], begin: np.ndarray, end: np.ndarray, period: n
 
 def _finder(exponent: int, shortest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.asarray(pc.binary_length(batch.column("text")))
-            for lo, hi in _groups(sizes):
-                part = batch.slice(lo, hi - lo)
-                texts = [text.split() for text in part.column("text").to_pylist()]
-                ids, starts = _numbered(texts)
-                full = np.array([i for i, words in enumerate(texts) if words], np.int64)
-                begin, end, period = grammar.runs(ids, starts[full], exponent, shortest)
-                ends = np.searchsorted(begin, np.append(starts, len(ids)))
-                ends[-1] = len(begin)
-                own = np.repeat(starts, np.diff(ends))
-                collapsed = [
-                    _collapsed(words, begin[x:y] - s, end[x:y] - s, period[x:y])
-                    for words, s, x, y in zip(texts, starts.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-                ]
-                spans = pa.StructArray.from_arrays(
-                    [pa.array(begin - own), pa.array(end - begin), pa.array(period)], ["start", "length", "period"]
-                )
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), lists, pa.array(collapsed, pa.binary())], ["doc_id", "runs", "collapsed"]
-                )
+        for part in blocks(batches, "text", TOGETHER):
+            texts = [text.split() for text in part.column("text").to_pylist()]
+            ids, starts = _numbered(texts)
+            full = np.array([i for i, words in enumerate(texts) if words], np.int64)
+            begin, end, period = grammar.runs(ids, starts[full], exponent, shortest)
+            ends = np.searchsorted(begin, np.append(starts, len(ids)))
+            ends[-1] = len(begin)
+            own = np.repeat(starts, np.diff(ends))
+            collapsed = [
+                _collapsed(words, begin[x:y] - s, end[x:y] - s, period[x:y])
+                for words, s, x, y in zip(texts, starts.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+            ]
+            spans = pa.StructArray.from_arrays(
+                [pa.array(begin - own), pa.array(end - begin), pa.array(period)], ["start", "length", "period"]
+            )
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), lists, pa.array(collapsed, pa.binary())], ["doc_id", "runs", "collapsed"]
+            )
 
     return find
 
