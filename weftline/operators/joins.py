@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.errors import Refused
+from weftline.operators.heavy import Heavy, heavy_keys, salted_join, worth_a_sketch
 from weftline.operators.lookup import lookup
 from weftline.operators.windows import WindowColumn, running
 
@@ -37,13 +38,20 @@ def join_frames(
     right: DataFrame,
     pairs: Sequence[tuple[str, str]],
     how: str = "inner",
-    hot: bool = False,
+    hot: bool | None = None,
+    weigh: DataFrame | None = None,
+    sketch: bool | None = None,
 ) -> DataFrame:
     """Equi-join on pairs of columns; the two frames share no column name.
 
     Adaptive execution splits a hot key on either side of an inner join, but on one side only of an outer join and on
-    none of a full one. Where the looked-up side of an outer join repeats a hot key, say ``hot``: the join is then the
-    inner join and, under it, the rows an anti join finds unmatched, which reads the sides again but splits them.
+    none of a full one. So the sides it can't split are looked at when an outer join is planned: a sketch of their keys
+    finds the heavy ones, whose rows are dealt into cells inside the join (``heavy.salted_join``). Without a heavy key
+    it is the plain join. A side lighter than one skewed partition is not looked at, unless ``sketch`` says so, and none is
+    if ``sketch`` is False. ``weigh`` stands in for a right side that is dear to evaluate: a frame with its key columns.
+
+    ``hot`` is an older way, for keys of a type that a sketch can't hold: the join is the inner join and, under it, the
+    rows an anti join finds unmatched, which reads the sides again. Said False, nothing is done about hot keys.
     """
     if how not in KINDS:
         raise Refused(f"unknown join type {how!r}")
@@ -52,8 +60,22 @@ def join_frames(
     shared = set(left.columns) & set(right.columns)
     if shared:
         raise Refused(f"both sides of the join hold {sorted(shared)}")
-    if not hot:
-        return left.join(right, _on(left, right, pairs), how)
+    if hot:
+        return _inner_and_rest(left, right, pairs, how)
+    if how != "inner" and hot is None and sketch is not False:
+        ours, theirs = [a for a, _ in pairs], [b for _, b in pairs]
+        of_right = _heavy(right, theirs, sketch, weigh) if how in ("left", "full") else {}
+        of_left = _heavy(left, ours, sketch) if how in ("right", "full") else {}
+        if of_left or of_right:
+            return salted_join(left, right, pairs, how, of_left, of_right)
+    return left.join(right, _on(left, right, pairs), how)
+
+
+def _heavy(side: DataFrame, keys: Sequence[str], sketch: bool | None, weigh: DataFrame | None = None) -> Heavy:
+    return heavy_keys(side if weigh is None else weigh, keys) if sketch or worth_a_sketch(side) else {}
+
+
+def _inner_and_rest(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str) -> DataFrame:
     result = left.join(right, _on(left, right, pairs), "inner")
     if how in ("left", "full"):
         result = result.unionByName(_unmatched(left, right, pairs), allowMissingColumns=True)
@@ -156,8 +178,9 @@ def parent_child(
     bare = F.transform("__items", lambda i: F.struct(*[i[c].alias(c) for c in body]))
     empty = F.slice(F.array(F.struct(*[F.lit(None).cast(children.schema[c].dataType).alias(c) for c in body])), 1, 0)
     composed = lists.select("__parent", "__block", bare.alias(into))
-    # An owner's lists are few: one for each block.
-    joined = join_frames(parents, composed, [(key, "__parent")], "left")
+    # An owner with very many children has many lists: it is heavy among the children as it is among the lists.
+    owners = children.select(F.col(parent_key).alias("__parent"))
+    joined = join_frames(parents, composed, [(key, "__parent")], "left", weigh=owners)
     return joined.select(
         *parents.columns,
         F.coalesce("__block", F.lit(0)).cast("long").alias("block_no"),

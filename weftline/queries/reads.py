@@ -344,6 +344,27 @@ def join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.join_frames(vectors(spark, sf_dir), label_ids(spark, sf_dir), [("vec_id", "labelled_id")], "full")
 
 
+@query(
+    "join_left_heavy",
+    "SELECT n_nationkey, n_name, l_linenumber, l_orderkey FROM nation LEFT JOIN lineitem ON n_nationkey = l_linenumber",
+)
+def join_left_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven keys hold all rows of the looked-up side."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    lines = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey")
+    return joins.join_frames(nations, lines, [("n_nationkey", "l_linenumber")], "left", sketch=True)
+
+
+@query(
+    "join_full_heavy",
+    "SELECT s_suppkey, s_nationkey, c_custkey, c_nationkey FROM supplier FULL JOIN customer ON s_nationkey = c_nationkey",
+)
+def join_full_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return joins.join_frames(suppliers, customers, [("s_nationkey", "c_nationkey")], "full", sketch=True)
+
+
 @query(
     "join_chain",
     """SELECT o_orderkey AS order_id, c_name AS customer, n_name AS nation, r_name AS region

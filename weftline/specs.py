@@ -55,13 +55,13 @@ class SourceSpec:
 
 @dataclass(frozen=True)
 class JoinSpec:
-    """A join of two sources; ``hot`` says that the looked-up side repeats a hot key."""
+    """A join of two sources; hot keys are found when it is planned. ``hot`` is passed to ``join_frames``."""
 
     left: str
     right: str
     pairs: Sequence[tuple[str, str]]
     how: str = "inner"
-    hot: bool = False
+    hot: bool | None = None
 
 
 @dataclass(frozen=True)
