@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +175,55 @@ def test_long_chains(spark):
     assert found == list(enumerate([*range(11), *range(12, 21)]))
     assert [tuple(r) for r in lineage.path(chain, 7, 7).collect()] == [(0, 7)]
     assert lineage.path(chain, 20, 0).count() == 0
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_stat_sets_by_histogram_equal_those_by_columns(spark, by):
+    df = spark.range(0, 3000, 1, 4).selectExpr(
+        "IF(id % 7 = 0, NULL, id % 5) AS g",
+        "CAST(IF(id % 3 = 0, NULL, 1700000000000 + id % 41) AS bigint) AS a",
+        "CAST(id % 13 AS int) AS b",
+        "CAST((id % 29) / 4 AS decimal(9,3)) AS c",
+        "CAST(IF(id % 4 = 0, NULL, id * 1.25) AS decimal(18,2)) AS d",
+        "IF(id % 11 = 0, NULL, CAST(id AS double) / 8 - 100) AS e",
+        "CAST(id % 17 AS float) AS f",
+        "CAST(IF(id < 5, id, NULL) AS int) AS h",
+    )
+    for columns in (["a", "b", "h"], ["c", "d"], ["e", "f"], ["a", "c", "e", "h"]):
+        numbers = df.select(*by, *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
+        types = [numbers.schema[f"__v{i}"].dataType for i in range(len(columns))]
+        expected = aggregates._stat_set_wide(numbers, columns, types, by)
+        got = aggregates.stat_set(df, columns, by)
+        assert dict(got.dtypes) == dict(expected.dtypes)
+        order = [*by, "column"]
+        pairs = zip(got.select(expected.columns).sort(*order).collect(), expected.sort(*order).collect(), strict=True)
+        for one, other in pairs:
+            for name in expected.columns:
+                # Sums of floating numbers add up in another order, and Spark's own deviation of large numbers is rough.
+                near = 1e-5 if name == "stddev_value" else 1e-9
+                assert one[name] == (pytest.approx(other[name], rel=near) if isinstance(other[name], float) else other[name])
+
+
+def test_deviations_of_large_numbers_close_to_each_other(spark):
+    values = [10**15 + i % 41 for i in range(500)]
+    df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(values)], "x long, g int")
+    assert aggregates.stat_set(df, ["x"]).first()["stddev_value"] == pytest.approx(statistics.stdev(values), rel=1e-12)
+    grouped = {r["g"]: r["stddev_value"] for r in aggregates.stat_set(df, ["x"], ["g"]).collect()}
+    assert grouped == {g: pytest.approx(statistics.stdev(values[g::2]), rel=1e-12) for g in (0, 1)}
+
+
+def test_stat_sets_read_their_table_once(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 3 AS g", "id % 10 AS x", "id / 2 AS y").write.parquet(str(tmp_path / "t"))
+    plan = aggregates.stat_set(spark.read.parquet(str(tmp_path / "t")), ["x", "y"], ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_a_histogram_counts_each_value_and_nulls(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, None), (None, 2.0)], "x int, y double")
+    got = {(r["column_no"], r["w"], r["f"]): r["n"] for r in aggregates.value_histogram(df, ["x", "y"]).collect()}
+    assert got == {(0, 1, None): 2, (0, None, None): 1, (1, None, 2.0): 2, (1, None, None): 1}
+    # A column of many digits takes the wide way.
+    wide = df.selectExpr("CAST(x AS decimal(38,4)) AS x", "CAST(x AS decimal(10,0)) AS y")
+    assert aggregates.stat_set(df.selectExpr("CAST(NULL AS int) AS x"), ["x"]).first()["nulls"] == 3
+    assert [(r["n"], r["nulls"], r["distinct_values"]) for r in aggregates.stat_set(wide, ["x", "y"]).collect()] == [(2, 1, 1)] * 2

@@ -65,6 +65,18 @@ def stat_set_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.stat_set(exact_lines(spark, sf_dir), STAT_COLUMNS, ["l_returnflag"]))
 
 
+@query(
+    "value_histogram",
+    """SELECT l_returnflag, 'l_discount' AS "column", CAST(l_discount AS DECIMAL(18,2)) AS value, count(*) AS n FROM lineitem GROUP BY ALL
+       UNION ALL SELECT l_returnflag, 'l_extendedprice', CAST(l_extendedprice AS DECIMAL(18,2)), count(*) FROM lineitem GROUP BY ALL""",
+)
+def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["l_discount", "l_extendedprice"]
+    counted = aggregates.value_histogram(exact_lines(spark, sf_dir), columns, ["l_returnflag"])
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column_no") + 1)
+    return counted.select(F.col("__by_l_returnflag").alias("l_returnflag"), names.alias("column"), F.col("d").alias("value"), "n")
+
+
 # -- counts ---------------------------------------------------------------------------------
 
 
