@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from weftline.functions import formula as fx
 from weftline.functions.predicates import Condition, all_of, any_of, build, by_fields, current_rows, in_scope
-from weftline.operators import aggregates, joins, paging, search, setops
+from weftline.operators import aggregates, joins, paging, search, setops, trigrams
 from weftline.operators.datasets import (
     open_data_set,
     open_named,
@@ -653,3 +653,28 @@ def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     return search.ranked_search(part, "Small", ["p_name", "p_type"], "p_name", "p_partkey")
+
+
+@query(
+    "find_text_indexed",
+    """SELECT doc_id, concat_ws(',', CASE WHEN contains(lower(text), 'censed un') THEN 'text' END, CASE WHEN contains(lower(lang), 'censed un') THEN 'lang' END,
+              CASE WHEN contains(lower(source), 'censed un') THEN 'source' END) AS fields
+       FROM documents WHERE contains(lower(text), 'censed un') OR contains(lower(lang), 'censed un') OR contains(lower(source), 'censed un')""",
+)
+def find_text_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = trigrams.build_index(table(spark, sf_dir, "documents"), "doc_id", scratch_path(spark, "text-index"))
+    found = trigrams.find_text(spark, index, "CENSED UN")
+    return found.select("doc_id", text_list("matched").alias("fields"))
+
+
+@query(
+    "ranked_search_indexed",
+    """WITH s AS (SELECT p_partkey, p_name, p_type, greatest(
+                CASE WHEN lower(p_name) = 'small' THEN 3 WHEN starts_with(lower(p_name), 'small') THEN 2 WHEN contains(lower(p_name), 'small') THEN 1 ELSE 0 END,
+                CASE WHEN lower(p_type) = 'small' THEN 3 WHEN starts_with(lower(p_type), 'small') THEN 2 WHEN contains(lower(p_type), 'small') THEN 1 ELSE 0 END) AS score FROM part)
+       SELECT * FROM s WHERE score > 0""",
+)
+def ranked_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    index = trigrams.build_index(part, "p_partkey", scratch_path(spark, "text-index"))
+    return trigrams.ranked_search(spark, index, "Small", "p_name")
