@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.errors import Refused
+from weftline.operators.paging import page
+from weftline.specs import Ordering
 
 
 
@@ -250,7 +252,7 @@ def period_summary(
 
 
 def top_by_usage(df: DataFrame, by: str, n: int, name: str = "uses") -> DataFrame:
-    return count_by(df, by, name=name).orderBy(F.col(name).desc(), F.col(by)).limit(n)
+    return page(count_by(df, by, name=name), 0, n, [Ordering(name, True)], [by])
 
 
 def throughput(df: DataFrame, at: str, service: str, width: str) -> DataFrame:
@@ -286,8 +288,5 @@ def precompute_stale(
 ) -> DataFrame:
     """Calculations worth recomputing: used often, and never cached or cached before ``cutoff``."""
     stale = F.col("last_cached_at").isNull() | (F.col("last_cached_at") < F.lit(cutoff))
-    return (
-        usage.where((F.col("executions") >= min_executions) & stale)
-        .orderBy(F.col("executions").desc(), F.col(key))
-        .limit(most)
-    )
+    wanted = usage.where((F.col("executions") >= min_executions) & stale)
+    return page(wanted, 0, most, [Ordering("executions", True)], [key])

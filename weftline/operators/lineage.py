@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.errors import Refused
+from weftline.operators.forests import CHUNK, KINDS, contract
 from weftline.operators.lookup import lookup
 from weftline.session import settle, settle_measured
 from weftline.specs import ordering
@@ -152,19 +153,24 @@ def path(edges: DataFrame, start: object, end: object) -> DataFrame:
     return walked
 
 
-def groups(edges: DataFrame) -> DataFrame:
+def groups(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Weakly connected groups: every node with the smallest node of its group.
 
-    Alternates two star contractions, each a minimum per node and a join, until the pairs
-    stay the same; a few rounds even for long chains. Loops on one node keep it as its own group.
+    Each task first contracts its edges to stars, ``chunk`` edges at a time, so that only what lies between tasks is left to
+    do. Where that is a chunk at most, one task does it. Otherwise two star contractions alternate, each a minimum per
+    node and a join, until the pairs stay the same. Loops on one node keep it as its own group.
     """
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    pairs, mark = _marked(_oriented(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
-    while True:
+    linked = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where(F.col("a") != F.col("b"))
+    pairs, mark = _marked(_oriented(contract(linked, chunk)))
+    while mark["rows"] > chunk or not isinstance(pairs.schema["a"].dataType, KINDS):
         pairs, following = _marked(_small_star(_large_star(pairs)))
         if following == mark:
             break
         mark = following
+    else:
+        # A chunk at most: one task holds it.
+        pairs = contract(pairs.coalesce(1), chunk + 1)
     labels = pairs.select(F.col("a").alias("node"), F.col("b").alias("__root"))
     joined = nodes.join(labels, "node", "left")
     return joined.select("node", F.coalesce("__root", "node").alias("group_id"))

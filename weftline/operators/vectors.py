@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.errors import Refused
+from weftline.operators.paging import page
 from weftline.operators.windows import number_rows
 from weftline.session import settle
 
@@ -72,7 +73,7 @@ def nearest(
         "distance", cosine_distance(F.col(field), F.col("__query"))
     )
     near = scored.drop("__query").where(F.col("distance").isNotNull())
-    return near.orderBy("distance", key).limit(k)
+    return page(near, 0, k, ["distance"], [key])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -87,41 +88,49 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
         return matrix / norms
 
 
-def _best(ids: np.ndarray, distances: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest, ties by id."""
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _best(found: Found, k: int) -> Found:
+    """The k smallest distances, ties by id, rows without an id first."""
+    named, ids, distances = found
     if len(ids) > k:
         bound = np.partition(distances, k - 1)[k - 1]
         near = np.flatnonzero(distances <= bound)
     else:
         near = np.arange(len(ids))
-    return near[np.lexsort((ids[near], distances[near]))][:k]
+    keep = near[np.lexsort((ids[near], named[near], distances[near]))][:k]
+    return named[keep], ids[keep], distances[keep]
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which ids there are, and the ids themselves; long integers keep their digits beside missing ones."""
+    whole = pa.types.is_integer(column.type)
+    values = column.fill_null(0 if whole else "").to_numpy(zero_copy_only=False)
+    return column.is_valid().to_numpy(zero_copy_only=False), values if whole else values.astype(str)
 
 
 def _task(query_ids: list, units: np.ndarray, k: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.empty(0, np.int64 if schema.field("id").type == pa.int64() else "U1")
-        best: list[tuple[np.ndarray, np.ndarray]] = [(empty, np.empty(0))] * len(query_ids)
+        kind = schema.field("id").type
+        nothing = (np.empty(0, bool), np.empty(0, np.int64 if kind == pa.int64() else "U1"), np.empty(0))
+        best: list[Found] = [nothing] * len(query_ids)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = ids if ids.dtype != object else ids.astype(str)
+            named, ids = _ids(batch.column(0))
             rows = _unit(_matrix(batch.column(1))).T
             step = max(1, TILE_VALUES // batch.num_rows)
             for first in range(0, len(query_ids), step):
                 tile = 1.0 - units[first : first + step] @ rows
                 for q, distances in enumerate(tile, first):
-                    bound = best[q][1][-1] if len(best[q][1]) == k else np.inf
+                    bound = best[q][2][-1] if len(best[q][2]) == k else np.inf
                     near = np.flatnonzero(distances <= bound)  # a NaN is never near
-                    if len(near) == 0:
-                        continue
-                    all_ids = np.concatenate([best[q][0], ids[near]])
-                    all_distances = np.concatenate([best[q][1], distances[near]])
-                    keep = _best(all_ids, all_distances, k)
-                    best[q] = (all_ids[keep], all_distances[keep])
-        for q, (ids, distances) in zip(query_ids, best, strict=True):
-            kind = schema.field("id").type
-            columns = [pa.array([q] * len(ids), schema.field("q").type), pa.array(ids, kind), pa.array(distances, pa.float64())]
+                    if len(near):
+                        more = (named[near], ids[near], distances[near])
+                        best[q] = _best(tuple(map(np.concatenate, zip(best[q], more, strict=True))), k)
+        for q, (named, ids, distances) in zip(query_ids, best, strict=True):
+            columns = [pa.array([q] * len(ids), schema.field("q").type), pa.array(ids, kind, mask=~named), pa.array(distances, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
@@ -142,7 +151,9 @@ def nearest_batch(
 
     Queries are cut into blocks of a fixed number of values, whatever their number; each block passes over the table
     once, and its answers are written before the next is read, so the driver holds one block. As in ``nearest`` a
-    query meets the vectors of its own length only. Integer keys compare as numbers, all others as text.
+    query meets the vectors of its own length only. Integer keys compare as numbers, all others as text. A row
+    without a key is found like any other, as in ``nearest`` before all keys at the same distance; a query without one
+    takes no part, as nothing could name its answers.
     """
     _check(df, field, k, metric, max_rows)
     vectors = df.select(_key(df, key).alias("id"), F.col(field).alias("v")).where(F.col(field).isNotNull())

@@ -197,7 +197,8 @@ def _absent(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFr
 def version_save(target: DataFrame, rows: DataFrame, spec: TableSpec, order: Sequence[str]) -> Change:
     """Version on write: the stored current row of a saved logical id is closed, the new one appended.
 
-    Rows are saved in ``order``; when one save holds an id twice, its last row stays current.
+    Rows are saved in ``order``; when one save holds an id twice, its last row stays current. A row without a complete
+    logical id equals no other: it is appended as current and closes none.
     """
     if not spec.logical_key or spec.physical_key is None:
         raise Refused(f"table {spec.name} is not versioned")
@@ -206,10 +207,13 @@ def version_save(target: DataFrame, rows: DataFrame, spec: TableSpec, order: Seq
     keys = list(spec.logical_key)
     numbered, _ = align_keys(numbered, target, keys)
     names = key_columns(keys)
-    last = numbered.groupBy(*[F.col(n).alias(f"{n}_in") for n in names]).agg(F.max(spec.physical_key).alias("__last"))
+    complete = reduce(operator.and_, [F.col(n).isNotNull() for n in names])
+    known = numbered.where(complete)
+    last = known.groupBy(*[F.col(n).alias(f"{n}_in") for n in names]).agg(F.max(spec.physical_key).alias("__last"))
+    current = F.coalesce(F.col(spec.physical_key) == F.col("__last"), F.lit(True))
     added = (
-        lookup(numbered, last, [(n, f"{n}_in") for n in names], "inner", null_safe=True)
-        .withColumns({IS_CURRENT: F.col(spec.physical_key) == F.col("__last"), IS_DELETED: F.lit(False)})
+        lookup(numbered, last, [(n, f"{n}_in") for n in names])
+        .withColumns({IS_CURRENT: current, IS_DELETED: F.lit(False)})
         .withColumn(spec.physical_key, F.col(spec.physical_key).cast(target.schema[spec.physical_key].dataType))
         .select(*target.columns)
     )
