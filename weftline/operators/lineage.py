@@ -7,9 +7,10 @@ reaches the driver. A node enters once, so cycles end and paths never multiply.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.errors import Refused
@@ -214,24 +215,51 @@ def tree_children(nodes: DataFrame, parent: object | None, name: str = "name", k
 
 
 def tree_paths(nodes: DataFrame, separator: str = "/") -> DataFrame:
-    """Label path and depth of every node reachable from a root. Walks level by level.
+    """Label path and depth of every node reachable from a root.
+
+    Every node points at its parent, and each round it points where its target points, so a tree of depth d takes the
+    logarithm of d rounds. The first rounds carry ids alone and leave out what never reaches a root: nodes below an unknown
+    parent, and cycles, which no more rounds than the logarithm of the number of nodes tell. The paths are then put
+    together in the same way.
 
     An id that is held twice is refused: it could close a cycle below a root, and its path would be ambiguous.
     """
-    rows = settle(nodes.select("id", "parent_id", "name"), "tree")
+    rows, seen = settle_measured(nodes.select("id", "parent_id", "name"), "tree", n=F.count(F.lit(1)))
     repeated = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
     if repeated is not None:
         raise Refused(f"node {repeated['id']!r} is held {repeated['n']} times")
-    level = settle(
-        rows.where(F.col("parent_id").isNull()).select("id", F.col("name").alias("path"), F.lit(0).alias("depth")), "level"
+    steps = rows.select("id", F.col("parent_id").alias("above"), F.lit(0).alias("depth"))
+    reached = _jumped(steps, seen["n"], lambda low, high: {"depth": low["depth"] + high["depth"] + 1})
+    rooted = rows.join(reached.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_semi")
+    parts = rooted.select("id", F.col("parent_id").alias("above"), F.col("name").alias("path"))
+    paths = _jumped(parts, seen["n"], lambda low, high: {"path": F.concat(high["path"], F.lit(separator), low["path"])})
+    found = paths.join(reached.select(F.col("id").alias("__id"), "depth"), F.col("id") == F.col("__id")).select("id", "path", "depth")
+    # Rows without an id have nothing below them, but a place below their parent, or are roots.
+    nameless = rows.where(F.col("id").isNull()).drop("id")
+    above = found.select(F.col("id").alias("__id"), F.col("path").alias("__above"), F.col("depth").alias("__depth"))
+    hung = nameless.join(above, F.col("parent_id") == F.col("__id")).select(
+        F.lit(None).cast(rows.schema["id"].dataType).alias("id"),
+        F.concat("__above", F.lit(separator), "name").alias("path"),
+        (F.col("__depth") + 1).alias("depth"),
     )
-    found, depth, empty = level, 0, False
-    while not empty:
-        depth += 1
-        above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("__above"))
-        step = rows.join(above, "parent_id").select(
-            "id", F.concat("__above", F.lit(separator), "name").alias("path"), F.lit(depth).alias("depth")
-        )
-        level, empty = _level(step)
-        found = found.unionByName(level)
-    return found
+    roots = nameless.where(F.col("parent_id").isNull()).select(
+        F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.col("name").alias("path"), F.lit(0).alias("depth")
+    )
+    return found.unionByName(hung).unionByName(roots)
+
+
+def _jumped(rows: DataFrame, count: int, merged: Callable[[dict, dict], dict[str, Column]]) -> DataFrame:
+    """Rows ``(id, above, ...)`` followed upwards until ``above`` is NULL; ``merged`` joins a row's columns with those of the
+    row above it. Rows that never get there are left out. ``count`` bounds the number of rows."""
+    now = rows.where(F.col("id").isNotNull())
+    most = max(1, count).bit_length() + 1
+    for _ in range(most):
+        now, seen = settle_measured(now, "jumps", open=F.count_if(F.col("above").isNotNull()))
+        if not seen["open"]:
+            return now
+        low, high = now.where(F.col("above").isNotNull()).alias("low"), now.alias("high")
+        met = low.join(high, F.col("low.above") == F.col("high.id"))
+        sides = {c: F.col(f"low.{c}") for c in now.columns}, {c: F.col(f"high.{c}") for c in now.columns}
+        columns = {"id": sides[0]["id"], "above": sides[1]["above"], **merged(*sides)}
+        now = now.where(F.col("above").isNull()).unionByName(met.select(*[c.alias(n) for n, c in columns.items()]))
+    return now.where(F.col("above").isNull())
