@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import path_exists, pieces, slim
+from weftline.operators.lookup import lookup
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 #: Counts of parts and of words that a Python worker remembers from one batch to the next, at most.
@@ -164,6 +165,8 @@ def count_tokens(
     fill_cache(docs, tokenizer, cache, key, text)
     counts = stored_counts(docs.sparkSession, cache, tokenizer_digest(tokenizer))
     rows = slim(docs, key, text).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), _content())
-    return rows.join(counts, "content", "left").select(
+    # Very many rows may hold one content; a plain join to counts grouped by it would leave them in one task.
+    counts = counts.withColumnRenamed("content", "counted")
+    return lookup(rows, counts, [("content", "counted")]).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
