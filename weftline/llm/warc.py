@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import partitions
+from weftline.operators.lookup import lookup
 from weftline.session import scratch_path, settle
 
 #: Fixed values of the format.
@@ -63,8 +64,11 @@ def _classified(pages: DataFrame, least: int, key: str, url: str, body: str) ->
     )
     groups = rows.where(F.col("size") >= least).groupBy("digest", "size")
     shared = groups.agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # Only payloads written more than once are looked up; a hot one is split like any skewed join.
-    return rows.join(shared, ["digest", "size"], "left").select("page_id", "url", "payload", "digest", "size", "newest")
+    # Only payloads written more than once are looked up. A plain join to a side grouped by the same key would leave all
+    # rows of a hot one, payloads included, in one task.
+    shared = shared.withColumnsRenamed({"digest": "shared_digest", "size": "shared_size"})
+    found = lookup(rows, shared, [("digest", "shared_digest"), ("size", "shared_size")])
+    return found.select("page_id", "url", "payload", "digest", "size", "newest")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers: int | None, date: str) -> bytes:
