@@ -223,3 +223,26 @@ def test_pipeline_of_an_empty_table(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, "")
     assert frame.count() == 0
+
+
+def test_a_hot_payload_or_content_is_split(spark):
+    """Half of all rows share one text; no broadcast, so the join has to split it."""
+    tight = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    for key, value in tight.items():
+        spark.conf.set(key, value)
+    try:
+        page = F.when(F.col("id") % 2 == 0, F.lit("x" * 1200)).otherwise(F.concat(F.lit("y" * 1100), F.col("id").cast("string")))
+        pages = spark.range(0, 6000, 1, 8).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), page.alias("html"))
+        found = warc._classified(pages, 1000, "page_id", "url", "html")
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 6000 and max(sizes) < 1500
+    finally:
+        for key in tight:
+            spark.conf.unset(key)
