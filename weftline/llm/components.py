@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.lookup import lookup
 from weftline.session import settle_measured
 
 MAX_ROUNDS = 100
@@ -15,8 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every node under the least node around it, first its larger neighbours, then the smaller ones.
     A round is written to the shared folder and read back, so a lost executor costs one round at most. Neighbourhoods
-    are never collected: a round takes minima, combined before the shuffle, and joins them back, and a hub's edges
-    are split like any skewed join. Loops are ignored; repeated edges count once; no edges give no rows.
+    are never collected: a round takes minima, combined before the shuffle, and joins them back by ``lookup``, which
+    leaves a hub's edges to be split as a skewed join. Loops are ignored; repeated edges count once; no edges give no rows.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     before = None
@@ -36,13 +37,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("hub"), F.least("a", "m").alias("m"))
-    return both.join(least, both["a"] == least["hub"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("m")).select("hub", F.least("hub", "m").alias("m"))
+    return lookup(both, least, [("a", "hub")], "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every edge points from the larger node to the smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    hung = edges.join(least.withColumnRenamed("a", "hub"), F.col("a") == F.col("hub")).where("b != m")
-    down = hung.select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return down.union(least.select("a", F.col("m").alias("b"))).distinct()
+    least = edges.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("m"))
+    down = lookup(edges, least, [("a", "hub")], "inner").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return down.union(least.select("hub", "m")).distinct()

@@ -12,6 +12,7 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import partitions, pieces, slim
 from weftline.llm.components import components
+from weftline.operators.lookup import lookup
 from weftline.session import settle, settle_measured
 
 SEED = 42
@@ -256,28 +258,58 @@ def near_duplicates(
     many documents share it. Repeated rows each get their row; a null id stays null and is never a component's
     id unless the whole component lacks ids; an empty table gives no rows; other columns are ignored.
     """
+    marked, groups = _grouped(docs, shingle, radius, key, text)
+    # Very many documents may share a fingerprint, so their rows are left to be split.
+    named = groups.select(F.col("fp").alias("node"), "component_id")
+    return lookup(marked, named, [("fp", "node")], "inner").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _grouped(docs: DataFrame, shingle: int, radius: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Every document's ``doc_id, fp``; every fingerprint's ``fp, first, root, component_id``: the smallest id that has
+    it, the component's smallest fingerprint and the component's smallest id."""
     if not 1 <= radius <= 30:
         raise ValueError("the radius must be between 1 and 30")
     marked = settle(fingerprints(docs, shingle, key, text), "simhash")
     firsts = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     members = components(links(firsts.select("fp"), radius))
-    linked = members.join(firsts, F.col("node") == F.col("fp"))
-    ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = members.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
-    by_fp = firsts.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    ids = members.join(firsts, F.col("node") == F.col("fp")).groupBy(F.col("root").alias("top")).agg(F.min("first").alias("component_id"))
+    named = lookup(members.withColumn("kept_root", F.col("root")), ids, [("root", "top")], "inner")
+    named = named.select(F.col("node").alias("fp"), F.col("kept_root").alias("root"), "component_id")
+    groups = firsts.join(named, "fp", "left")
+    return marked, groups.select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")
     )
 
 
 def keep_one_each(docs: DataFrame, shingle: int, radius: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns as they are, one of each group: that with the smallest id.
 
-    Of rows that repeat this id, that with the smallest text stays. Rows without an id stay: nothing names them.
+    An id that several rows hold names none of them, so such rows are told apart by their fingerprints: rows of one id
+    in different groups each stand for their own group. Of rows that repeat the chosen id and fingerprint, that with the
+    smallest text stays. Rows without an id stay: nothing names them.
     """
-    found = near_duplicates(docs, shingle, radius, key, text)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    marked, groups = _grouped(docs, shingle, radius, key, text)
+    chosen = groups.where(F.col("first").isNotNull()).groupBy("root").agg(F.min(F.struct("first", "fp")).alias("m"))
+    kept = settle(chosen.select(F.col("m.first").alias("kept_id"), F.col("m.fp").alias("kept_fp")), "simhash-kept")
+    several = marked.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = settle(several.select(F.col("doc_id").alias("many")), "simhash-repeated-ids")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.col(key).cast("long").alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"), whole.alias("__row"))
-    one = rows.join(kept, F.col("__id") == F.col("__kept"), "left_semi").groupBy("__id").agg(F.min_by("__row", "__text").alias("__row"))
-    return one.select("__row").union(rows.where(F.col("__id").isNull()).select("__row")).select("__row.*")
+    rows = docs.select(F.col(key).cast("long").alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"), whole.alias("__row"))
+    single = kept.join(several, F.col("kept_id") == F.col("many"), "left_anti")
+    once = rows.join(single, F.col("__id") == F.col("kept_id"), "left_semi")
+    # Only rows of repeated ids are hashed again and compared with each other.
+    again = lookup(rows, several, [("__id", "many")], "left_semi").withColumn("__fp", _hashed(shingle)("__text"))
+    met = lookup(again, kept, [("__id", "kept_id"), ("__fp", "kept_fp")], "left_semi")
+    one = met.groupBy("__id", "__fp").agg(F.min_by("__row", "__text").alias("__row"))
+    found = once.select("__row").union(one.select("__row")).union(rows.where(F.col("__id").isNull()).select("__row"))
+    return found.select("__row.*")
+
+
+def _hashed(shingle: int) -> Callable[[str], Column]:
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    return of
