@@ -17,16 +17,11 @@ RESULT = "query_id long, vec_id long, score {}"
 
 
 def usable(df: DataFrame, key: str, column: str) -> DataFrame:
-    """``vec_id, v array<double>`` of rows with an id and a vector of finite numbers.
-
-    Vectors of another length than most cannot be compared; they take no part, and neither do empty ones.
-    """
+    """``vec_id, v array<double>`` of rows with an id and a vector of finite numbers; empty ones take no part."""
     v = F.col(column).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
-    rows = rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad)
-    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (lengths[0]["n"] if lengths else 0))
+    return rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad)
 
 
 def block_of(key: str, count: Column | int, salt: int) -> Column:
@@ -34,7 +29,7 @@ def block_of(key: str, count: Column | int, salt: int) -> Column:
 
 
 def matrix(table: pa.Table, id_column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids ascending and their vectors; of rows that repeat an id the smallest vector counts."""
+    """Ids ascending and their vectors, all of one length; of rows that repeat an id the smallest vector counts."""
     ids = table.column(id_column).to_numpy()
     values = table.column("v").combine_chunks()
     flat = (pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values).flatten().to_numpy()

@@ -145,18 +145,20 @@ def top_k(
 
     A component x counts as floor(scale * x). Queries are the rows that ``is_query`` holds for, candidates all rows but
     those of the query's own id. Ties go to the smaller id; fewer candidates than ``k`` are all returned. Rows without
-    an id, with a null vector, or with null or non-finite components take no part, nor do vectors of another length than
-    most. Rows that repeat an id are one vector, the smallest. No queries or an empty table give no rows; other columns
-    are ignored. Products beyond what 64-bit sums hold are refused.
+    an id, with an empty or null vector, or with null or non-finite components take no part. An inner product needs equal
+    lengths, so a query meets the vectors of its own length. Rows that repeat an id are, for each length, one vector, the
+    smallest. No queries or an empty table give no rows; other columns are ignored. Products beyond what 64-bit sums hold
+    are refused.
     """
     rows = usable(vectors, key, column)
     rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
     asked = rows.where(F.coalesce(is_query, F.lit(False)))
     n, m = rows.agg(F.count(F.lit(1)), F.sum(F.coalesce(is_query, F.lit(False)).cast("int"))).first()
     blocks, groups = max(1, math.ceil(n / BLOCK)), max(1, math.ceil((m or 0) / QUERIES))
-    cells = rows.select("vec_id", "v", block_of("vec_id", blocks, 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    rows, asked = (df.withColumn("w", F.size("v")) for df in (rows, asked))
+    cells = rows.select("vec_id", "v", "w", block_of("vec_id", blocks, 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     dealt = asked.select(
-        F.col("vec_id").alias("query_id"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), block_of("vec_id", groups, 2).cast("int").alias("g")
+        F.col("vec_id").alias("query_id"), "v", "w", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), block_of("vec_id", groups, 2).cast("int").alias("g")
     )
-    found = search_cells(cells.withColumn("b", F.col("b").cast("int")), dealt, ["b", "g"], _best(k), "long")
+    found = search_cells(cells.withColumn("b", F.col("b").cast("int")), dealt, ["w", "b", "g"], _best(k), "long")
     return ranked(found, k)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -190,16 +191,24 @@ def nearest(
 ) -> DataFrame:
     """Per query the ``k`` nearest found by inner product: ``query_id, rank, vec_id, score double``.
 
-    The index is fitted on the ``SAMPLE`` vectors with the smallest hash of the id and holds every vector. Queries are the
+    An inner product needs equal lengths, so each length of vectors has an index of its own, and a query asks that of its
+    length. An index is fitted on the ``SAMPLE`` vectors with the smallest hash of the id and holds every vector. Queries are the
     rows that ``is_query`` holds for, candidates all rows but those of the query's own id. Ties go to the smaller id;
     fewer candidates than ``k`` are all returned. Rows without an id, with a null or zero vector, or with null or non-finite
-    components take no part, nor do vectors of another length than most. Rows that repeat an id are one vector, the
-    smallest. No queries or an empty table give no rows; other columns are ignored.
+    components take no part. Rows that repeat an id are, for each length, one vector, the smallest. No queries or an empty
+    table give no rows; other columns are ignored.
     """
     rows = usable(vectors, key, column).where(F.exists("v", lambda x: x != 0))
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    if not picked.num_rows:
+    lengths = [r["w"] for r in rows.select(F.size("v").alias("w")).distinct().orderBy("w").collect()]
+    if not lengths:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts = [_found(rows.where(F.size("v") == w), is_query, k, recall) for w in lengths]
+    return ranked(reduce(DataFrame.unionByName, parts), k)
+
+
+def _found(rows: DataFrame, is_query: Column, k: int, recall: float) -> DataFrame:
+    """The best of each cell, for vectors of one length."""
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
     sample = np.array(picked.column("v").to_pylist(), float)
     router = fit(sample, k, recall)
     placed = settle(rows.mapInArrow(_placed(router), "vec_id long, v array<double>, part int"), "neighbours")
@@ -218,4 +227,4 @@ def nearest(
     dealt = routed.select(
         "query_id", "v", "part", F.explode(F.sequence(F.lit(0).cast("long"), of(blocks) - F.lit(1).cast("long"))).alias("b"), (block_of("query_id", of(groups), 2) + 1).cast("int").alias("g")
     )
-    return ranked(search_cells(cells, dealt, ["part", "b", "g"], _best(k), "double"), k)
+    return search_cells(cells, dealt, ["part", "b", "g"], _best(k), "double")
