@@ -11,6 +11,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from weftline.llm import repeats, simhash, suffixes
 from weftline.llm.components import components
 
@@ -265,6 +267,43 @@ def test_near_duplicates(docs):
     assert simhash.near_duplicates(docs(rows).where("false"), 4, 4).count() == 0
 
 
+def test_unrelated_rows_of_one_id_both_stay(docs):
+    rng = random.Random(9)
+    a, b, c = (" ".join(rng.choices("abcdefghijklmnopq", k=120)) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (6, a), (4, c), (5, c), (7, b), (8, "alone here"), (None, b), (4, "z" + c), (9, None), (9, "")]
+    kept = simhash.keep_one_each(docs(rows), 4, 4)
+    # Each of the two groups of a and b keeps its row of id 5; c keeps id 4, and its row of id 5 goes.
+    got = sorted((repr(r.doc_id), r.text or "") for r in kept.collect())
+    near = bin(plain_fingerprint(c, 4) ^ plain_fingerprint("z" + c, 4)).count("1") <= 4
+    want = [("5", a), ("5", b), ("4", c), ("8", "alone here"), ("None", b), ("9", "")] + ([] if near else [("4", "z" + c)])
+    assert got == sorted(want)
+
+
+def test_a_hot_fingerprint_is_split(spark):
+    """Half of all rows have one fingerprint; no broadcast, so the join has to split them."""
+    tight = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    for key, value in tight.items():
+        spark.conf.set(key, value)
+    try:
+        text = F.when(F.col("id") % 2 == 0, F.lit("")).otherwise(F.concat_ws(" ", F.lit("w"), F.col("id") * 7919, F.col("id") * 104729))
+        docs = spark.range(0, 40000, 1, 8).select(F.col("id").alias("doc_id"), text.alias("text"))
+        found = simhash.near_duplicates(docs, 4, 4)
+        # All columns are asked for, else the ids would not travel.
+        tasks = found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*found.columns)))
+        sizes = [r["n"] for r in tasks.collect()]
+        assert sum(sizes) == 40000 and max(sizes) < 8000
+    finally:
+        for key in tight:
+            spark.conf.unset(key)
+
+
 def test_simhash_query_over_a_table(spark):
     import __spark_entry__ as entry
 

@@ -25,19 +25,20 @@ def table(spark, rows):
 def usable(rows):
     best = {}
     for k, v in rows:
-        if k is None or v is None or len(v) != 6 or any(x is None or not math.isfinite(x) for x in v):
+        if k is None or not v or any(x is None or not math.isfinite(x) for x in v):
             continue
         v = [float(np.float32(x)) for x in v]
-        best[k] = min(best[k], v) if k in best else v
+        at = (k, len(v))
+        best[at] = min(best[at], v) if at in best else v
     return best
 
 
 def brute(rows, k, scored, drop_zero=False):
     best = {i: v for i, v in usable(rows).items() if any(v) or not drop_zero}
     out = []
-    for q, a in best.items():
+    for (q, n), a in best.items():
         if q % 5 == 0:
-            found = sorted((-scored(a, v), i) for i, v in best.items() if i != q)[:k]
+            found = sorted((-scored(a, v), i) for (i, m), v in best.items() if i != q and m == n)[:k]
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(found, 1)]
     return sorted(out)
 
@@ -57,7 +58,7 @@ def odd_rows(seed=0, n=60):
     rng = np.random.default_rng(seed)
     rows = [(i, (rng.integers(-3, 4, 6) / 4).tolist()) for i in range(n)]
     rows += [(None, [1.0] * 6), (1000, None), (1005, [None] * 6), (1010, [1.0, math.nan, 0.0, 0.0, 0.0, 0.0])]
-    rows += [(1015, [math.inf] * 6), (1020, [1.0, 2.0]), (1025, []), (1030, [0.0] * 6), (5, rows[5][1]), (10, [9.0] * 6)]
+    rows += [(1015, [math.inf] * 6), (1020, [1.0, 2.0]), (1021, [0.5, 2.0]), (1022, [3.0, 2.0]), (1040, [1.0] * 3), (1025, []), (1030, [0.0] * 6), (5, rows[5][1]), (10, [9.0] * 6)]
     return rows
 
 
