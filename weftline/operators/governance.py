@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.errors import Refused
+from weftline.operators.digests import differing
 from weftline.specs import resolve
 
 # Classification levels from open to closed.
@@ -106,7 +107,8 @@ def audit_changes(
 
     ``changed_by`` and ``changed_at`` say who changed a row and when, from the columns of ``after``; they are NULL for
     rows that are gone. ``tenant`` names the column that scopes the listing; with ``for_tenant`` only that tenant's
-    rows are read. The versions are stacked and met by key in one aggregate, one row per key and version.
+    rows are read. The versions are stacked; parts of the keys whose digests agree stay where they are, the others meet by
+    key in one aggregate, one row per key and version.
     """
     if for_tenant is not None:
         if tenant is None:
@@ -115,18 +117,19 @@ def audit_changes(
     said = {n: c for n, c in (("changed_by", changed_by), ("changed_at", changed_at)) if c is not None}
     scope = [tenant] if tenant is not None and tenant not in key else []
 
-    def version(df: DataFrame, side: str) -> DataFrame:
-        values = F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
-        told = [(c if side == "new" else F.lit(None)).alias(n) for n, c in said.items()]
-        return df.select(
-            *key, *scope, F.when(F.lit(side == "old"), values).alias("old"), F.when(F.lit(side == "new"), values).alias("new"), *told
-        )
-
-    met = (
-        version(before, "old")
-        .unionByName(version(after, "new"))
-        .groupBy(*key, *scope)
-        .agg(F.max("old").alias("old"), F.max("new").alias("new"), *[F.max(n).alias(n) for n in said])
+    def version(df: DataFrame, side: int) -> DataFrame:
+        values = [F.col(c).cast("string").alias(f"__v{i}") for i, c in enumerate(columns)]
+        told = [(c if side > 0 else F.lit(None)).alias(n) for n, c in said.items()]
+        return df.select(*key, *scope, *values, F.lit(side).alias("__side"), *told)
+
+    stacked = version(before, -1).unionByName(version(after, 1))
+    held = [f"__v{i}" for i in range(len(columns))]
+    moved = differing(stacked, "__side", [*key, *scope], held)
+    row = F.struct(*[F.col(v).alias(c) for v, c in zip(held, columns, strict=True)])
+    met = moved.groupBy(*key, *scope).agg(
+        F.max(F.when(F.col("__side") < 0, row)).alias("old"),
+        F.max(F.when(F.col("__side") > 0, row)).alias("new"),
+        *[F.max(n).alias(n) for n in said],
     )
     entries = [
         F.struct(

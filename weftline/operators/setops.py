@@ -7,22 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.digests import differing
+
 
 def schema_diff(stored: DataFrame, current: DataFrame, name: str) -> DataFrame:
     """Names ``added`` to and ``removed`` from the stored set, compared without case.
 
-    One aggregate over both sides: each name carries on which sides it was seen.
+    Names in parts that agree by their digests stay where they are; the others meet in one aggregate, where each name
+    carries on which sides it was seen.
     """
-    def tagged(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(F.lower(name).alias("name"), F.lit(tag).alias("side"))
-
-    sides = (
-        tagged(stored, "removed")
-        .unionByName(tagged(current, "added"))
-        .groupBy("name")
-        .agg(F.min("side").alias("low"), F.max("side").alias("high"))
-    )
-    return sides.where(F.col("low") == F.col("high")).select("name", F.col("low").alias("change"))
+    def tagged(df: DataFrame, side: int) -> DataFrame:
+        return df.select(F.lower(name).alias("name"), F.lit(side).alias("__side"))
+
+    stacked = tagged(stored, -1).unionByName(tagged(current, 1))
+    sides = differing(stacked, "__side", ["name"]).groupBy("name").agg(F.min("__side").alias("low"), F.max("__side").alias("high"))
+    change = F.when(F.col("low") < 0, "removed").otherwise("added")
+    return sides.where(F.col("low") == F.col("high")).select("name", change.alias("change"))
 
 
 def has_changes(diff: DataFrame) -> Column:
