@@ -296,9 +296,11 @@ def test_a_hot_fingerprint_is_split(spark):
         docs = spark.range(0, 40000, 1, 8).select(F.col("id").alias("doc_id"), text.alias("text"))
         found = simhash.near_duplicates(docs, 4, 4)
         # All columns are asked for, else the ids would not travel.
-        tasks = found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*found.columns)))
+        # Rows of the hot fingerprint are counted for each task; small partitions of others may be put together.
+        hot = F.count_if(F.col("fingerprint") == "0" * 16).alias("n")
+        tasks = found.groupBy(F.spark_partition_id()).agg(hot, F.bit_xor(F.xxhash64(*found.columns)))
         sizes = [r["n"] for r in tasks.collect()]
-        assert sum(sizes) == 40000 and max(sizes) < 8000
+        assert sum(sizes) == 20000 and max(sizes) < 8000
     finally:
         for key in tight:
             spark.conf.unset(key)
