@@ -78,6 +78,24 @@ def test_a_hub_of_very_many_edges(spark):
     assert got.where("group_id = 0").count() == 300_001
 
 
+def test_a_wide_tree_needs_no_star_contraction(spark, monkeypatch):
+    def refuse(pairs):
+        raise AssertionError(f"{pairs.count()} pairs go on")
+
+    monkeypatch.setattr(lineage, "_large_star", refuse)
+    df = spark.range(1, 6000, 1, 6).selectExpr("concat('n', lpad(id div 20, 5, '0')) AS src", "concat('n', lpad(id, 5, '0')) AS dst")
+    got = lineage.groups(df.repartition(6), chunk=500).collect()
+    assert len(got) == len({r["node"] for r in got}) == 6000 and {r["group_id"] for r in got} == {"n00000"}
+
+
+@pytest.mark.parametrize("chunk", [1, 1_000_000])
+def test_loops_and_ends_without_a_node(spark, chunk):
+    edges = [(5, 5), (None, 7), (8, None), (None, None), (3, 2), (3, 3), (2, 2), (4, 3), (4, 9), (9, 7), (5, 5)]
+    got = lineage.groups(spark.createDataFrame(edges, "src long, dst long").repartition(3), chunk=chunk).collect()
+    want = {None: None, 5: 5, 7: 2, 8: 8, 2: 2, 3: 2, 4: 2, 9: 2}
+    assert len(got) == len(want) and {r["node"]: r["group_id"] for r in got} == want
+
+
 def test_saved_rows_without_a_logical_id_stay_current(spark):
     spec = TableSpec("t", ["pk", "a", "v", "IsCurrent", "IsDeleted"], logical_key=["a"], physical_key="pk")
     schema = "pk long, a string, v int, IsCurrent boolean, IsDeleted boolean"

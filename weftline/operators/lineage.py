@@ -158,23 +158,63 @@ def groups(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Weakly connected groups: every node with the smallest node of its group.
 
     Each task first contracts its edges to stars, ``chunk`` edges at a time, so that only what lies between tasks is left to
-    do. Where that is a chunk at most, one task does it. Otherwise two star contractions alternate, each a minimum per
-    node and a join, until the pairs stay the same. Loops on one node keep it as its own group.
+    do. A node that hangs in one star alone has the group of that star's root, so it is put aside with its root, and only
+    what the stars share goes on to the next round. Where that is a chunk at most, one task does it; where a round puts
+    little aside, two star contractions come first, each a minimum per node and a join. At the end the nodes put aside
+    get the groups of their roots, round by round. Loops on one node keep it as its own group.
     """
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     linked = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where(F.col("a") != F.col("b"))
-    pairs, mark = _marked(_oriented(contract(linked, chunk)))
-    while mark["rows"] > chunk or not isinstance(pairs.schema["a"].dataType, KINDS):
-        pairs, following = _marked(_small_star(_large_star(pairs)))
-        if following == mark:
-            break
-        mark = following
-    else:
-        # A chunk at most: one task holds it.
-        pairs = contract(pairs.coalesce(1), chunk + 1)
-    labels = pairs.select(F.col("a").alias("node"), F.col("b").alias("__root"))
-    joined = nodes.join(labels, "node", "left")
-    return joined.select("node", F.coalesce("__root", "node").alias("group_id"))
+    # Nodes of loops and beside a NULL have no pair; alone they are their own group.
+    apart = edges.where(~F.coalesce(F.col("src") != F.col("dst"), F.lit(False)))
+    lone = apart.select(F.col("src").alias("a")).unionByName(apart.select(F.col("dst").alias("a")))
+    pairs, before = _contracted(linked, chunk)
+    first, tops, rest = _put_aside(pairs, lone)
+    pairs, rows = _contracted(rest, chunk)
+    later: list[DataFrame] = []
+    while rows > chunk or (rows and not isinstance(pairs.schema["a"].dataType, KINDS)):
+        if 2 * rows > before:
+            pairs, rows = _contracted(_small_star(_large_star(pairs)), chunk)
+        before = rows
+        hung, _, rest = _put_aside(pairs)
+        later.append(hung)
+        pairs, rows = _contracted(rest, chunk)
+    # A chunk at most: one task holds it.
+    labels = contract(pairs.coalesce(1), chunk + 1).select(F.col("a").alias("node"), F.col("b").alias("group_id"))
+    for hung in reversed(later):
+        labels = settle(labels.unionByName(_led(hung, labels)), "labels")
+    known = labels.select(F.col("node").alias("__known"))
+    # The root of a star was put aside later or is the smallest node of its group.
+    smallest = lookup(tops, known, [("node", "__known")], "left_anti").select("node", F.col("node").alias("group_id"))
+    return _led(first, labels).unionByName(labels).unionByName(smallest)
+
+
+def _contracted(pairs: DataFrame, chunk: int) -> tuple[DataFrame, int]:
+    """Stars of what each task holds, written down, and their number; larger nodes first."""
+    stars = contract(pairs, chunk).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    stars, seen = settle_measured(stars, "pairs", rows=F.count(F.lit(1)))
+    return stars, seen["rows"]
+
+
+def _put_aside(pairs: DataFrame, lone: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes that hang under one root only and have nothing below them, with that root; nodes that hang under none; and the
+    pairs of all other nodes."""
+    above = F.lit(None).cast(pairs.schema["a"].dataType)
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"), F.lit(False).alias("below"))
+    ends = ends.unionByName(pairs.select(F.col("b").alias("node"), above.alias("root"), F.lit(True).alias("below")).distinct())
+    if lone is not None:
+        ends = ends.unionByName(lone.select(F.col("a").alias("node"), above.alias("root"), F.lit(False).alias("below")))
+    nodes = ends.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("last"), F.bool_or("below").alias("below"))
+    alone = (F.col("root") == F.col("last")) & ~F.col("below")
+    nodes = settle(nodes.select("node", "root", alone.alias("alone")), "nodes")
+    shared = nodes.where(~F.col("alone")).select(F.col("node").alias("__node"))
+    rest = lookup(pairs, shared, [("a", "__node")], "left_semi")
+    return nodes.where("alone").select("node", "root"), nodes.where(F.col("root").isNull()).select("node"), rest
+
+
+def _led(hung: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes put aside with the groups of their roots; a root that has none is the smallest node of its group."""
+    above = labels.select(F.col("node").alias("__above"), F.col("group_id").alias("__group"))
+    return lookup(hung, above, [("root", "__above")]).select("node", F.coalesce("__group", "root").alias("group_id"))
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:
@@ -202,12 +242,6 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     return _oriented(linked.unionByName(lowest.select(F.col("__a").alias("a"), F.col("m").alias("b"))))
 
 
-def _marked(pairs: DataFrame) -> tuple[DataFrame, dict[str, object]]:
-    """Pairs written down, with their number and a sum of hashes that tells whether they changed."""
-    exact = F.xxhash64("a", "b").cast("decimal(20,0)")
-    return settle_measured(pairs, "pairs", rows=F.count(F.lit(1)), hashes=F.sum(exact))
-
-
 def tree_children(nodes: DataFrame, parent: object | None, name: str = "name", key: str = "id") -> DataFrame:
     """Children of a node by name; the roots when no parent is given."""
     wanted = F.col("parent_id").isNull() if parent is None else F.col("parent_id") == F.lit(parent)
