@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import joins, writes
+from weftline.operators import heavy, joins, writes
 from weftline.operators.lookup import lookup
 from weftline.specs import TableSpec
 
@@ -118,6 +118,31 @@ def test_salted_joins_equal_plain_ones(spark, case, how):
     assert sorted(map(repr, joined.collect())) == sorted(map(repr, plain.collect()))
 
 
+def test_keys_are_dealt_by_the_pairs_they_make():
+    # Two partitions hold 25 even keys well by their rows, but not what both sides make of them.
+    ours, theirs = (heavy.Sketch(25 * n, {(k,): n for k in range(25)}) for n in (40_000, 400_000))
+    of_left, of_right, tasks = heavy.heavy_pairs(ours, theirs, 2)
+    made = 25 * 40_000 * 400_000
+    assert tasks == made // heavy.PAIRS
+    for k in range(25):
+        assert 40_000 * 400_000 / (of_left[k,] * of_right[k,]) <= heavy.PAIRS / heavy.CELLS
+        assert of_left[k,] < of_right[k,]
+    assert heavy.heavy_pairs(heavy.Sketch(0, {}), heavy.Sketch(0, {}), 8) == ({}, {}, 0)
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_a_full_join_gets_tasks_for_the_pairs_it_makes(spark, monkeypatch, kind):
+    monkeypatch.setattr(heavy, "PAIRS", 2000)
+    left = spark.range(0, 300, 1, 2).selectExpr(f"cast(if(id % 50 = 0, null, id % 10) AS {kind}) AS a", "id AS x")
+    right = spark.range(0, 1000, 1, 2).selectExpr(f"cast(id % 11 AS {'long' if kind == 'int' else kind}) AS b", "id AS y")
+    joined = joins.join_frames(left, right, [("a", "b")], "full", sketch=True)
+    plain = joins.join_frames(left, right, [("a", "b")], "full", sketch=False)
+    assert joined.exceptAll(plain).count() == plain.exceptAll(joined).count() == 0
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    # Adaptive execution would join so little input in one task.
+    assert len(sizes) >= 13 and max(sizes) < 8 * 2000
+
+
 @pytest.mark.parametrize("kind", ["string", "date", "decimal(12,2)", "boolean", "double"])
 def test_salted_joins_by_keys_of_many_types(spark, kind):
     def side(names, n):
