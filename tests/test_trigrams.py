@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.errors import Refused
-from weftline.operators import search, trigrams
+from weftline.operators import grams, search, trigrams
 
 WORDS = ["alpha", "Beta", "gamma ray", "ΑΣ Β", "ΟΔΟΣ", "straße", "İstanbul", "line\nbreak", "a", "ab", "", "100%", "x_y", "日本語テキスト", "😀😃😄"]
 
@@ -88,6 +88,31 @@ def test_a_trigram_that_all_rows_hold_fills_many_files(spark, tmp_path):
     assert trigrams.find_text(spark, index, "THE", max_results=5).count() == 5
 
 
+def test_postings_are_the_distinct_trigrams_of_each_row(spark, texts, index, monkeypatch):
+    want = sorted(
+        (repr(r["id"]), g)
+        for r in texts.select("id", F.lower("t").alias("t"), F.lower("u").alias("u")).collect()
+        for g in {x[i : i + 3] for x in (r["t"], r["u"]) if x for i in range(len(x) - 2)}
+    )
+    assert sorted((repr(r["key"]), r["gram"]) for r in index.postings(spark).collect()) == want
+    # Lists of keys, not a row for each posting, are dealt and laid out; a task looks at a bounded piece of its texts.
+    lists = spark.read.parquet(f"{index.path}/postings")
+    assert lists.count() < len(want) / 5 and lists.agg(F.max(F.size("keys"))).first()[0] <= grams.LISTED
+    monkeypatch.setattr(grams, "PIECE", 100)
+    monkeypatch.setattr(grams, "LISTED", 2)
+    again = [x for b in texts.toArrow().select(["id", "t", "u"]).to_batches() for x in grams._lists(iter([b]))]
+    assert len(again) > 20 and max(len(k) for b in again for k in b.column("keys").to_pylist()) == 2
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,2)", "date", "timestamp", "timestamp_ntz", "double"])
+def test_keys_of_many_types(spark, tmp_path, kind):
+    made = {"date": "date_add(DATE'2020-01-01', CAST(id AS int))", "timestamp": "timestamp_seconds(id)"}
+    made["timestamp_ntz"] = "CAST(timestamp_seconds(id) AS timestamp_ntz)"
+    df = spark.range(40).selectExpr(f"IF(id = 3, NULL, {made.get(kind, f'CAST(id AS {kind})')}) AS k", "concat('row ', id) AS t")
+    index = trigrams.build_index(df, "k", str(tmp_path / "i"), parts=4)
+    assert sorted(r["t"] for r in trigrams.find_text(spark, index, "ROW 3").collect()) == sorted(f"row {i}" for i in (3, *range(30, 40)))
+
+
 def test_index_refusals_and_an_empty_table(spark, texts, index, tmp_path):
     with pytest.raises(Refused):
         trigrams.find_text(spark, index, "  ")

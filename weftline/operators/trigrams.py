@@ -1,7 +1,7 @@
 """Text search through a posting table of trigrams.
 
-The index of a table is two Parquet tables: postings, one row for each distinct trigram of a row's fields, laid out by
-trigram, and the rows themselves, laid out by key. A search reads the postings of the rarest trigrams of its term, keeps
+The index of a table is two Parquet tables: postings, each distinct trigram of a row's fields with the row's key, in short
+lists of keys laid out by trigram, and the rows themselves, laid out by key. A search reads the postings of the rarest trigrams of its term, keeps
 the keys that hold all of them, reads the parts in which these rows lie, and puts them to the exact test. Every
 row that holds the term holds its trigrams, so nothing is lost; a term of fewer than three characters is looked for in
 all rows.
@@ -18,14 +18,13 @@ from pyspark.sql import types as T
 
 from weftline.errors import Refused
 from weftline.operators import search
+from weftline.operators.grams import key_lists
 from weftline.operators.lookup import lookup
-from weftline.session import settle_measured
+from weftline.session import settle, settle_measured
 from weftline.specs import resolve
 
 #: Parts that postings and rows are laid out in; trigrams of a term that are read; keys that are pushed to the scan.
 PARTS, RAREST, PUSHED = 64, 4, 1000
-#: All overlapping runs of three characters.
-_GRAMS = "(?s)(?=(.{3}))"
 
 
 @dataclass(frozen=True)
@@ -44,8 +43,9 @@ class TextIndex:
 
     def postings(self, spark: SparkSession) -> DataFrame:
         kind = self.schema[self.key].dataType
-        columns = [T.StructField("key", kind), T.StructField("gram", T.StringType()), T.StructField("gram_part", T.IntegerType())]
-        return spark.read.schema(T.StructType(columns)).parquet(f"{self.path}/postings")
+        columns = [T.StructField("keys", T.ArrayType(kind)), T.StructField("gram", T.StringType()), T.StructField("gram_part", T.IntegerType())]
+        lists = spark.read.schema(T.StructType(columns)).parquet(f"{self.path}/postings")
+        return lists.select(F.explode("keys").alias("key"), "gram", "gram_part")
 
 
 def _part(value: Column, parts: int) -> Column:
@@ -67,12 +67,11 @@ def build_index(df: DataFrame, key: str, path: str, fields: Sequence[str] = (),
     laid = df.withColumn("__part", _part(F.col(key), parts)).repartitionByRange("__part", F.xxhash64(key))
     laid.sortWithinPartitions("__part", key).write.partitionBy("__part").parquet(f"{path}/rows")
     rows = index.rows(df.sparkSession)
-    grams = [F.regexp_extract_all(F.lower(F.col(n).cast("string")), F.lit(_GRAMS), F.lit(1)) for n in names]
-    held = F.array_distinct(F.concat(*[F.coalesce(g, F.array().cast("array<string>")) for g in grams]))
-    postings = rows.select(F.col(key).alias("key"), F.explode(held).alias("gram")).withColumn("gram_part", _part(F.col("gram"), parts))
-    postings.repartitionByRange("gram_part", "gram", F.xxhash64("key")).sortWithinPartitions("gram_part", "gram", "key").write.partitionBy(
-        "gram_part"
-    ).parquet(f"{path}/postings")
+    texts = [F.lower(F.col(n).cast("string")).alias(f"t{i}") for i, n in enumerate(names)]
+    # Written once, as dealing by range looks at its input twice.
+    lists = settle(key_lists(rows.select(F.col(key).alias("key"), *texts)), "key-lists").withColumn("gram_part", _part(F.col("gram"), parts))
+    dealt = lists.repartitionByRange("gram_part", "gram", F.xxhash64("keys")).sortWithinPartitions("gram_part", "gram", F.col("keys")[0])
+    dealt.write.partitionBy("gram_part").parquet(f"{path}/postings")
     return index
 
 
