@@ -279,6 +279,30 @@ def test_one_text_repeats_a_statement_many_times(spark, docs):
     assert sorted(tuple(r) for r in found) == [(1, "MIT", 6000), (2, "GPL-3.0-or-later", 300), (3, "CC-BY-NC-SA-4.0", 2000)]
 
 
+def test_compression_ranks_templates_before_words_confirm_them(monkeypatch):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    steps = []
+    compressed, ranked, fit = type(scanner.alone).compress, scanner.ranked, scanner.fit
+    monkeypatch.setattr(scanner, "ranked", lambda block: steps.append(("rank", ranked(block))) or steps[-1][1])
+    monkeypatch.setattr(scanner, "fit", lambda i, said: steps.append(("fit", i)) or fit(i, said))
+    text = "word " * 900 + f"{licenses.NOTICES[1][1]} Licensed under the MIT License. " + "word " * 900
+    assert [m.license for _, _, m in scanner.scan(text)] == ["Apache-2.0", "MIT"]
+    assert steps[0][0] == "rank"
+    # The notice, all of the block but one statement, saves most; each block's templates are confirmed down its ranking.
+    rankings = [s for kind, s in steps if kind == "rank"]
+    assert all(sorted(r) == list(range(len(licenses.TEMPLATES))) for r in rankings) and 1 in {r[0] for r in rankings}
+    tried = [s for kind, s in steps[1 : next((n for n, s in enumerate(steps[1:], 1) if s[0] == "rank"), None)] if kind == "fit"]
+    assert [rankings[0].index(i) for i in tried] == sorted(rankings[0].index(i) for i in tried) and tried
+    data = " ".join(licenses.words(licenses.NOTICES[1][1])).encode()
+    assert len(compressed(scanner.given[1], data)) < len(compressed(scanner.alone, data))
+
+
+@pytest.mark.parametrize("before", [0, 150, 190, 199, 200, 250, 399])
+def test_blocks_lose_no_wording_at_their_edges(before):
+    name, text = licenses.NOTICES[0]
+    assert found_in("word " * before + text + " word" * 300 + " " + text) == [name, name]
+
+
 def every_fit(scanner, said, offset=0):
     """All templates against all words left, the best taken first."""
     fits = []

@@ -1,8 +1,11 @@
 """License texts found by how much a template helps to compress a passage.
 
 A template whose words may differ in k places is cut into k + 1 pieces, of which every wording of it keeps one unedited.
-The templates that have a piece in a text are confirmed by the exact words in which it differs from them. The wording
-found is compressed alone and with its template as a raw Zstandard dictionary, and the share saved ranks equal fits.
+Blocks of a text in which such a piece stands are candidates. Each is compressed alone and with every template as a raw
+Zstandard dictionary, and what they save ranks the templates. Down this ranking they are confirmed by the exact words in
+which the block differs from them. No saving proves that a wording is absent, as its parts may stand elsewhere in the block
+too, so the ranking is walked to its end. Of wordings that overlap, the one with more words in agreement is named; the share
+that a template saves of the wording itself decides among equals.
 """
 
 from __future__ import annotations
@@ -134,6 +137,8 @@ SIGNALS = (
 TOLERANCE = 0.1
 #: Fits and savings that a Python worker remembers.
 REMEMBERED = 20_000
+#: Words between the beginnings of blocks; a block reaches beyond the next one's beginning by the longest window.
+BLOCK = 200
 
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _FREE = re.compile(rb"\0+")
@@ -173,6 +178,8 @@ class Scanner:
         self.distinct = [set(c.tolist()) for c in self.coded]
         self.fits: dict[tuple[int, bytes], tuple[int, int, int] | None] = {}
         self.savings: dict[tuple[int, bytes], float] = {}
+        self.rankings: dict[bytes, list[int]] = {}
+        self.reach = max(len(w) + 3 * k for w, k in zip(self.words, self.allowed, strict=True))
         # By the code of a piece's longest word, which stands for a rare one, that word's place in it and its length.
         self.pieces: dict[int, dict[tuple[int, int], dict[bytes, list[tuple[int, int]]]]] = {}
         for i, said in enumerate(self.words):
@@ -217,6 +224,25 @@ class Scanner:
             self.savings[key] = 1 - len(self.given[i].compress(data)) / len(self.alone.compress(data))
         return self.savings[key]
 
+    def ranked(self, block: str) -> list[int]:
+        """All templates, those first with which the words of a block compress best."""
+        data = " ".join(words(block)).encode()
+        if data not in self.rankings:
+            if len(self.rankings) >= REMEMBERED // 10:
+                self.rankings.clear()
+            alone = len(self.alone.compress(data))
+            less = [alone - len(given.compress(data)) for given in self.given]
+            self.rankings[data] = sorted(range(len(less)), key=lambda i: (-less[i], i))
+        return self.rankings[data]
+
+    def candidates(self, said: np.ndarray) -> Iterator[tuple[int, int, dict[int, list[tuple[int, int]]]]]:
+        """Blocks that hold a piece of a template: begin, end, and the windows of each template in it, every window in one block."""
+        blocks: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for i, low, high in self.windows(said):
+            blocks.setdefault(low // BLOCK, {}).setdefault(i, []).append((low, high))
+        for at, windows in sorted(blocks.items()):
+            yield at * BLOCK, min((at + 1) * BLOCK + self.reach, len(said)), windows
+
     def fit(self, i: int, said: np.ndarray) -> tuple[int, int, int] | None:
         """The closest part of the words to a template, if it is within the allowed edits: begin, end, edits."""
         k, size = self.allowed[i], len(self.coded[i])
@@ -237,7 +263,7 @@ class Scanner:
     def scan(self, text: str) -> Iterator[tuple[int, int, Match]]:
         """Begin and end of each confirmed wording, in characters, and what it is; places count in the lower-cased text.
 
-        The best fit of all is taken first. A fit that meets words already taken is sought again in what is left of its
+        Templates are confirmed in each candidate block in the order of what they save in compressing it. The best fit of all is taken first. A fit that meets words already taken is sought again in what is left of its
         window.
         """
         lower = _lowered(text)
@@ -259,8 +285,10 @@ class Scanner:
                 size = len(self.words[i])
                 heapq.heappush(waiting, (differing - size, differing, -saved, -size, i, begin, end, low, high))
 
-        for window in self.windows(said):
-            put(*window)
+        for first, last, windows in self.candidates(said):
+            for i in self.ranked(lower[begins[first] : ends[last - 1]]):
+                for low, high in windows.get(i, ()):
+                    put(i, low, high)
         matches = []
         while waiting:
             _, differing, less, _, i, begin, end, low, high = heapq.heappop(waiting)
