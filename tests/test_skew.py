@@ -143,6 +143,29 @@ def test_a_full_join_gets_tasks_for_the_pairs_it_makes(spark, monkeypatch, kind)
     assert len(sizes) >= 13 and max(sizes) < 8 * 2000
 
 
+@pytest.mark.parametrize("case", [*CASES, ([7, 7, 8, 8] * 9 + [5, None], [7, 8, 8] * 9 + [6, 6, None])])
+def test_a_full_join_of_many_pairs_equals_the_plain_one(spark, monkeypatch, case):
+    monkeypatch.setattr(heavy, "PAIRS", 20)
+    left = spark.createDataFrame([(k, i % 3) for i, k in enumerate(case[0])], "a int, x int")
+    right = spark.createDataFrame([(k, f"v{i % 4}", {"m": 1}) for i, k in enumerate(case[1])], "b long, y string, z map<string,int>")
+    joined = joins.join_frames(left, right, [("a", "b")], "full", sketch=True)
+    plain = joins.join_frames(left, right, [("a", "b")], "full", sketch=False)
+    assert [(f.name, f.dataType) for f in joined.schema] == [(f.name, f.dataType) for f in plain.schema]
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_a_full_join_does_not_hold_all_pairs_of_a_key(spark, monkeypatch):
+    # Spark's full join gives no row on before it has made all pairs of a key; its inner join none before all of one row.
+    def plan(pairs):
+        monkeypatch.setattr(heavy, "PAIRS", pairs)
+        left = spark.range(0, 300, 1, 2).selectExpr("id % 10 AS a", "id AS x")
+        right = spark.range(0, 1000, 1, 2).selectExpr("id % 11 AS b", "id AS y")
+        return joins.join_frames(left, right, [("a", "b")], "full", sketch=True)._jdf.queryExecution().executedPlan().toString()
+
+    assert "FullOuter" in plan(10**9)
+    assert "FullOuter" not in plan(2000) and "SortMergeJoin" in plan(2000)
+
+
 @pytest.mark.parametrize("kind", ["string", "date", "decimal(12,2)", "boolean", "double"])
 def test_salted_joins_by_keys_of_many_types(spark, kind):
     def side(names, n):
